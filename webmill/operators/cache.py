@@ -16,11 +16,12 @@ def _segment(ts, seconds):
     return F.floor(F.unix_seconds(ts) / F.lit(seconds))
 
 
-def cache_lookup(req, writes, ttl_s=None, segment_s=300, key="url_key", ts="ts", request_id="request_id"):
+def cache_lookup(req, writes, ttl_s=None, segment_s=300, key="url_key", ts="ts", request_id="request_id", carry=()):
     """HIT or MISS of each request against the newest earlier write of its key.
 
     The newest write hides older ones: if it has expired, or is markup, the
-    request misses. ``ttl_s`` overrides the time to live of the rows.
+    request misses. ``ttl_s`` overrides the time to live of the rows; ``carry``
+    names request columns to keep.
 
     1. the last write of each (key, segment) is an aggregate;
     2. a window over segments, not rows, hands it to the later segments;
@@ -34,9 +35,9 @@ def cache_lookup(req, writes, ttl_s=None, segment_s=300, key="url_key", ts="ts",
             F.col("written_at").alias("at"), F.col("wid").cast("long").alias("wid"), life.alias("ttl"),
             text.looks_like_html(F.col("body")).alias("bad")).alias("_w"))
     asked = req.select(
-        F.col(key).alias("_key"), F.col(ts).alias("_at"), F.lit(1).alias("_side"), request_id,
+        F.col(key).alias("_key"), F.col(ts).alias("_at"), F.lit(1).alias("_side"), request_id, *carry,
         F.lit(None).cast(cached.schema["_w"].dataType).alias("_w"))
-    rows = cached.unionByName(asked).withColumn("_seg", _segment(F.col("_at"), segment_s))
+    rows = cached.unionByName(asked, allowMissingColumns=True).withColumn("_seg", _segment(F.col("_at"), segment_s))
 
     last = rows.groupBy("_key", "_seg").agg(
         F.max("_w").alias("_last"), F.max("_side").alias("_asked"))
@@ -50,7 +51,7 @@ def cache_lookup(req, writes, ttl_s=None, segment_s=300, key="url_key", ts="ts",
     order = Window.partitionBy("_key", "_seg").orderBy("_at", "_side", "_w.wid").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     seen = (
-        rows.unionByName(handed)
+        rows.unionByName(handed, allowMissingColumns=True)
         .withColumn("_hit", F.last("_w", ignorenulls=True).over(order))
         .filter(F.col("_side") == 1))
     age = F.unix_seconds("_at") - F.unix_seconds("_hit.at")
@@ -58,7 +59,7 @@ def cache_lookup(req, writes, ttl_s=None, segment_s=300, key="url_key", ts="ts",
         (F.unix_micros("_at") < F.unix_micros("_hit.at") + F.col("_hit.ttl") * 1000000) & ~F.col("_hit.bad"),
         F.lit(False))
     return seen.select(
-        request_id, F.col("_key").alias(key), F.col("_at").alias(ts),
+        request_id, *carry, F.col("_key").alias(key), F.col("_at").alias(ts),
         F.when(live, "HIT").otherwise("MISS").alias("cache_status"),
         F.when(live, F.col("_hit.wid")).alias("wid"),
         F.when(live, age).alias("age_s"))

@@ -5,11 +5,14 @@ logs and the like are computed from all of their rows, so work on them grows
 with the base tables. ``oracle.py`` states the same recipes in SQL.
 """
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from webmill import schemas
 from webmill.functions import urls
 from webmill.operators import access, pages as page_ops, traffic
+from webmill.session import work_dir
 from webmill.sources.readers import load_pages
 from webmill.sources.sinks import content_rows
 
@@ -38,32 +41,65 @@ text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else
 choose = lambda values, index: F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def shared(method):
+    """Build a table's plan once per ``Derived``."""
+    @wraps(method)
+    def get(self):
+        if method.__name__ not in self.built:
+            self.built[method.__name__] = method(self)
+        return self.built[method.__name__]
+    return get
+
+
+STORED = {}
+
+
+def stored(method):
+    """Write a table that operators would find in storage, once per application and folder."""
+    @wraps(method)
+    def get(self):
+        place = (self.spark.sparkContext.applicationId, self.dir, method.__name__)
+        if place not in STORED:
+            frame, path = method(self), work_dir(self.spark, method.__name__)
+            frame.write.parquet(path)
+            STORED[place] = (path, frame.schema)
+        path, schema = STORED[place]
+        return self.spark.read.schema(schema).parquet(path)
+    return shared(get)
+
+
 class Derived:
     """Lazy derived tables over the base tables in ``sf_dir``."""
 
     def __init__(self, spark, sf_dir):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.built = spark, sf_dir, {}
 
+    @shared
     def pages(self):
         return load_pages(self.spark, f"{self.dir}/pages.parquet")
 
+    @shared
     def events(self):
         return self.spark.read.parquet(f"{self.dir}/events.parquet")
 
+    @shared
     def spread_pages(self):
         """Pages over all cores: a small file is one split, and extraction is CPU-bound."""
         return self.pages().repartition(self.spark.sparkContext.defaultParallelism)
 
+    @shared
     def page_count(self):
         """From the file footers; no data is read."""
         return self.pages().count()
 
     # --- accounts ---------------------------------------------------------
 
+    @shared
     def customer_keys(self):
         return self.spark.read.parquet(f"{self.dir}/customer.parquet").select(
             F.col("c_custkey").alias("k"), F.col("c_name"))
 
+    @shared
     def accounts(self):
         k = F.col("k")
         return self.customer_keys().select(
@@ -71,11 +107,13 @@ class Derived:
             choose(["free", "pro", "team", "enterprise"], k % 4).alias("plan"),
             at(k * 3600).alias("created_at"), at(k * 3600).alias("updated_at"))
 
+    @shared
     def hosts(self):
         """Each host with its number, the smallest page id."""
         p = page_ops.canonicalise(self.pages().select("page_id", "url"))
         return p.groupBy("host").agg(F.min("page_id").alias("r"))
 
+    @stored
     def domains(self):
         r = F.col("r")
         return self.hosts().select(
@@ -83,6 +121,7 @@ class Derived:
             F.col("host").alias("hostname"), (r % 2 == 0).alias("verified"),
             at(r * 3600).alias("created_at"), at(r * 3600).alias("updated_at"))
 
+    @stored
     def tokens(self):
         """API tokens with their plaintext, which only this fixture knows."""
         d = self.customer_keys().select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") % 8)).alias("j"))
@@ -95,6 +134,7 @@ class Derived:
             F.when(j % 3 == 2, at((j + 1) * day)).alias("revoked_at"),
             at(j * day).alias("created_at"), at(j * day).alias("updated_at"))
 
+    @shared
     def legacy_config(self):
         """Plaintext keys of the old scheme for free accounts; some lack an id."""
         free = self.accounts().filter(F.col("plan") == "free").select("id")
@@ -105,10 +145,12 @@ class Derived:
         doc = F.struct(F.when(k.cast("long") % 12 != 0, F.col("id")).alias("customerId"), F.col("domains"))
         return grouped.select(text("apikey:legacy_", k).alias("key"), F.to_json(doc).alias("document"))
 
+    @stored
     def config(self):
         built = access.build_config(self.accounts(), self.domains(), self.tokens(), CONFIG_TIME)
         return built.unionByName(self.legacy_config())
 
+    @stored
     def published(self):
         """An older state: some keys missing, some plans changed, revoked tokens present."""
         old = self.accounts().withColumn("plan", F.when(
@@ -117,6 +159,7 @@ class Derived:
         return access.build_config(
             old.filter(F.col("plan") != "team"), self.domains(), tokens, "2023-12-31T00:00:00.000Z")
 
+    @shared
     def overrides(self):
         k = F.col("k")
         return self.customer_keys().select(
@@ -126,6 +169,7 @@ class Derived:
 
     # --- content ----------------------------------------------------------
 
+    @shared
     def pages_twice(self):
         """All pages and, for http pages, a copy under a URL that differs in tracking only."""
         p = self.pages()
@@ -137,12 +181,14 @@ class Derived:
             F.concat(cut, sign, F.lit("utm_medium=x"), tail).alias("url"), "html")
         return p.unionByName(copy)
 
+    @stored
     def content(self):
         """Extracted pages with keys and token counts."""
         p = page_ops.with_url_key(page_ops.canonicalise(self.spread_pages()))
         return page_ops.extract_markdown(p)
 
-    def writes(self, bodies=True):
+    @stored
+    def writes(self):
         """Two writes per page; the second is markup for some pages."""
         p = page_ops.with_url_key(page_ops.canonicalise(self.spread_pages())).withColumn("raw", F.col("html"))
         c = page_ops.extract_markdown(p)
@@ -156,6 +202,7 @@ class Derived:
             F.col("raw").alias("html"))
         return content_rows(d, md_ttl=1200, html_ttl=600, tokens_ttl=1200)
 
+    @shared
     def invalidations(self):
         n = self.page_count()
         e = self.events().filter(F.col("event_type") == "signup").select(
@@ -167,6 +214,7 @@ class Derived:
 
     # --- requests ---------------------------------------------------------
 
+    @stored
     def requests(self):
         n = self.page_count()
         p = page_ops.canonicalise(self.pages().select("page_id", "url"), out="page_canonical").select(
@@ -209,14 +257,17 @@ class Derived:
             F.when(fallback, F.when(i % 3 == 0, 502).otherwise(200)).when(outcome == "miss", 200).alias("extractor_status"),
             "page_id", "page_canonical", "page_host")
 
+    @shared
     def keyed_requests(self):
         """Requests with the content key of their page."""
         r = self.requests()
         return r.withColumn("url_key", urls.url_key(F.col("page_canonical")))
 
+    @shared
     def endpoint_requests(self):
         return traffic.endpoint_class(self.requests())
 
+    @shared
     def request_log(self):
         """Wire form of the request log."""
         i = F.col("request_id")
@@ -234,6 +285,7 @@ class Derived:
             "status", F.col("status_word").alias("cacheStatus"), F.col("status").alias("originStatus"),
             F.col("latency_ms").alias("latencyMs"), logs.alias("logs"))
 
+    @shared
     def headers(self):
         i = F.col("event_id")
         return self.events().select(i.alias("request_id"), F.create_map(
@@ -243,6 +295,7 @@ class Derived:
 
     # --- metrics, maps, seeds, crawls -------------------------------------
 
+    @shared
     def metric_bodies(self):
         """Metric events as posted, some of them malformed: ``seq, body, received_at``."""
         n = self.page_count()
@@ -263,6 +316,7 @@ class Derived:
         body = F.when(i % 53 == 0, F.lit("[1,2]")).when(i % 59 == 0, F.lit("not json")).otherwise(body)
         return e.select(i.alias("seq"), body.alias("body"), at(i).alias("received_at"))
 
+    @shared
     def metric_changes(self):
         """Valid metric events: ``customer_id, url, html_tokens, md_tokens, optimized_at, seq, received_at``."""
         n = self.page_count()
@@ -276,6 +330,7 @@ class Derived:
             F.when(i % 37 != 0, F.col("md_tokens")).alias("md_tokens"),
             at(i * 7919 % 100000).alias("optimized_at"), i.alias("seq"), at(i).alias("received_at"))
 
+    @shared
     def metrics(self):
         """A metric table of the https pages: ``customer_id, url, tokens, times``."""
         c = self.content().select("page_id", "canonical", "host", "html_tokens", "md_tokens")
@@ -286,6 +341,7 @@ class Derived:
             F.when(i % 7 != 0, F.col("md_tokens")).alias("md_tokens"), at(i * 60).alias("optimized_at"),
             at(i).alias("created_at"), at(i * 2).alias("updated_at"))
 
+    @shared
     def site_maps(self):
         """Replies per host, in five shapes, with an asset, a foreign URL and a repetition.
 
@@ -311,6 +367,7 @@ class Derived:
             text("cust_", F.floor(F.col("r") / 8)).alias("customer_id"), text("dom_", F.col("r")).alias("domain_id"),
             F.col("host").alias("hostname"), payload.alias("payload"))
 
+    @shared
     def seeds(self):
         """Seeds of the verified domains."""
         p = page_ops.normalise_seeds(self.pages().select("page_id", "url"))
@@ -320,12 +377,14 @@ class Derived:
             "customer_id", F.col("seed_url").alias("url"),
             F.when(i % 2 == 0, "manual").otherwise("firecrawl_map").alias("source"), (i % 4 != 0).alias("enabled"))
 
+    @shared
     def owned_urls(self):
         """Seed URLs of every page with their owner and order."""
         p = page_ops.normalise_seeds(self.pages().select("page_id", "url"))
         d = self.domains().select(F.col("hostname").alias("host"), "customer_id")
         return p.join(d, "host").select("customer_id", "host", F.col("seed_url").alias("url"), F.col("page_id").alias("ordinal"))
 
+    @shared
     def crawl_pages(self):
         """Pages as crawl results: page ``i`` belongs to crawl ``i % (n / 10)``."""
         crawls = max(1, self.page_count() // 10)
@@ -339,6 +398,7 @@ class Derived:
             F.when(i % 17 == 0, F.lit(None)).otherwise(F.col("markdown")).alias("markdown"),
             text("cust_", i % crawls).alias("customer_id"))
 
+    @shared
     def crawl_payloads(self):
         """The same pages as one reply per crawl."""
         page = F.struct(
@@ -349,6 +409,7 @@ class Derived:
             F.lit("completed").alias("status"), "total", F.col("total").alias("completed"),
             F.transform("pages", lambda x: x["p"]).alias("data"))).alias("payload"))
 
+    @shared
     def crawl_jobs(self):
         """Job records; the last crawl has none, some have another owner or an empty allowlist."""
         crawls = max(1, self.page_count() // 10)

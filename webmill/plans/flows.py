@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from webmill.functions import urls
+from webmill.functions import text, urls
 from webmill.operators import access, cache, crawl, pages as page_ops, report, seeds, traffic
-from webmill.functions import text
+from webmill.session import cut_lineage
 
 
 def token_savings_by_section(pages):
@@ -29,15 +29,15 @@ def token_savings_by_section(pages):
 def serve_requests(req, config, writes, **cache_options):
     """The read path over a log: endpoint, admission, key, cache status and crawler class."""
     r = traffic.endpoint_class(req).filter(F.col("endpoint") == "render")
-    judged = access.admit(r, config, mode="render")
-    keyed = page_ops.with_url_key(page_ops.canonicalise(judged, "url"))
-    admitted = keyed.filter(F.col("http_status") == 200)
-    found = cache.cache_lookup(admitted, writes, **cache_options).select("request_id", "cache_status")
-    refused = keyed.filter(F.col("http_status") != 200).select(
-        "request_id", "customer_id", "user_agent", "http_status", "error_code",
-        F.lit(None).cast("string").alias("cache_status"))
-    served = admitted.join(found, "request_id").select(*refused.columns)
-    return traffic.flag_ai_agents(served.unionByName(refused)).drop("user_agent")
+    judged = page_ops.with_url_key(page_ops.canonicalise(access.admit(r, config, mode="render"), "url"))
+    passed = F.col("http_status") == 200
+    # refused requests look for nothing; a key of their own keeps them from piling up
+    probe = F.when(passed, F.col("url_key")).otherwise(F.concat(F.lit("refused:"), F.col("request_id").cast("string")))
+    carry = ["customer_id", "http_status", "error_code", "is_ai"]
+    narrow = traffic.flag_ai_agents(judged).select("request_id", "ts", *carry, probe.alias("url_key"))
+    # the lookup reads its input twice, the joins above run once
+    found = cache.cache_lookup(cut_lineage(narrow), writes, carry=carry, **cache_options)
+    return found.select("request_id", *carry, F.when(passed, F.col("cache_status")).alias("cache_status"))
 
 
 def refresh_starter_lists(site_maps, seed_table):

@@ -36,8 +36,8 @@ def content_rows(df, md_ttl=lists.TTL_MARKDOWN_S, html_ttl=lists.TTL_HTML_S, tok
 
 def write_content(df, path, **ttl):
     """Append to the content write log; the newest row of a key wins on reading."""
-    rows = content_rows(df, **ttl).withColumn("write_date", F.date_format("written_at", "yyyy-MM-dd"))
-    rows.write.mode("append").partitionBy("kind", "write_date").parquet(path)
+    content_rows(df, **ttl).withColumn("write_date", F.date_format("written_at", "yyyy-MM-dd")).write.mode(
+        "append").partitionBy("kind", "write_date").parquet(path)
 
 
 # --- metric table: an append log of changes, merged when read ------------------
