@@ -169,6 +169,7 @@ def with_markdown(df, html, out):
 def visible_text(html):
     """All text a reader of the page could see, for the equivalence audit."""
     text = F.regexp_replace(html, INVISIBLE, "")
+    text = F.regexp_replace(text, r"""(?is)<img\b[^>]*\balt="([^"]*)"[^>]*>""", " $1 ")
     text = F.regexp_replace(
         text, r"(?is)</?(?:a|b|strong|em|i|code|img|br|hr|p|div|section|article|header|footer|nav|aside|main|figure"
               r"|figcaption|address|form|fieldset|details|summary|dl|dt|dd|ul|ol|li|pre|table|thead|tbody|tfoot|tr|td|th"

@@ -15,8 +15,8 @@ DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp":
 _WEB = ", ".join(f"'{s}'" for s in DEFAULT_PORTS)
 _PORTS = ", ".join(f"'{s}', '{p}'" for s, p in DEFAULT_PORTS.items())
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
-# What a path may not hold literally.
-_TO_ENCODE = r"[\x00-\x20\"<>`{}^\x7F]|[^\x00-\x7F]"
+# Any character but those a path may hold literally.
+_TO_ENCODE = r"[^\x21\x23-\x3B\x3D\x3F-\x5D\x5F\x61-\x7A\x7C\x7E]"
 
 
 def _form_decode(x):
@@ -98,8 +98,9 @@ def with_url_parts(df, url, out):
     def step(d, **exprs):
         return d.selectExpr("*", *[f"{sql} AS `__{name}`" for name, sql in exprs.items()])
 
-    d = step(df, flat=rf"""substring_index(regexp_replace(regexp_replace(
-        `{url}`, r'^[\x00-\x20]+|[\x00-\x20]+$', ''), r'[\t\n\r]', ''), '#', 1)""")
+    # guards such as contains() spare most URLs the regular expression behind them
+    d = step(df, flat=rf"""substring_index(CASE WHEN `{url}` RLIKE r'[\x00-\x20]' THEN regexp_replace(regexp_replace(
+        `{url}`, r'^[\x00-\x20]+|[\x00-\x20]+$', ''), r'[\t\n\r]', '') ELSE `{url}` END, '#', 1)""")
     d = step(d, base="substring_index(__flat, '?', 1)")
     d = step(
         d,
@@ -110,17 +111,19 @@ def with_url_parts(df, url, out):
     d = step(d, hostport="substring_index(__auth, '@', -1)")
     d = step(
         d,
-        typed="lower(regexp_replace(__hostport, ':[0-9]*$', ''))",
-        given="regexp_replace(regexp_extract(__hostport, ':([0-9]+)$', 1), '^0+(?=.)', '')",
+        typed="lower(CASE WHEN contains(__hostport, ':') THEN regexp_replace(__hostport, ':[0-9]*$', '') ELSE __hostport END)",
+        given="""CASE WHEN contains(__hostport, ':')
+                 THEN regexp_replace(regexp_extract(__hostport, ':([0-9]+)$', 1), '^0+(?=.)', '') ELSE '' END""",
         user="CASE WHEN contains(__auth, '@') THEN left(__auth, length(__auth) - length(__hostport)) ELSE '' END",
         tail=_resolved("substring(__rest, length(__auth) + 1)"))
-    d = step(d, nums=rf"""CASE WHEN __typed RLIKE r'(?:^|\.)(?:[0-9]+|0[xX][0-9A-Fa-f]*)\.?$'
+    d = step(d, nums=rf"""CASE WHEN right(__typed, 1) RLIKE '[0-9a-fx.]' AND __typed RLIKE r'(?:^|\.)(?:[0-9]+|0[xX][0-9A-Fa-f]*)\.?$'
                           THEN {_NUMBERS.format(host='__typed')} END""")
     d = step(d, name=f"CASE WHEN __nums IS NULL THEN __typed ELSE {_dotted('__nums')} END")
     d = step(d, error=rf"""
         CASE WHEN coalesce(`{url}`, '') = '' THEN 'missing'
              WHEN __scheme = '' THEN 'invalid'
              WHEN NOT __web THEN NULL
+             WHEN __given = '' AND __name RLIKE '^[a-z0-9._-]+$' THEN NULL
              WHEN coalesce(__name, '') = '' THEN 'invalid'
              WHEN NOT __name RLIKE r'^\[[0-9a-f:.]+\]$' AND __name RLIKE r'[\x00-\x20#/:<>?@\[\\\]^|\x7F]' THEN 'invalid'
              WHEN length(__given) > 5 OR try_cast(__given AS int) > 65535 THEN 'invalid'

@@ -61,7 +61,7 @@ def stored(method):
         place = (self.spark.sparkContext.applicationId, self.dir, method.__name__)
         if place not in STORED:
             frame, path = method(self), work_dir(self.spark, method.__name__)
-            frame.write.parquet(path)
+            frame.repartition(self.spark.sparkContext.defaultParallelism).write.parquet(path)
             STORED[place] = (path, frame.schema)
         path, schema = STORED[place]
         return self.spark.read.schema(schema).parquet(path)
