@@ -88,46 +88,41 @@ def _dotted(nums):
               AND element_at({nums}, -1) < shiftleft(1L, 8 * (5 - {n})) THEN concat_ws('.', {octets}) END"""
 
 
-def with_url_parts(df, url, out):
-    """Add struct ``out`` with ``ok, error, scheme, userinfo, host, port, path, query``.
+def part_steps(url):
+    """SQL of the parsing steps over column ``url``, and of the resulting struct.
 
-    ``error`` is ``missing`` (NULL or empty), ``invalid`` (not a URL) or
-    ``unsupported`` (a host that needs IDN processing). Opaque schemes such as
-    ``mailto:`` are valid URLs with an empty host.
+    Each step is a dict of new columns (prefixed ``__``) and may use the columns
+    of the steps before it.
     """
-    def step(d, **exprs):
-        return d.selectExpr("*", *[f"{sql} AS `__{name}`" for name, sql in exprs.items()])
-
     # guards such as contains() spare most URLs the regular expression behind them
-    d = step(df, flat=rf"""substring_index(CASE WHEN `{url}` RLIKE r'[\x00-\x20]' THEN regexp_replace(regexp_replace(
-        `{url}`, r'^[\x00-\x20]+|[\x00-\x20]+$', ''), r'[\t\n\r]', '') ELSE `{url}` END, '#', 1)""")
-    d = step(d, base="substring_index(__flat, '?', 1)")
-    d = step(
-        d,
+    steps = []
+    steps.append(dict(flat=rf"""substring_index(CASE WHEN {url} RLIKE r'[\x00-\x20]' THEN regexp_replace(regexp_replace(
+        {url}, r'^[\x00-\x20]+|[\x00-\x20]+$', ''), r'[\t\n\r]', '') ELSE {url} END, '#', 1)"""))
+    steps.append(dict(base="substring_index(__flat, '?', 1)"))
+    steps.append(dict(
         query="CASE WHEN length(__flat) > length(__base) THEN substring(__flat, length(__base) + 2) END",
         scheme=f"lower(regexp_extract(__base, r'({_SCHEME[:-1]}):', 1))",
-        rest=rf"replace(regexp_replace(__base, r'{_SCHEME}[/\\]*', ''), r'\', '/')")
-    d = step(d, web=f"__scheme IN ({_WEB})", auth="substring_index(__rest, '/', 1)")
-    d = step(d, hostport="substring_index(__auth, '@', -1)")
-    d = step(
-        d,
+        rest=rf"replace(regexp_replace(__base, r'{_SCHEME}[/\\]*', ''), r'\', '/')"))
+    steps.append(dict(web=f"__scheme IN ({_WEB})", auth="substring_index(__rest, '/', 1)"))
+    steps.append(dict(hostport="substring_index(__auth, '@', -1)"))
+    steps.append(dict(
         typed="lower(CASE WHEN contains(__hostport, ':') THEN regexp_replace(__hostport, ':[0-9]*$', '') ELSE __hostport END)",
         given="""CASE WHEN contains(__hostport, ':')
                  THEN regexp_replace(regexp_extract(__hostport, ':([0-9]+)$', 1), '^0+(?=.)', '') ELSE '' END""",
         user="CASE WHEN contains(__auth, '@') THEN left(__auth, length(__auth) - length(__hostport)) ELSE '' END",
-        tail=_resolved("substring(__rest, length(__auth) + 1)"))
-    d = step(d, nums=rf"""CASE WHEN right(__typed, 1) RLIKE '[0-9a-fx.]' AND __typed RLIKE r'(?:^|\.)(?:[0-9]+|0[xX][0-9A-Fa-f]*)\.?$'
-                          THEN {_NUMBERS.format(host='__typed')} END""")
-    d = step(d, name=f"CASE WHEN __nums IS NULL THEN __typed ELSE {_dotted('__nums')} END")
-    d = step(d, error=rf"""
-        CASE WHEN coalesce(`{url}`, '') = '' THEN 'missing'
+        tail=_resolved("substring(__rest, length(__auth) + 1)")))
+    steps.append(dict(nums=rf"""CASE WHEN right(__typed, 1) RLIKE '[0-9a-fx.]' AND __typed RLIKE r'(?:^|\.)(?:[0-9]+|0[xX][0-9A-Fa-f]*)\.?$'
+                          THEN {_NUMBERS.format(host='__typed')} END"""))
+    steps.append(dict(name=f"CASE WHEN __nums IS NULL THEN __typed ELSE {_dotted('__nums')} END"))
+    steps.append(dict(error=rf"""
+        CASE WHEN coalesce({url}, '') = '' THEN 'missing'
              WHEN __scheme = '' THEN 'invalid'
              WHEN NOT __web THEN NULL
              WHEN __given = '' AND __name RLIKE '^[a-z0-9._-]+$' THEN NULL
              WHEN coalesce(__name, '') = '' THEN 'invalid'
              WHEN NOT __name RLIKE r'^\[[0-9a-f:.]+\]$' AND __name RLIKE r'[\x00-\x20#/:<>?@\[\\\]^|\x7F]' THEN 'invalid'
              WHEN length(__given) > 5 OR try_cast(__given AS int) > 65535 THEN 'invalid'
-             WHEN __name RLIKE r'[^\x00-\x7F]|%' THEN 'unsupported' END""")
+             WHEN __name RLIKE r'[^\x00-\x7F]|%' THEN 'unsupported' END"""))
     ok = "__error IS NULL"
     parts = rf"""named_struct(
         'ok', {ok},
@@ -138,6 +133,20 @@ def with_url_parts(df, url, out):
         'port', CASE WHEN __web AND __given <> map({_PORTS})[__scheme] THEN __given ELSE '' END,
         'path', CASE WHEN {ok} AND __web THEN {_encoded('__tail')} END,
         'query', CASE WHEN {ok} AND __web THEN {canonical_query_sql('__query')} END)"""
+    return steps, parts
+
+
+def with_url_parts(df, url, out):
+    """Add struct ``out`` with ``ok, error, scheme, userinfo, host, port, path, query``.
+
+    ``error`` is ``missing`` (NULL or empty), ``invalid`` (not a URL) or
+    ``unsupported`` (a host that needs IDN processing). Opaque schemes such as
+    ``mailto:`` are valid URLs with an empty host.
+    """
+    steps, parts = part_steps(f"`{url}`")
+    d = df
+    for step in steps:
+        d = d.selectExpr("*", *[f"{sql} AS `__{name}`" for name, sql in step.items()])
     return once(d, F.expr(parts), out).select(*df.columns, out)
 
 
