@@ -39,12 +39,15 @@ def cache_lookup(req, writes, ttl_s=None, segment_s=300, key="url_key", ts="ts",
         F.lit(None).cast(cached.schema["_w"].dataType).alias("_w"))
     rows = cached.unionByName(asked, allowMissingColumns=True).withColumn("_seg", _segment(F.col("_at"), segment_s))
 
-    last = rows.groupBy("_key", "_seg").agg(
-        F.max("_w").alias("_last"), F.max("_side").alias("_asked"))
-    before = Window.partitionBy("_key").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    segment = _segment(F.col("_at"), segment_s)
+    last = cached.groupBy("_key", segment.alias("_seg")).agg(F.max("_w").alias("_last"))
+    asked_in = asked.select("_key", segment.alias("_seg")).distinct()
+    before = Window.partitionBy("_key").orderBy("_seg").rangeBetween(Window.unboundedPreceding, -1)
     handed = (
-        last.withColumn("_w", F.last("_last", ignorenulls=True).over(before))
-        .filter(F.col("_w").isNotNull() & (F.col("_asked") == 1))
+        last.withColumn("_asked", F.lit(False))
+        .unionByName(asked_in.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+        .withColumn("_w", F.last("_last", ignorenulls=True).over(before))
+        .filter(F.col("_asked") & F.col("_w").isNotNull())
         .select("_key", F.col("_w.at").alias("_at"), F.lit(0).alias("_side"),
                 F.lit(None).cast(req.schema[request_id].dataType).alias(request_id), "_w", "_seg"))
 

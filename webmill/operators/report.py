@@ -57,39 +57,31 @@ def upsert(target, changes, keys, seq, created="created_at", at="at"):
     rows count as older than every change. One aggregate over the union serves
     any number of changes per key, with partial results before the shuffle.
     """
-    values = [c for c in changes.columns if c not in [*keys, seq, at]]
-    new = changes.select(*keys, F.struct(*values).alias("_v"), F.col(seq).cast("long").alias("_seq"),
-                         F.col(at).alias("_at"), F.lit(None).cast("timestamp").alias("_made"))
-    rows = new
-    if target is not None:
-        old = target.select(*keys, F.struct(*[
-            F.col(v).cast(changes.schema[v].dataType).alias(v) for v in values]).alias("_v"),
-            F.lit(-1).cast("long").alias("_seq"), F.col("updated_at").alias("_at"), F.col(created).alias("_made"))
-        rows = old.unionByName(new)
-    return (
-        rows.groupBy(*keys).agg(
-            F.max_by("_v", "_seq").alias("_v"),
-            F.coalesce(F.min("_made"), F.min_by("_at", "_seq")).alias(created),
-            F.max_by("_at", "_seq").alias("updated_at"))
-        .select(*keys, "_v.*", created, "updated_at"))
+    return _merge(target, changes, keys, seq, created, at, lambda v: F.col("_seq"))
 
 
-def upsert_keep_known(target, changes, keys, seq, created="created_at", at="at"):
-    """Like ``upsert``, but a NULL never replaces a known value."""
+def _merge(target, changes, keys, seq, created, at, order):
+    """Column-wise ``max_by``: for numbers and times this is a hash aggregate, without a sort."""
     values = [c for c in changes.columns if c not in [*keys, seq, at]]
-    cols = [*keys, *values, F.col(seq).cast("long").alias("_seq"), F.col(at).alias("_at")]
-    rows = changes.select(*cols, F.lit(None).cast("timestamp").alias("_made"))
+    rows = changes.select(
+        *keys, *values, F.col(seq).cast("long").alias("_seq"), F.col(at).alias("_at"),
+        F.lit(None).cast("timestamp").alias("_made"))
     if target is not None:
         rows = target.select(
-            *keys, *values, F.lit(-1).cast("long").alias("_seq"), F.col("updated_at").alias("_at"),
+            *keys, *[F.col(v).cast(changes.schema[v].dataType).alias(v) for v in values],
+            F.lit(-1).cast("long").alias("_seq"), F.col("updated_at").alias("_at"),
             F.col(created).alias("_made")).unionByName(rows)
-    last_known = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_seq"))).alias(v) for v in values]
     return rows.groupBy(*keys).agg(
-        *last_known,
+        *[F.max_by(v, order(v)).alias(v) for v in values],
         F.coalesce(F.min("_made"), F.min_by("_at", "_seq")).alias(created),
         F.max_by("_at", "_seq").alias("updated_at"))
 
 
+def upsert_keep_known(target, changes, keys, seq, created="created_at", at="at"):
+    """Like ``upsert``, but a NULL never replaces a known value."""
+    return _merge(target, changes, keys, seq, created, at, lambda v: F.when(F.col(v).isNotNull(), F.col("_seq")))
+
+
 def split_valid_metrics(df, body="body", received="received_at"):
     """Parse metric payloads: ``error_code`` is NULL for valid rows.
 

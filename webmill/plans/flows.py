@@ -12,12 +12,14 @@ def token_savings_by_section(pages):
 
     Extraction runs in the scan's tasks and only token counts leave them, so
     the one wide column is never shuffled. Copies of a page meet in a shuffle of
-    narrow rows, where the smallest page id wins.
+    narrow rows, where the smallest page id wins; host and section follow from
+    the key, so the aggregate holds only numbers and stays a hash aggregate.
     """
     c = page_ops.extract_markdown(page_ops.with_url_key(page_ops.canonicalise(pages)))
     good = c.filter(F.col("canonical").isNotNull() & F.col("markdown").isNotNull()).select(
         "url_key", "page_id", "host", urls.section_of(F.col("path")).alias("section"), "html_tokens", "md_tokens")
-    one = access.first_per_group(good, ["url_key"], ["page_id"])
+    one = good.groupBy("url_key", "host", "section").agg(
+        F.min_by("html_tokens", "page_id").alias("html_tokens"), F.min_by("md_tokens", "page_id").alias("md_tokens"))
     sums = one.groupBy("host", "section").agg(
         F.count(F.lit(1)).alias("pages"),
         F.sum(F.col("html_tokens").cast("long")).alias("html_tokens"),
