@@ -5,9 +5,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from webmill import lists, schemas
-from webmill.functions import text, urls
+from webmill.functions import urls
 from webmill.operators import (
-    access, audits, cache, crawl, golden, ops, pages as page_ops, ranking, report, seeds, traffic,
+    access, audits, cache, crawl, golden, ops, pages as page_ops, report, seeds, traffic,
 )
 from webmill.plans import flows
 from webmill.plans.derived import AS_OF, CONFIG_TIME, Derived
