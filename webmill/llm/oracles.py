@@ -67,4 +67,67 @@ WITH RECURSIVE remainders AS (
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (nth - min(nth) OVER (PARTITION BY shard))::BIGINT AS slot,
        NULL::INTEGER AS grown_shard
 FROM cut""",
+    # rules of at most two tokens are counted directly instead of mined
+    "op2_url_rules": r"""
+WITH cut AS (
+    SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+    SELECT page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS h, coalesce(rest, '') AS rest FROM cut
+), paths AS (
+    SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path,
+           regexp_extract(substr(rest, length(h) + 1), '^[^?#]*[?]([^#]*)', 1) AS query
+    FROM hosts
+), rules(kind, rhost, rpath) AS (
+    VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+           ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), ruled AS (
+    SELECT page_id, host, path, query, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
+           arg_max(kind, length(rhost || rpath)) AS kind
+    FROM paths LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+    GROUP BY ALL
+), parts AS (
+    SELECT page_id, 'h' || (i - 1) || ':' AS k, list_reverse(string_split(host, '.'))[i] AS v FROM ruled, range(1, 5) r(i)
+    UNION
+    SELECT page_id, 'p' || (i - 1) || ':', list_filter(string_split(path, '/'), lambda x: x <> '')[i] FROM ruled, range(1, 4) r(i)
+    UNION
+    SELECT page_id, 'q:', string_split(list_filter(string_split(query, '&'), lambda x: x <> '')[i], '=')[1] FROM ruled, range(1, 5) r(i)
+), tokens AS (
+    SELECT DISTINCT page_id, k || v AS t FROM parts WHERE v IS NOT NULL AND (v <> '' OR k = 'q:')
+), sets AS (
+    SELECT page_id, t AS a, t AS b FROM tokens
+    UNION ALL
+    SELECT x.page_id, x.t, y.t FROM tokens x JOIN tokens y ON x.page_id = y.page_id AND x.t < y.t
+), mined AS (
+    SELECT a, b, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY a, b) AS seen
+    FROM sets JOIN ruled USING (page_id) WHERE kind IS NOT NULL GROUP BY a, b, kind
+), kept AS (
+    SELECT a, b, kind, n / seen AS confidence FROM mined
+    WHERE n >= ceil(0.01 * (SELECT count(*) FROM ruled WHERE kind IS NOT NULL)) AND n / seen >= 0.8
+), fired AS (
+    SELECT page_id, max(confidence) FILTER (kept.kind = 'block') AS block_confidence,
+           max(confidence) FILTER (kept.kind = 'allow') AS allow_confidence
+    FROM sets JOIN kept USING (a, b) GROUP BY page_id
+)
+SELECT page_id, host, path, rule,
+       coalesce(kind, CASE WHEN coalesce(block_confidence, 0) > coalesce(allow_confidence, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+       block_confidence, allow_confidence
+FROM ruled LEFT JOIN fired USING (page_id)""",
+    "op8_embedding_dedup": r"""
+WITH RECURSIVE good AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.9
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), lowest AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), counts AS (
+    SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM lowest LEFT JOIN counts USING (vec_id)""",
 }

@@ -1,8 +1,10 @@
 """Registered queries of this package: each applies one operator to its whole table."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from webmill.llm import line_frequency, sharding
+from webmill.llm import (
+    bpe_trie, embedding_dedup, line_frequency, logistic, packing, quality, sharding, token_counts, toxicity, url_rules)
 from webmill.session import use_utc
 
 
@@ -18,13 +20,64 @@ def op1_line_frequency(spark, folder):
         (~failed & ~F.col("depleted")).alias("kept"), "removed_words")
 
 
+#: (verdict, host, path)
+URL_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"))
+
+
+def op2_url_rules(spark, folder):
+    judged = url_rules.judge(table(spark, folder, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_confidence", "allow_confidence")
+
+
 def op3_sharding(spark, folder):
     sizes = sharding.sized(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
     return sharding.shards(sizes, 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", logistic.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_packing(spark, folder):
+    cut = packing.pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(cut)
+
+
+def op6_token_counts(spark, folder):
+    counts = token_counts.count(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op8_embedding_dedup(spark, folder):
+    found = embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def op9_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    judged = quality.judge(docs.select("doc_id", "text", "source", "lang"), quality.train(docs, table(spark, folder, "labels")), text=False)
+    return judged.select("doc_id", "evidence", "host_rate", "path_rate", "quality_score", "kept")
+
+
+def op10_bpe_trie(spark, folder):
+    return bpe_trie.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_url_rules": op2_url_rules,
     "op3_sharding": op3_sharding,
+    "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
+    "op6_token_counts": op6_token_counts,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_quality": op9_quality,
+    "op10_bpe_trie": op10_bpe_trie,
 }
