@@ -113,6 +113,27 @@ SELECT page_id, host, path, rule,
        coalesce(kind, CASE WHEN coalesce(block_confidence, 0) > coalesce(allow_confidence, 0) THEN 'block' ELSE 'allow' END) AS verdict,
        block_confidence, allow_confidence
 FROM ruled LEFT JOIN fired USING (page_id)""",
+    "op7_minhash_dedup": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) > 1 THEN w[i] || ' ' || w[i + 1] ELSE w[1] END AS s
+    FROM words, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 1, least(len(w), 1)))) AS i)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), lowest AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM lowest LEFT JOIN sizes USING (doc_id)""",
     "op8_embedding_dedup": r"""
 WITH RECURSIVE good AS (
     SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from webmill.llm import (
-    bpe_trie, embedding_dedup, line_frequency, logistic, packing, quality, sharding, token_counts, toxicity, url_rules)
+    bpe_trie, embedding_dedup, line_frequency, logistic, minhash_dedup, packing, quality, sharding, token_counts, toxicity, url_rules)
 from webmill.session import use_utc
 
 
@@ -54,6 +54,12 @@ def op6_token_counts(spark, folder):
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_minhash_dedup(spark, folder):
+    found = minhash_dedup.near_duplicates(table(spark, folder, "documents"), width=2)
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op8_embedding_dedup(spark, folder):
     found = embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
     kept = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
@@ -77,6 +83,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_bpe_trie": op10_bpe_trie,
