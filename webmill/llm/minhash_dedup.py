@@ -278,4 +278,5 @@ def without_duplicates(docs, key="doc_id", **options):
     """
     found = near_duplicates(docs, key, **options)
     drop = stored(found.filter(~F.col("first")).select(F.col("_row").alias("_drop")), "duplicates")
-    return docs.withColumn("_row", row_id()).join(drop, F.col("_row") == F.col("_drop"), "left_anti").drop("_row")
+    numbered = docs.select(row_id().alias("_row"), F.struct("*").alias("_doc"))  # so that no column of docs can clash
+    return numbered.join(drop, F.col("_row") == F.col("_drop"), "left_anti").select("_doc.*")

@@ -10,7 +10,7 @@ The fit uses at most ``per_class`` labelled documents of each class; sites and s
 
 Cases: a null text is empty and leaves the decision to its site; null hosts and paths are those named by the empty
 string; without labels of both classes the evidence is that one class (good without labels); repeated rows each count
-and get a row; no rows give none; other columns are kept, and names starting with an underscore are reserved.
+and get a row; no rows give none; other columns are kept by ``accepted`` whatever their names.
 """
 
 from typing import NamedTuple
@@ -95,17 +95,19 @@ def evidence(texts, model):
     return logistic(np.clip(model.intercept + (make_up(texts) - model.center) / model.scale @ model.weights, -20, 20))
 
 
-def with_evidence(docs, model, host="source", path="lang", text=True):
-    """Adds ``_p``, ``_host`` and ``_path``; ``text=False`` drops the text."""
-    keep = docs.columns if text else [c for c in docs.columns if c != "text"]
-    docs = docs.select("*", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host, "_host"), (path, "_path"))))
+def with_evidence(docs, model, host, path, keep=()):
+    """The columns ``keep`` as c0, c1, .. with ``_host``, ``_path`` and the evidence ``_p``; no name of docs can clash."""
+    keep = list(keep)
+    text = f"c{keep.index('text')}" if "text" in keep else "_text"
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host, "_host"), (path, "_path"))]
+    rows = docs.select(*carried, *site, *([] if "text" in keep else [F.col("text").alias("_text")]))
+    out = [f"c{i}" for i in range(len(keep))] + ["_host", "_path"]
 
     def run(batches):
-        for batch in slices(batches):
-            p = pa.array(evidence(whole(batch["text"]), model))
-            yield batch.select([*keep, "_host", "_path"]).append_column("_p", p)
-    spec = docs.select(*keep, "_host", "_path").schema.add("_p", "double")
-    return docs.mapInArrow(run, spec)
+        for batch in slices(batches, text):
+            yield batch.select(out).append_column("_p", pa.array(evidence(whole(batch[text]), model)))
+    return rows.mapInArrow(run, rows.select(*out).withColumn("_p", F.lit(0.0)).schema)
 
 
 def concentration(cells, rate, parent):
@@ -138,18 +140,27 @@ def odds(p):
     return F.log(p / (1 - p))
 
 
-def judge(docs, model, host="source", path="lang", text=True):
-    """Documents with ``host_rate``, ``path_rate``, ``quality_score`` and ``kept``.
+def scored(docs, model, host, path, keep):
+    """``with_evidence`` with ``host_rate``, ``path_rate``, ``score`` and ``kept``.
 
     The site table is stored first, so its size is known: a small one is broadcast, a large one joined by shuffle with
     skewed hosts split.
     """
-    table, rate = sites(with_evidence(docs.select("text", host, path), model, host, path, text=False))
-    scored = with_evidence(docs, model, host, path, text)
-    joined = scored.join(table, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_q")))
+    table, rate = sites(with_evidence(docs, model, host, path))
+    joined = with_evidence(docs, model, host, path, keep).join(table, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_q")))
     own = (F.col("k") * F.col("host_rate") + F.col("s") - F.col("_p")) / (F.col("k") + F.col("n") - 1)
     joined = joined.withColumn("path_rate", F.least(F.greatest(own, F.lit(0.0)), F.lit(1.0)))
     posterior = odds(F.col("_p")) - F.lit(float(np.log(rate / (1 - rate)))) + odds(F.col("path_rate"))
-    joined = joined.withColumn("quality_score", 1 / (1 + F.exp(-posterior)))
-    keep = scored.columns[:-3]
-    return joined.select(*keep, F.col("_p").alias("evidence"), "host_rate", "path_rate", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+    return joined.withColumn("score", 1 / (1 + F.exp(-posterior))).withColumn("kept", F.col("score") >= 0.5)
+
+
+def judge(docs, model, host="source", path="lang", key="doc_id"):
+    """(key, evidence, host_rate, path_rate, quality_score, kept) of each document."""
+    return scored(docs, model, host, path, [key]).select(
+        F.col("c0").alias(key), F.col("_p").alias("evidence"), "host_rate", "path_rate", F.col("score").alias("quality_score"), "kept")
+
+
+def accepted(docs, model, host="source", path="lang"):
+    """The documents that are kept, with all their columns."""
+    return scored(docs, model, host, path, docs.columns).filter("kept").select(
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -32,8 +32,7 @@ def op2_url_rules(spark, folder):
 
 
 def op3_sharding(spark, folder):
-    sizes = sharding.sized(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
-    return sharding.shards(sizes, 8).select(
+    return sharding.shards(sharding.sized(table(spark, folder, "documents")), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -68,8 +67,7 @@ def op8_embedding_dedup(spark, folder):
 
 def op9_quality(spark, folder):
     docs = table(spark, folder, "documents")
-    judged = quality.judge(docs.select("doc_id", "text", "source", "lang"), quality.train(docs, table(spark, folder, "labels")), text=False)
-    return judged.select("doc_id", "evidence", "host_rate", "path_rate", "quality_score", "kept")
+    return quality.judge(docs, quality.train(docs, table(spark, folder, "labels")))
 
 
 def op10_bpe_trie(spark, folder):

@@ -5,7 +5,7 @@ per partition) gives every partition its offset. A row's shard is the equal slic
 byte, so shard sizes differ from the target by less than the largest document.
 
 Cases: a null text has no bytes; null ids come first; equal rows are told apart by a row number, so a frequent id
-is spread over partitions; an empty table gives no rows; extra columns pass through if named in ``keep``.
+is spread over partitions; an empty table gives no rows; extra columns are ignored.
 """
 
 import numpy as np
@@ -18,10 +18,10 @@ from webmill.llm.texts import row_id
 from webmill.session import cut_lineage
 
 
-def sized(docs):
-    """Size and checksum of each text."""
+def sized(docs, key="doc_id"):
+    """(doc_id, size, text_crc32): size and checksum of each text."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return docs.withColumns({"size": (F.length(raw) + 1).cast("long"), "text_crc32": F.crc32(raw)})
+    return docs.select(F.col(key).cast("long").alias("doc_id"), (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
 
 
 def running(batches):
@@ -37,10 +37,10 @@ def running(batches):
         count, total = count + len(size), int(ends[-1]) if len(size) else total
 
 
-def shards(sizes, n, order=("doc_id", "text_crc32", "size")):
-    """Adds ``shard`` (0 to n - 1) and ``slot`` (gapless from 0 in a shard) to a table with a ``size`` of 1 or more."""
-    columns = sizes.columns
-    laid = sizes.withColumn("_row", row_id())
+def shards(sizes, n):
+    """Adds ``shard`` (0 to n - 1) and ``slot`` (gapless from 0 in a shard) to the rows of ``sized``."""
+    columns = order = ["doc_id", "text_crc32", "size"]
+    laid = sizes.select(*columns, row_id().alias("_row"))
     laid = cut_lineage(laid.repartitionByRange(*order, "_row").sortWithinPartitions(*order, "_row").drop("_row"))
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema)
     numbered = laid.mapInArrow(running, f"{spec}, _nth long, _from long, _piece int")
