@@ -33,7 +33,7 @@ def fit(x, y, rate, ridge=1.0, penalty=None, steps=25):
     both classes all weights are 0 and the intercept alone tells the class.
     """
     n, d = x.shape
-    share = y.mean() if n else 0.5
+    share = y.mean() if n else 0.0
     if not 0 < share < 1:
         return np.zeros(d), -20.0 if share <= 0.5 else 20.0
     x1 = np.hstack([x, np.ones((n, 1))])

@@ -3,7 +3,8 @@
 Documents become pieces of at most ``capacity`` tokens; only longer documents are cut. Full pieces are sequences of
 their own. The others are dealt evenly to partitions of about ``per_partition`` pieces and packed best-fit decreasing.
 A partition whose number of bins equals its lower bound is certified and final. The pieces of partitions with gaps
-are dealt anew among these partitions and packed again; a round that saves nothing is undone and ends the work.
+are dealt anew among these partitions and packed again; a round that saves nothing is undone and ends the work. What
+is left with a gap is also packed bin by bin with the best-filling sizes, and the better packing of the two stays.
 
 Cases: a null text is an empty one, and an empty document is its end token; repeated rows are packed each; no rows
 give no sequences. Rows are told apart by a number, so repeated or null ids are dealt evenly too.
@@ -88,14 +89,51 @@ def best_fit(sizes, capacity):
     return where, at, count
 
 
-def packer(capacity, round_):
+def filled(sizes, capacity):
+    """Bin and offset of each size, and the number of bins: the largest size first, then those that fill its bin best.
+
+    The sums that the other sizes can reach are bits of one number, so a bin takes few steps per size.
+    """
+    stock = {}
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        stock.setdefault(int(sizes[i]), []).append(i)
+    where, at, count = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
+    order = list(stock)
+    while order:
+        free, steps, reach = capacity - order[0], [], 1
+        for size in order:
+            for _ in range(min(len(stock[size]) - (size == order[0]), free // size)):
+                steps.append((size, reach))
+                reach |= reach << size & (2 << free) - 1
+                if reach >> free & 1:
+                    break
+            if reach >> free & 1:
+                break
+        total, taken = reach.bit_length() - 1, [order[0]]
+        for size, before in reversed(steps):
+            if not before >> total & 1:
+                taken.append(size)
+                total -= size
+        place = 0
+        for size in taken:
+            i = stock[size].pop()
+            where[i], at[i], place = count, place, place + size
+        count += 1
+        order = [s for s in order if stock[s]]
+    return where, at, count
+
+
+def packer(capacity, round_, last=False):
     def pack(group):
         sizes = group["length"].to_numpy()
         where, at, bins = best_fit(sizes, capacity)
-        n = len(sizes)
-        return group.drop_columns(["_part"]).append_column("_group", pa.array(np.asarray(group["_part"]) * 64 + round_)).append_column(
+        bound = lower_bound(sizes, capacity)
+        if last and bins > bound:
+            where, at, bins = min((where, at, bins), filled(sizes, capacity), key=lambda p: p[2])
+        n, part = len(sizes), np.asarray(group["_part"])
+        return group.drop_columns(["_part"]).append_column("_group", pa.array(part if last else part * 64 + round_)).append_column(
             "_bin", pa.array(where)).append_column("offset", pa.array(at)).append_column(
-            "_bins", pa.array(np.full(n, bins))).append_column("_bound", pa.array(np.full(n, lower_bound(sizes, capacity))))
+            "_bins", pa.array(np.full(n, bins))).append_column("_bound", pa.array(np.full(n, bound)))
     return pack
 
 
@@ -116,17 +154,18 @@ def pack(cut, capacity=2048, per_partition=20_000, rounds=4):
     spec += ", _group long, _bin long, offset long, _bins long, _bound long"
     done = lambda df: df.select(
         *names, (2 * (F.col("_group") * (1 << 32) + F.col("_bin")) + 1).alias("sequence_id"), "offset", (F.col("_bins") == F.col("_bound")).alias("certified"))
+    refined = lambda df: df.select(*names, "_uid", F.col("_group").alias("_part")).groupBy("_part").applyInArrow(packer(capacity, 0, True), spec)
     for round_ in range(rounds):
         dealt = rest.withColumn("_part", F.pmod(F.xxhash64("_uid", F.lit(round_)), F.lit(parts)))
         packed = stored(dealt.groupBy("_part").applyInArrow(packer(capacity, round_), spec), "packed")
         if before is not None and total_bins(packed)[1] >= before[1]:
-            final.append(done(gaps))
+            final.append(done(refined(gaps)))
             break
         final.append(done(packed.filter("_bins = _bound")))
         gaps = packed.filter("_bins > _bound")
         before = total_bins(gaps)
         if before[0] < 2 or round_ == rounds - 1:  # nothing is left, or no other partition to exchange with
-            final.append(done(gaps))
+            final.append(done(refined(gaps)))
             break
         rest, parts = gaps.select(*names, "_uid"), before[0]
     out = final[0]

@@ -1,6 +1,6 @@
 """Quality by hierarchical empirical Bayes: a document classifier's evidence combined with host and path posteriors.
 
-The classifier sees the make-up of a text only (shares of capitals, digits, symbols and so on). Its probabilities are
+The classifier sees the make-up of a text only (shares of capitals, digits, symbols, repeated words and so on). Its probabilities are
 summed per host and per path of a host in one grouped aggregation. A host's rate of good documents is shrunk towards
 the global rate, a path's rate towards its host's, each by a concentration that the method of moments takes from the
 spread between hosts and between paths. A document's posterior odds are its evidence times the odds of its path, from
@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from webmill.llm.line_frequency import repeat_words
 from webmill.llm.logistic import fit as fit_weights
 from webmill.llm.logistic import labelled, logistic, sample_of
-from webmill.llm.texts import slices, stored, whole
+from webmill.llm.texts import per_row, slices, stored, whole, words_of
 
 #: Classes of bytes; the rest (UTF-8 continuation and lead bytes) is the last class.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\v\f", "\n", "#*$%&", "|", "<>{}[]=\\/_~^`@+", "!?", ".,;:", "\"'()-")
-FEATURES = len(CLASSES) + 4
+FEATURES = len(CLASSES) + 6
 
 
 class Model(NamedTuple):
@@ -43,7 +44,7 @@ def byte_classes():
 
 
 def make_up(texts):
-    """Features of each text: byte class shares, word and line lengths, size."""
+    """Features of each text: byte class shares, repetition, word and line lengths, size."""
     n = len(texts)
     size = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]) if n else np.zeros(0, np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -63,6 +64,11 @@ def make_up(texts):
     space = (kind == 3) | (kind == 4)
     words = summed(np.concatenate([space[1:] < space[:-1], [False]]) if len(space) else space) + 1
     lines, most = out[:, 4] + 1, np.maximum(size, 1)
+    own = words_of(texts)
+    again = (own.codes[1:] == own.codes[:-1]) & (own.rows[1:] == own.rows[:-1])
+    number = np.maximum(np.diff(own.bounds), 1)
+    out[:, -5] = per_row(own.rows[1:][again], n) / number
+    out[:, -4] = repeat_words(own) / number
     out[:, :len(CLASSES) + 1] /= most[:, None]
     out[:, -3] = np.log1p(size / words)
     out[:, -2] = np.log1p(size / lines)

@@ -1,7 +1,7 @@
 """Counterfactual-regularised toxicity classifier.
 
-A document's score is a logistic function of the words it holds. Words are chosen by the log-likelihood ratio of their
-document counts in both classes. Identity terms are always features: every labelled sentence that names a group is
+A document's score is a logistic function of the words and word beginnings it holds. These are chosen by the
+log-likelihood ratio of their document counts in both classes. Identity terms are always features: every labelled sentence that names a group is
 read again with the term swapped for the other terms of its set, and the squared change of the score is penalised.
 So the terms of a set end up with nearly equal weights, and a group that toxic sentences mention often does not make
 neutral sentences about it toxic. Weights common to a whole set are kept down by the ridge.
@@ -36,6 +36,8 @@ IDENTITY_SETS = (
 )
 SENTENCE_END = r"[.!?\n]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+STEMS = (4, 5)
+STAR, EMPTY = (pa.scalar(t, pa.large_string()) for t in ("*", ""))
 
 
 class Model(NamedTuple):
@@ -49,13 +51,22 @@ def words_in(texts):
     return parts(pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), NOT_WORD, " ")))
 
 
+def features_of(words):
+    """Features of each distinct word: itself, and its first four and five letters marked with a star."""
+    stems = [pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, n), STAR, EMPTY) for n in STEMS]
+    longer = [pc.greater(pc.utf8_length(words), n) for n in STEMS]
+    return [words, *(pc.if_else(more, stem, pa.scalar(None, pa.large_string())) for more, stem in zip(longer, stems))]
+
+
 def held(words, known):
-    """Row and number in ``known`` of the known words of each text, each once."""
-    number = pc.fill_null(pc.index_in(words.vocab, value_set=pa.array(known, pa.large_string())), -1).to_numpy(zero_copy_only=False)
-    found = number[words.codes]
-    hit = found >= 0
+    """Row and number in ``known`` of the known features of each text, each once."""
     size = max(len(known), 1)
-    keys = np.unique(words.rows[hit] * size + found[hit])
+    keys = [np.zeros(0, np.int64)]
+    for names in features_of(words.vocab):
+        number = pc.fill_null(pc.index_in(names, value_set=pa.array(known, pa.large_string())), -1).to_numpy(zero_copy_only=False)
+        found = number[words.codes]
+        keys.append(words.rows[found >= 0] * size + found[found >= 0])
+    keys = np.unique(np.concatenate(keys))
     return keys // size, keys % size
 
 
@@ -63,15 +74,18 @@ def terms_of(sets):
     return sorted({t for s in sets for t in s})
 
 
-def chosen_words(docs, features=256, least=10, ratio=30.0):
-    """Words whose document counts differ between the classes, most telling first."""
+def chosen_words(docs, features=256, least=4, ratio=16.0):
+    """Words and stems whose document counts differ between the classes, most telling first."""
     def holders(batches):
         for batch in slices(batches):
             words = words_in(whole(batch["text"]))
-            size = max(len(words.vocab), 1)
-            keys = np.unique(words.rows * size + words.codes)
-            yield pa.RecordBatch.from_arrays(
-                [words.vocab.take(pa.array(keys % size)).cast(pa.string()), batch["label"].take(pa.array(keys // size))], names=["word", "label"])
+            for names in features_of(words.vocab):
+                coded = names.dictionary_encode()
+                codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)[words.codes]
+                size = max(len(coded.dictionary), 1)
+                keys = np.unique(words.rows[codes >= 0] * size + codes[codes >= 0])
+                yield pa.RecordBatch.from_arrays(
+                    [coded.dictionary.take(pa.array(keys % size)).cast(pa.string()), batch["label"].take(pa.array(keys // size))], names=["word", "label"])
     n1, n0 = (docs.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first())
     if not n1 or not n0:
         return []
@@ -115,7 +129,7 @@ def penalty(words, counts, sets, strength):
     return out
 
 
-def train(docs, labels, column="toxic", sets=IDENTITY_SETS, strength=1.0, per_class=10_000, features=256, ridge=1.0):
+def train(docs, labels, column="toxic", sets=IDENTITY_SETS, strength=1.0, per_class=10_000, features=256, ridge=0.1):
     """Fit on documents (doc_id, text) and labels (doc_id, ``column``), never on held-out rows."""
     sample, rate = sample_of(labels, column, per_class)
     docs = labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample)
