@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from webmill.functions import text, urls
+from webmill.functions import markdown, text, urls
 from webmill.operators import pages
 
 CANONICAL = [
@@ -26,7 +26,10 @@ CANONICAL = [
     ("https://256.1.1.1/", None, "invalid"),
     ("https://a.com/é b", "https://a.com/%C3%A9%20b", None),
     ("  https:a.com\\b ", "https://a.com/b", None),
-    ("https://é.com/", None, "unsupported"),
+    ("https://é.com/", "https://xn--9ca.com/", None),
+    ("https://BÜCHER.de/x", "https://xn--bcher-kva.de/x", None),
+    ("https://0x000000000007f.0000000000000000001/", "https://127.0.0.1/", None),
+    ("https://a%20b.com/", None, "unsupported"),
     ("https://a.com:99999/", None, "invalid"),
     ("https:///", None, "invalid"),
     ("not a url", None, "invalid"),
@@ -158,3 +161,13 @@ def test_filters_do_not_repeat_the_extraction(spark):
     df = pages.extract_markdown(spark.createDataFrame([(PAGE,)], "html string")).filter("markdown is not null")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?is)<h1") == 1
+
+
+@pytest.mark.parametrize("source,want", [
+    ("caf&eacute; &notin; &nbsp;&amp;", "café ∉  &"), ("&#38;lt; &amp;lt;", "&lt; &lt;"), ("&#0000000065;&#x000041;", "AA"),
+    ("&#0; &#xD800; &#1114112; &#99999999999;", "&#0; &#xD800; &#1114112; &#99999999999;"), ("a & b &c &nope; &;", "a & b &c &nope; &;"),
+    ("&#128512;&lt;&gt;", "😀<>"), ("&&amp;", "&&"), (None, None),
+])
+def test_character_references_are_decoded_once(spark, source, want):
+    df = spark.createDataFrame([(source,)], "t string")
+    assert df.select(markdown.decode_entities(F.col("t")).alias("t")).first().t == want

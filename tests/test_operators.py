@@ -1,6 +1,7 @@
 """Traps of the request, access, cache, seed and report operators on small tables."""
 
 import hashlib
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -10,6 +11,8 @@ from webmill import lists
 from webmill.operators import (
     access, audits, cache, crawl, golden, ops, pages, ranking, report, seeds, traffic,
 )
+from webmill.plans import flows
+from webmill.plans.derived import spread
 from webmill.sources import readers, sinks
 from webmill.session import work_dir
 
@@ -122,9 +125,10 @@ def test_followers_against_brute_force(spark):
 
 
 def test_invalidations(spark):
-    w = spark.createDataFrame([(1, "k", at(0)), (2, "k", at(50)), (3, "j", at(0))], "wid long, url_key string, written_at timestamp")
+    w = spark.createDataFrame([(1, "k", at(0), "md"), (2, "k", at(50), "md"), (3, "j", at(0), "md"), (4, "k", at(0), "html"), (5, "k", at(0), "tokens")],
+                              "wid long, url_key string, written_at timestamp, kind string")
     i = spark.createDataFrame([("k", at(10), at(20)), ("j", at(0), at(400))], "url_key string, issued_at timestamp, received_at timestamp")
-    assert sorted(r.wid for r in cache.apply_invalidations(w, i).collect()) == [2, 3]
+    assert sorted(r.wid for r in cache.apply_invalidations(w, i).collect()) == [2, 3, 4, 5]
 
 
 def test_site_map_shapes(spark):
@@ -276,3 +280,85 @@ def test_preview_cuts_long_texts(spark):
     df = spark.createDataFrame([(1, "a\n\n\n\nb" + "c" * 20, 6)], "i int, markdown string, md_tokens int")
     row = pages.preview(df, limit=5).first()
     assert row.preview == "a\n\nbc" and row.truncated and row.size_label == "24 B"
+
+
+def test_preview_cuts_between_characters(spark):
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(["😀😀😀😀", "a😀😀", "ééééé", "a😀b", None])], "i int, markdown string, md_tokens int")
+    rows = {r.i: (r.preview, r.truncated) for r in pages.preview(df, limit=4).collect()}
+    assert rows == {0: ("😀😀", True), 1: ("a😀", True), 2: ("éééé", True), 3: ("a😀b", False), 4: (None, False)}
+
+
+def test_large_sites_and_crawls_keep_everything(spark):
+    urls = [f"https://a.com/{i}" for i in range(6000)]
+    maps = spark.createDataFrame([("c", "d", "a.com", json.dumps(urls))], "customer_id string, domain_id string, hostname string, payload string")
+    assert seeds.starter_candidates(maps).count() == 6000
+    assert seeds.starter_candidates(maps, cap=5).agg(F.max("ordinal")).first()[0] == 4
+    data = [{"markdown": "# x", "metadata": {"sourceURL": u, "title": "t"}} for u in urls[:150]]
+    replies = spark.createDataFrame([("j", "c", json.dumps({"status": "completed", "data": data}))], "crawl_id string, customer_id string, payload string")
+    for limit in (2, 500):
+        jobs = spark.createDataFrame([("j", "c", limit, True, [])], "id string, customer_id string, limit int, cache_results boolean, allowed_domains array<string>")
+        assert flows.store_crawl(replies, jobs)[1].count() == 150
+
+
+def test_job_replies_are_named(spark):
+    bodies = ['{"id": "false", "urls": ["u"]}', '{"id": "0", "urls": ["u"]}', '{"jobId": 7, "urls": ["u"]}', '{"job_id": {}, "urls": ["u"]}', "{broken",
+              '{"id": false, "urls": ["u"]}', '{"id": 0, "urls": ["u"]}', '{"id": "", "urls": ["u"]}', '{"id": 0.0, "urls": ["u"]}', "[]"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, payload string")
+    assert {r.i: r.reason for r in seeds.rejected_site_maps(df).collect()} == {
+        0: "job_reply", 1: "job_reply", 2: "job_reply", 3: "job_reply", 4: "invalid_json"}
+    assert sorted(r.i for r in seeds.explode_site_map(df).collect()) == [5, 6, 7, 8]
+
+
+def test_metric_counts_must_be_whole_and_in_range(spark):
+    body = '{"customerId":"c","url":"u","htmlTokens":%s,"mdTokens":%s}'
+    values = [("1", "2"), ("null", "2"), ("1.0", "2"), ("1.7", "2"), ("1", "99999999999"), ("1e300", "2"), ("2147483647", "-2147483648"), ("2147483648", "1"), ('"1"', "2")]
+    df = spark.createDataFrame([(i, body % v, at(i)) for i, v in enumerate(values)], "seq long, body string, received_at timestamp")
+    got = {r.seq: (r.error_code, r.html_tokens, r.md_tokens) for r in report.split_valid_metrics(df).collect()}
+    bad = ("invalid_number", None, None)
+    assert got == {0: (None, 1, 2), 1: (None, None, 2), 2: (None, 1, 2), 3: bad, 4: bad, 5: bad, 6: (None, 2147483647, -2147483648), 7: bad,
+                   8: ("missing_fields", None, None)}
+
+
+def test_refused_metrics_keep_their_payload(spark):
+    path = work_dir(spark, "metrics")
+    df = spark.createDataFrame([(1, "broken", at(0)), (1, '{"customerId":"c","url":"u","htmlTokens":1,"mdTokens":1}', at(1))], "seq long, body string, received_at timestamp")
+    sinks.append_metrics(df, 0, path)
+    assert [(r.body, r.error_code) for r in sinks.read_quarantine(spark, path).collect()] == [("broken", "invalid_json")]
+    assert sinks.read_metrics(spark, path).count() == 1
+
+
+def test_metric_payloads_are_parsed_once(spark):
+    df = spark.createDataFrame([(1, "{}", at(0))], "seq long, body string, received_at timestamp")
+    plan = report.split_valid_metrics(df).filter("error_code is null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().replace("_", "").count("parsejson") == 1
+
+
+def test_unknown_plans_and_customers_have_no_limits(spark):
+    usage = spark.createDataFrame([(c, "2024-01", 10**9) for c in ("free", "big", "odd", "none", "gone")], "customer_id string, month string, renders long")
+    accounts = spark.createDataFrame([("free", "free"), ("big", "enterprise"), ("odd", "gold"), ("none", None)], "id string, plan string")
+    got = {r.customer_id: (r.problem, r.overage) for r in ops.quota(usage, accounts).collect()}
+    assert got == {"free": (None, 10**9 - 1000), "big": (None, 0), "odd": ("unknown_plan", None), "none": ("unknown_plan", None), "gone": ("unknown_customer", None)}
+
+
+def test_sections_sort_by_locale(spark):
+    names = ["zeta", "über", "ab", "a-b", "_x", "1a", "Alpha"]
+    df = spark.createDataFrame([("c", f"https://a.com/{n}", i) for i, n in enumerate([*names, ""])], "customer_id string, url string, ordinal int")
+    rows = report.rank_sections(df).orderBy("section_rank").collect()
+    assert [r.section for r in rows] == ["/", "/_x", "/1a", "/a-b", "/ab", "/Alpha", "/über", "/zeta"]
+
+
+def test_long_keys_match_whole(spark):
+    config = spark.createDataFrame([("apikey:" + "k" * 100, '{"id": "c"}'), ("apikeyhash:" + "h" * 80, '{"id": "d"}')], "key string, document string")
+    req = spark.createDataFrame([(1, "k" * 100), (2, "k" * 99), (3, "x")], "request_id long, token string")
+    assert [r.request_id for r in access.auth_lookup(req, config).filter("auth_found").collect()] == [1]
+
+
+def test_large_tables_keep_their_html_in_place(spark):
+    few, many = spark.range(0, 10, 1, 1), spark.range(0, 10, 1, 64)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(many) is many
+    html = spark.range(0, 64, 1, 64).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.com/"), "id").alias("url"), F.lit("<main>x</main>").alias("html"))
+    for df in (flows.token_savings_by_section(spread(html)), pages.extract_markdown(spread(html)), pages.equivalence_audit(spread(html))):
+        plan = df._jdf.queryExecution().executedPlan()
+        for line in plan.toString().splitlines():
+            assert not ("Exchange" in line and "html#" in line)
+        assert "RoundRobin" not in plan.toString()

@@ -6,6 +6,8 @@ position (code, tables, numbered lists) are cut into segments at their tags, and
 the odd segments are the inside of the block.
 """
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from webmill.functions.text import once
@@ -48,14 +50,15 @@ TIDY = [
     (None, r"\n{3,}", "\n\n"),
 ]
 
-# Named character references; the ampersand is decoded last.
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"),
-    ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&times;", "×"),
-    ("&euro;", "€"), ("&pound;", "£"), ("&deg;", "°"), ("&amp;", "&"),
-]
+# Named character references of HTML5; a no-break space counts as a blank.
+NAMES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")} | {"nbsp": " "}
+
+
+def _names():
+    """The references as a constant map."""
+    codes = " ".join(char.encode().hex() for char in NAMES.values())
+    return F.expr(f"map_from_arrays(split('{' '.join(NAMES)}', ' '), transform(split('{codes}', ' '), x -> decode(unhex(x), 'UTF-8')))")
+
 
 PRE, TABLE, OL = r"(?i)</?pre\b[^>]*>", r"(?i)</?table\b[^>]*>", r"(?i)</?ol\b[^>]*>"
 FENCE_OPEN = "\n\n```" + KEEP_NL
@@ -99,26 +102,23 @@ def _numbered(s):
             F.concat(F.lit("\n"), i.cast("string"), F.lit(".  "), t))), ""), F.lit("\n\n"))
 
 
-def _numeric_entities(text):
-    """Decode ``&#169;`` and ``&#xA9;``."""
-    def one(s, i):
-        digits = F.coalesce(
-            F.nullif(F.regexp_extract(s, "^([0-9]{1,7});", 1), F.lit("")),
-            F.conv(F.nullif(F.regexp_extract(s, "^[xX]([0-9A-Fa-f]{1,6});", 1), F.lit("")), 16, 10)).try_cast("int")
-        valid = digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
-        return (F.when(i == 0, s)
-                .when(valid, F.concat(char, F.regexp_replace(s, "^[xX]?[0-9A-Fa-f]{1,7};", "")))
-                .otherwise(F.concat(F.lit("&#"), s)))
-    decoded = F.array_join(F.transform(F.split(text, "&#"), one), "")
-    return F.when(text.contains("&#"), decoded).otherwise(text)
-
-
 def decode_entities(text):
-    """Decode character references; texts that hold only ``&amp;`` take the short way."""
-    plain = _numeric_entities(text)
-    for name, char in ENTITIES:
-        plain = F.replace(plain, F.lit(name), F.lit(char))
+    """Decode character references once, from left to right; texts that hold only ``&amp;`` take the short way.
+
+    Numbers may have leading zeros; references to no character stay as they are.
+    """
+    def one(s, i):
+        ref = F.regexp_extract(s, "^(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexed = ref.rlike("^#[xX]")
+        digits = F.regexp_replace(ref, "^#[xX]?0*", "")
+        number = F.when(F.length(digits).between(1, 7), F.conv(digits, 16, 10)).try_cast("int")
+        number = F.when(hexed, number).otherwise(F.when(F.length(digits).between(1, 7), digits).try_cast("int"))
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(ref.startswith("#"), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+                      ).otherwise(F.element_at(_names(), ref))
+        return F.when(i == 0, s).otherwise(F.concat(
+            F.coalesce(F.concat(char, F.substr(s, F.length(ref) + 2)), F.concat(F.lit("&"), s))))
+    plain = F.array_join(F.transform(F.split(text, "&"), one), "")
     others = F.replace(text, F.lit("&amp;"), F.lit("")).contains("&")
     return (
         F.when(~text.contains("&"), text)

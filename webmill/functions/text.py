@@ -27,6 +27,14 @@ def utf16_length(col):
     return F.when(F.octet_length(col) == F.length(col), F.length(col)).otherwise(wide)
 
 
+def cut_utf16(col, limit):
+    """The first ``limit`` UTF-16 code units; a character that would be cut in half is left out."""
+    raw = F.encode(col, "UTF-16BE")
+    half = F.hex(F.substring(raw, 2 * limit - 1, 1)).between("D8", "DB")
+    wide = F.when(half, F.substring(raw, 1, 2 * limit - 2)).otherwise(F.substring(raw, 1, 2 * limit))
+    return F.when(F.octet_length(col) == F.length(col), F.substring(col, 1, limit)).otherwise(F.decode(wide, "UTF-16BE"))
+
+
 def estimate_tokens(col):
     """One token for each four UTF-16 code units, rounded up; empty and NULL give 0."""
     return F.floor((F.coalesce(utf16_length(col), F.lit(0)) + 3) / 4).cast("int")

@@ -71,8 +71,8 @@ def _resolved(path):
 # Parts of a numeric host: decimal, octal or hexadecimal; NULL if malformed.
 _NUMBERS = r"""
     transform(split(regexp_replace({host}, r'\.$', ''), r'\.'), x -> try_cast(
-      CASE WHEN x RLIKE '^0[xX][0-9A-Fa-f]{{0,8}}$' THEN coalesce(conv(nullif(substring(x, 3), ''), 16, 10), '0')
-           WHEN x RLIKE '^0[0-7]{{0,11}}$' THEN conv(x, 8, 10)
+      CASE WHEN x RLIKE '^0[xX]0*[0-9A-Fa-f]{{0,8}}$' THEN coalesce(conv(nullif(substring(x, 3), ''), 16, 10), '0')
+           WHEN x RLIKE '^00*[0-7]{{0,11}}$' THEN conv(x, 8, 10)
            WHEN x RLIKE '^[1-9][0-9]{{0,9}}$' THEN x END AS bigint))"""
 
 
@@ -113,12 +113,15 @@ def part_steps(url):
         tail=_resolved("substring(__rest, length(__auth) + 1)")))
     steps.append(dict(nums=rf"""CASE WHEN right(__typed, 1) RLIKE '[0-9a-fx.]' AND __typed RLIKE r'(?:^|\.)(?:[0-9]+|0[xX][0-9A-Fa-f]*)\.?$'
                           THEN {_NUMBERS.format(host='__typed')} END"""))
-    steps.append(dict(name=f"CASE WHEN __nums IS NULL THEN __typed ELSE {_dotted('__nums')} END"))
+    # internationalised names become ASCII by IDNA 2003, which differs from UTS 46 for a few letters such as the sharp s
+    steps.append(dict(name=rf"""CASE WHEN __nums IS NOT NULL THEN {_dotted('__nums')}
+        WHEN __typed RLIKE r'[^\x00-\x7F]' THEN lower(try_reflect('java.net.IDN', 'toASCII', __typed)) ELSE __typed END"""))
     steps.append(dict(error=rf"""
         CASE WHEN coalesce({url}, '') = '' THEN 'missing'
              WHEN __scheme = '' THEN 'invalid'
              WHEN NOT __web THEN NULL
              WHEN __given = '' AND __name RLIKE '^[a-z0-9._-]+$' THEN NULL
+             WHEN __typed RLIKE r'[^\x00-\x7F]' AND __name IS NULL THEN 'unsupported'
              WHEN coalesce(__name, '') = '' THEN 'invalid'
              WHEN NOT __name RLIKE r'^\[[0-9a-f:.]+\]$' AND __name RLIKE r'[\x00-\x20#/:<>?@\[\\\]^|\x7F]' THEN 'invalid'
              WHEN length(__given) > 5 OR try_cast(__given AS int) > 65535 THEN 'invalid'
@@ -140,7 +143,7 @@ def with_url_parts(df, url, out):
     """Add struct ``out`` with ``ok, error, scheme, userinfo, host, port, path, query``.
 
     ``error`` is ``missing`` (NULL or empty), ``invalid`` (not a URL) or
-    ``unsupported`` (a host that needs IDN processing). Opaque schemes such as
+    ``unsupported`` (a host with escapes, or a name that has no ASCII form). Opaque schemes such as
     ``mailto:`` are valid URLs with an empty host.
     """
     steps, parts = part_steps(f"`{url}`")

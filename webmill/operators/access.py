@@ -62,9 +62,9 @@ def auth_lookup(req, config, token="token"):
     """
     index = auth_index(config)
     by_hash = index.filter(F.col("key").startswith("apikeyhash:")).select(
-        F.substring("key", 12, 64).alias("_hash"), F.col("customer_id").alias("_id_h"), F.lit(True).alias("_ok_h"))
+        F.substr(F.col("key"), F.lit(12)).alias("_hash"), F.col("customer_id").alias("_id_h"), F.lit(True).alias("_ok_h"))
     by_text = index.filter(F.col("key").startswith("apikey:")).select(
-        F.substring("key", 8, 1 << 20).alias("_text"), F.col("customer_id").alias("_id_t"), F.lit(True).alias("_ok_t"))
+        F.substr(F.col("key"), F.lit(8)).alias("_text"), F.col("customer_id").alias("_id_t"), F.lit(True).alias("_ok_t"))
     d = req.withColumn("_hash", F.when(F.col(token) != "", F.sha2(F.col(token), 256)))
     d = d.join(by_hash, "_hash", "left").join(by_text, F.col(token) == F.col("_text"), "left")
     return d.withColumns({
@@ -78,7 +78,7 @@ def auth_lookup(req, config, token="token"):
 def config_by_customer(req, config, customer="customer_id"):
     """Configuration of the customer named in an internal request."""
     found = auth_index(config).filter(F.col("key").startswith("customer:")).select(
-        F.substring("key", 10, 1 << 20).alias(customer), F.lit(True).alias("_ok"))
+        F.substr(F.col("key"), F.lit(10)).alias(customer), F.lit(True).alias("_ok"))
     return req.join(found, customer, "left").withColumns({
         "auth_key": F.when(F.col("_ok"), F.concat(F.lit("customer:"), F.col(customer))),
         "auth_found": F.coalesce("_ok", F.lit(False)),

@@ -124,8 +124,8 @@ def in_flight_followers(req, pending_s=30, key="url_key", ts="ts", request_id="r
         F.floor((F.col("_lead.end") - F.col("_start")) / 1000).alias("wait_ms"))
 
 
-def apply_invalidations(writes, invalidations, max_age_s=300):
-    """Writes that survive: a valid invalidation removes all earlier writes of its key.
+def apply_invalidations(writes, invalidations, max_age_s=300, kinds=("md",)):
+    """Writes that survive: a valid invalidation removes the earlier Markdown of its key, other kinds expire by age.
 
     ``invalidations(url_key, issued_at, received_at)``; those received more than
     ``max_age_s`` after they were issued are ignored.
@@ -133,4 +133,4 @@ def apply_invalidations(writes, invalidations, max_age_s=300):
     fresh = F.unix_micros("received_at") - F.unix_micros("issued_at") <= max_age_s * 1000000
     cut = invalidations.filter(fresh).groupBy("url_key").agg(F.max("received_at").alias("_cut"))
     return writes.join(cut, "url_key", "left").filter(
-        F.col("_cut").isNull() | (F.col("written_at") > F.col("_cut"))).drop("_cut")
+        F.col("_cut").isNull() | (F.col("written_at") > F.col("_cut")) | ~F.col("kind").isin(*kinds)).drop("_cut")

@@ -19,18 +19,22 @@ def usage_by_month(req, customer="customer_id", ts="ts"):
 def quota(usage, accounts, plans=None, overage_micros=lists.OVERAGE_MICROS, soft_factor=10):
     """Remaining renders, overage and its cost, and the soft limit.
 
-    Money is in millionths of a dollar, so it is exact.
+    Money is in millionths of a dollar, so it is exact. Usage without an account
+    and accounts without a known plan are named in ``problem`` and have no limits;
+    only a plan listed without a number is unlimited.
     """
     plans = plans or lists.PLANS
     plan = F.col("plan")
     included = F.coalesce(*[F.when(plan == k, F.lit(v).cast("long")) for k, v in plans.items()])
-    d = usage.join(accounts.select(F.col("id").alias("customer_id"), "plan"), "customer_id")
-    d = d.withColumn("included", included)
+    known = accounts.select(F.col("id").alias("customer_id"), "plan", F.lit(True).alias("_known"))
+    d = usage.join(known, "customer_id", "left").withColumn("included", included).withColumn(
+        "problem", F.when(F.col("_known").isNull(), "unknown_customer").when(~F.coalesce(plan.isin(*plans), F.lit(False)), "unknown_plan"))
+    ok = F.col("problem").isNull()
     return d.withColumns({
-        "remaining": F.greatest(F.col("included") - F.col("renders"), F.lit(0)),
-        "overage": F.coalesce(F.greatest(F.col("renders") - F.col("included"), F.lit(0)), F.lit(0)),
-        "soft_limited": F.coalesce(F.col("renders") > F.col("included") * soft_factor, F.lit(False)),
-    }).withColumn("overage_micros", F.col("overage") * overage_micros)
+        "remaining": F.when(ok, F.greatest(F.col("included") - F.col("renders"), F.lit(0))),
+        "overage": F.when(ok, F.coalesce(F.greatest(F.col("renders") - F.col("included"), F.lit(0)), F.lit(0))),
+        "soft_limited": F.when(ok, F.coalesce(F.col("renders") > F.col("included") * soft_factor, F.lit(False))),
+    }).withColumn("overage_micros", F.col("overage") * overage_micros).drop("_known")
 
 
 def cost(usage, rate_micros=lists.EXTRACTION_MICROS):
@@ -38,21 +42,18 @@ def cost(usage, rate_micros=lists.EXTRACTION_MICROS):
     return usage.withColumn("cost_micros", F.col("renders") * rate_micros)
 
 
-def request_stats(req, by, weight=None):
-    """Counts by outcome, errors and latency per group.
+def request_stats(req, by):
+    """Counts by outcome, errors and latency per group, over the full log.
 
     Rows are first counted per latency value: the exact percentiles are then
     taken over distinct values with frequencies, and a hot group is combined
     before the shuffle.
     """
     outcome = lambda name: F.sum(F.when(F.col("outcome") == name, F.col("_n")).otherwise(0))
-    unit = F.col(weight) if weight else F.lit(1.0)
-    small = req.groupBy(*by, "latency_ms", "outcome", "status").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(unit).alias("_w"))
+    small = req.groupBy(*by, "latency_ms", "outcome", "status").agg(F.count(F.lit(1)).alias("_n"))
     pct = lambda p: F.floor(F.expr(f"percentile(latency_ms, {p}, _n)") * 100 + 0.5).alias(f"p{int(p * 100)}_centims")
     return small.groupBy(*by).agg(
         F.sum("_n").alias("requests"),
-        F.sum("_w").alias("weighted_requests"),
         *[outcome(o).alias(f"{o}_count") for o in ("hit", "miss", "fallback", "error")],
         F.sum(F.when(F.col("status") >= 400, F.col("_n")).otherwise(0)).alias("http_errors"),
         # cache statistics count only answered requests: refusals look like misses

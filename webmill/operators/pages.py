@@ -74,7 +74,7 @@ def preview(content, markdown="markdown", tokens="md_tokens", limit=lists.PREVIE
     body = F.col(markdown)
     return (
         content
-        .withColumn("preview", F.substring(text.collapse_newlines(body), 1, limit))
+        .withColumn("preview", text.cut_utf16(text.collapse_newlines(body), limit))
         .withColumn("truncated", F.coalesce(text.utf16_length(body) > limit, F.lit(False)))
         .withColumn("size_label", text.byte_label(F.col(tokens))))
 

@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from webmill.functions import text, urls
+from webmill.functions.text import once
 from webmill.operators.ranking import rank_within
 
+STAMPS = ("yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX")
+
 
 def overview(snapshot_urls, metrics):
     """Status of each listed URL; the join is on the exact URL text."""
@@ -29,20 +32,20 @@ def section_report(df, by=("customer_id",), url="url"):
         with_section(df, url).groupBy(*by, "section")
         .agg(F.count(F.lit(1)).alias("url_count"))
         .withColumn("is_folder", F.col("url_count") > 1)
-        .withColumn("label", F.when(F.col("section") == "/", "root").otherwise(F.substring("section", 2, 1 << 20))))
+        .withColumn("label", F.when(F.col("section") == "/", "root").otherwise(F.substr(F.col("section"), F.lit(2)))))
 
 
 def rank_sections(df, by=("customer_id",), url="url", ordinal="ordinal"):
     """URL rows with ``section_rank`` and ``url_rank``.
 
     The root comes first and keeps its listed order; the other sections follow
-    by name, their URLs by code unit. Both ranks are exact for groups of any size.
+    by name in the order of the root locale, their URLs by code unit. Both ranks are exact for groups of any size.
     """
     by = list(by)
     rows = with_section(df, url)
     is_root = F.col("section") == "/"
     sections = rows.select(*by, "section").distinct().withColumn(
-        "_order", F.when(is_root, F.lit("")).otherwise(F.lower("section")))
+        "_order", F.collate(F.when(is_root, F.lit("")).otherwise(F.col("section")), "UNICODE"))
     sections = rank_within(sections, by, ["_order", "section"], "section_rank")
     rows = rows.withColumns({
         "_listed": F.when(is_root, F.col(ordinal)).otherwise(F.lit(0)), "_url": F.col(url)})
@@ -82,38 +85,48 @@ def upsert_keep_known(target, changes, keys, seq, created="created_at", at="at")
     return _merge(target, changes, keys, seq, created, at, lambda v: F.when(F.col(v).isNotNull(), F.col("_seq")))
 
 
-def split_valid_metrics(df, body="body", received="received_at"):
+def split_valid_metrics(df, body="body", received="received_at", keep_body=False):
     """Parse metric payloads: ``error_code`` is NULL for valid rows.
 
-    Both ids must be non-empty strings; both counts must be present, as a number
-    or as an explicit null. A missing time becomes the time of receipt.
+    Both ids must be non-empty strings; both counts must be present, as a whole
+    number of 32 bits or as an explicit null. A missing time becomes the time of
+    receipt. Each field is taken from the payload once; ``keep_body`` keeps it.
     """
-    get = lambda name: F.try_variant_get("_v", f"$.{name}", "variant")
-    kind = lambda name: F.schema_of_variant(get(name))
-    is_number = lambda name: kind(name).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
-    text_of = lambda name: F.when(kind(name) == "STRING", F.try_variant_get("_v", f"$.{name}", "string"))
-    count_of = lambda name: F.when(is_number(name), F.try_variant_get("_v", f"$.{name}", "int"))
-    present = lambda name: F.coalesce(is_number(name) | (kind(name) == "VOID"), F.lit(False))
-    empty = lambda name: F.coalesce(text_of(name), F.lit("")) == ""
-    stamp = text_of("optimizedAt")
-    parsed = F.coalesce(
-        F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")),
-        F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
+    field = lambda name: F.try_variant_get("_v", f"$.{name}", "variant")
+    fields = {"customerId": "customer", "url": "url", "htmlTokens": "html", "mdTokens": "md", "optimizedAt": "stamp"}
+    d = once(df, F.try_parse_json(body), "_v")
+    d = once(d, F.struct(
+        F.col("_v").isNotNull().alias("json"), F.schema_of_variant("_v").startswith("OBJECT").alias("object"),
+        *[field(name).alias(short) for name, short in fields.items()]), "_f").drop("_v")
+    kind = lambda short: F.schema_of_variant(F.col(f"_f.{short}"))
+    text_of = lambda short: F.when(kind(short) == "STRING", F.try_variant_get(F.col(f"_f.{short}"), "$", "string"))
+    is_number = lambda short: kind(short).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
+    exact = lambda short: F.try_variant_get(F.col(f"_f.{short}"), "$", "decimal(38,9)")
+    whole = lambda short: F.coalesce(
+        (exact(short) == F.floor(exact(short))) & exact(short).between(-(1 << 31), (1 << 31) - 1), F.lit(False))
+    count = lambda short: F.struct(
+        F.coalesce(is_number(short) | (kind(short) == "VOID"), F.lit(False)).alias("present"),
+        (F.coalesce(is_number(short), F.lit(False)) & ~whole(short)).alias("bad"),
+        F.when(is_number(short) & whole(short), exact(short).cast("int")).alias("value"))
+    d = once(d, F.struct(
+        F.col("_f.json").alias("json"), F.col("_f.object").alias("object"), text_of("customer").alias("customer"),
+        text_of("url").alias("url"), count("html").alias("html"), count("md").alias("md"), text_of("stamp").alias("stamp"),
+        F.coalesce(*[F.try_to_timestamp(text_of("stamp"), F.lit(f)) for f in STAMPS]).alias("at")), "_p").drop("_f")
+    p = lambda name: F.col(f"_p.{name}")
+    empty = lambda name: F.coalesce(p(name), F.lit("")) == ""
     error = (
-        F.when(F.col("_v").isNull(), "invalid_json")
-        .when(~F.schema_of_variant("_v").startswith("OBJECT"), "invalid_body")
-        .when(empty("customerId") | empty("url") | ~present("htmlTokens") | ~present("mdTokens"), "missing_fields")
-        .when(stamp.isNotNull() & parsed.isNull(), "invalid_time"))
-    d = df.withColumn("_v", F.try_parse_json(body)).withColumn("error_code", error)
-    ok = F.col("error_code").isNull()
-    keep = [c for c in df.columns if c != body]
+        F.when(~p("json"), "invalid_json")
+        .when(~p("object"), "invalid_body")
+        .when(empty("customer") | empty("url") | ~p("html.present") | ~p("md.present"), "missing_fields")
+        .when(p("html.bad") | p("md.bad"), "invalid_number")
+        .when(p("stamp").isNotNull() & p("at").isNull(), "invalid_time"))
+    ok = error.isNull()
+    keep = [c for c in df.columns if keep_body or c != body]
     return d.select(
-        *keep, "error_code",
-        F.when(ok, text_of("customerId")).alias("customer_id"),
-        F.when(ok, text_of("url")).alias("url"),
-        F.when(ok, count_of("htmlTokens")).alias("html_tokens"),
-        F.when(ok, count_of("mdTokens")).alias("md_tokens"),
-        F.when(ok, F.coalesce(parsed, F.col(received))).alias("optimized_at"))
+        *keep, error.alias("error_code"),
+        F.when(ok, p("customer")).alias("customer_id"), F.when(ok, p("url")).alias("url"),
+        F.when(ok, p("html.value")).alias("html_tokens"), F.when(ok, p("md.value")).alias("md_tokens"),
+        F.when(ok, F.coalesce(p("at"), F.col(received))).alias("optimized_at"))
 
 
 def bar_scale(df, value, by):

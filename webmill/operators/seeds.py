@@ -1,8 +1,12 @@
 """From site maps to curated seed tables."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from webmill import lists
+from webmill.functions.text import once
 from webmill.operators.pages import normalise_seeds
 from webmill.operators.ranking import first_k
 
@@ -35,18 +39,32 @@ def explode_site_map(df, json_col="payload"):
     nested = F.concat(strings("$.urls"), either("$.links"), objects("$.data"),
                       strings("$.data.urls"), either("$.data.links"))
     is_array = F.schema_of_variant(v).startswith("ARRAY")
-    # JSON values that count as a job name: anything but null, false, 0 and ""
-    truthy = lambda name: F.coalesce(
-        ~F.try_variant_get(v, f"$.{name}", "string").isin("", "0", "false"), F.lit(False))
-    job = ~is_array & (truthy("jobId") | truthy("job_id") | truthy("id"))
+    job = ~is_array & reduce(or_, [_truthy(v, name) for name in ("jobId", "job_id", "id")])
     urls = F.filter(F.when(is_array, either("$")).otherwise(nested), lambda x: x.isNotNull())
     keep = [c for c in df.columns if c != json_col]
     return (
-        df.withColumn("_v", F.try_parse_json(json_col))
+        once(df, F.try_parse_json(json_col), "_v")
         .filter(~F.coalesce(job, F.lit(False)))
         .select(*keep, F.posexplode(urls).alias("ordinal", "url")))
 
 
+def _truthy(v, name):
+    """Whether a JSON field counts as a job name: anything but null, false, 0 and the empty string."""
+    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    text = F.try_variant_get(v, f"$.{name}", "string")
+    return F.coalesce(
+        F.when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true").when(kind == "VOID", False)
+        .when(kind.rlike("^(OBJECT|ARRAY)"), True).otherwise(F.try_variant_get(v, f"$.{name}", "double") != 0), F.lit(False))
+
+
+def rejected_site_maps(df, json_col="payload"):
+    """Payloads that give no URLs by their form, with the reason: ``invalid_json`` or ``job_reply``."""
+    v = F.col("_v")
+    job = ~F.schema_of_variant(v).startswith("ARRAY") & reduce(or_, [_truthy(v, n) for n in ("jobId", "job_id", "id")])
+    reason = F.when(v.isNull(), "invalid_json").when(job, "job_reply")
+    return once(once(df, F.try_parse_json(json_col), "_v"), reason, "reason").filter("reason IS NOT NULL").drop("_v")
+
+
 def dedupe_urls(df, keys=("customer_id", "url"), ordinal="ordinal"):
     """Distinct URLs; the first occurrence gives the order."""
     return df.groupBy(*keys).agg(F.min(ordinal).alias(ordinal))
@@ -60,13 +78,13 @@ def cap_per_site(df, n=lists.MAX_MAP_URLS, site=("customer_id", "host"), ordinal
     return first_k(df, list(site), [ordinal, "url"], n)
 
 
-def starter_candidates(site_maps, json_col="payload", cap=lists.MAX_MAP_URLS):
-    """Site maps of ``(customer_id, domain_id, hostname)`` to distinct own URLs in order."""
+def starter_candidates(site_maps, json_col="payload", cap=None):
+    """Site maps of ``(customer_id, domain_id, hostname)`` to distinct own URLs in order, all unless ``cap`` is given."""
     found = explode_site_map(site_maps, json_col)
     seeds = normalise_seeds(found, "url").filter(F.col("host") == F.col("hostname"))
     keys = ["customer_id", "domain_id", "hostname", "seed_url"]
     distinct = dedupe_urls(seeds, keys).withColumnRenamed("seed_url", "url")
-    return first_k(distinct, ["customer_id", "domain_id"], ["ordinal", "url"], cap)
+    return first_k(distinct, ["customer_id", "domain_id"], ["ordinal", "url"], cap) if cap else distinct
 
 
 def new_urls(candidates, seeds, keys=("customer_id", "url")):

@@ -51,6 +51,15 @@ def shared(method):
     return get
 
 
+def spread(frame):
+    """Deal a table out if it is read in fewer splits than there are cores, for extraction is CPU-bound.
+
+    A table of at least as many splits is extracted where it is read; its HTML is never shuffled.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 STORED = {}
 
 
@@ -61,7 +70,7 @@ def stored(method):
         place = (self.spark.sparkContext.applicationId, self.dir, method.__name__)
         if place not in STORED:
             frame, path = method(self), work_dir(self.spark, method.__name__)
-            frame.repartition(self.spark.sparkContext.defaultParallelism).write.parquet(path)
+            frame.write.parquet(path)
             STORED[place] = (path, frame.schema)
         path, schema = STORED[place]
         return self.spark.read.schema(schema).parquet(path)
@@ -84,8 +93,7 @@ class Derived:
 
     @shared
     def spread_pages(self):
-        """Pages over all cores: a small file is one split, and extraction is CPU-bound."""
-        return self.pages().repartition(self.spark.sparkContext.defaultParallelism)
+        return spread(self.pages())
 
     @shared
     def page_count(self):
@@ -343,13 +351,10 @@ class Derived:
 
     @shared
     def site_maps(self):
-        """Replies per host, in five shapes, with an asset, a foreign URL and a repetition.
-
-        A reply lists the URLs of at most 5000 page ids, as a capped service would.
-        """
+        """One reply per host, in five shapes, with an asset, a foreign URL and a repetition."""
         p = page_ops.canonicalise(self.pages().select("page_id", "url"))
         p = p.join(self.hosts(), "host")
-        grouped = p.groupBy("host", "r", F.floor(F.col("page_id") / 5000).alias("part")).agg(
+        grouped = p.groupBy("host", "r").agg(
             F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("items"))
         own = F.transform("items", lambda x: x["url"])
         extra = F.array(

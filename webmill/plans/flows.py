@@ -10,8 +10,7 @@ from webmill.session import cut_lineage
 def token_savings_by_section(pages):
     """Tokens saved per host and site section, each page counted once.
 
-    Extraction runs in the scan's tasks and only token counts leave them, so
-    the one wide column is never shuffled. Copies of a page meet in a shuffle of
+    Extraction runs where the HTML is read and only token counts are shuffled. Copies of a page meet in a shuffle of
     narrow rows, where the smallest page id wins; host and section follow from
     the key, so the aggregate holds only numbers and stays a hash aggregate.
     """
@@ -56,8 +55,7 @@ def overview_rows(site_maps, metrics):
 
 
 def store_crawl(payloads, jobs):
-    """Crawl replies to judged, capped pages and write-log input with token counts."""
-    capped = crawl.cap_per_crawl(crawl.explode_crawl(payloads), jobs)
-    judged = crawl.filter_crawl(capped, jobs)
+    """Crawl replies to judged pages, all of them, and write-log input with token counts."""
+    judged = crawl.filter_crawl(crawl.explode_crawl(payloads), jobs)
     keyed = page_ops.with_url_key(judged.filter(F.col("verdict") == "admitted"))
     return judged, keyed.withColumn("md_tokens", text.estimate_tokens(F.col("markdown")))

@@ -10,7 +10,7 @@ from webmill.operators import (
     access, audits, cache, crawl, golden, ops, pages as page_ops, report, seeds, traffic,
 )
 from webmill.plans import flows
-from webmill.plans.derived import AS_OF, CONFIG_TIME, Derived
+from webmill.plans.derived import AS_OF, CONFIG_TIME, Derived, spread
 from webmill.session import use_utc, work_dir
 from webmill.sources import readers, sinks
 from webmill.streaming import cache_state, jobs
@@ -19,7 +19,6 @@ QUERIES = {}
 
 # Parameters of single queries, shared with the SQL twins.
 SMALL_PLANS = {"free": 2, "pro": 5, "team": 20, "enterprise": None}
-STATS_RATE = 0.5
 RETAIN_AS_OF, RETAIN_DAYS = "2024-01-31 01:00:00", 30
 SITE_CAP = 3
 LATENCY_FACTOR = 100
@@ -35,10 +34,10 @@ def query(fn):
     return fn
 
 
-def staged(frame, name, files=4):
-    """Write a frame to the shared folder and give its path."""
+def staged(frame, name):
+    """Write a frame to the shared folder, by the tasks that make it, and give its path."""
     path = work_dir(frame.sparkSession, name)
-    frame.repartition(files).write.parquet(path)
+    frame.write.parquet(path)
     return path
 
 
@@ -54,8 +53,7 @@ def finish(running):
 
 @query
 def token_savings_by_section(d):
-    return flows.token_savings_by_section(
-        d.pages_twice().repartition(d.spark.sparkContext.defaultParallelism))
+    return flows.token_savings_by_section(spread(d.pages_twice()))
 
 
 # --- sources and sinks --------------------------------------------------------
@@ -401,9 +399,8 @@ def a4_quota(d):
 
 @query
 def a5_request_stats(d):
-    r = traffic.bot_family(d.endpoint_requests()).withColumn("is_error", F.col("status") >= 400)
-    r = traffic.normalise_outcome(r)
-    return ops.request_stats(traffic.sample_log(r, STATS_RATE), ["bot_family", "endpoint"], "weight")
+    r = traffic.normalise_outcome(traffic.bot_family(d.endpoint_requests()))
+    return ops.request_stats(r, ["bot_family", "endpoint"])
 
 
 @query

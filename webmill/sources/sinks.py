@@ -1,7 +1,7 @@
 """Sinks: append logs, keyed replacement and versioned change sets."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from webmill import lists, schemas
 from webmill.functions import text
@@ -49,22 +49,30 @@ def metric_changes(events):
 
 
 def append_metrics(batch, batch_id, path):
-    """Write one micro-batch. The folder is named after the batch, so a retry replaces it."""
-    judged = split_valid_metrics(batch)
-    folder = f"batch_id={batch_id}"
-    judged.filter(F.col("error_code").isNull()).drop("error_code").write.mode("overwrite").parquet(
-        f"{path}/changes/{folder}")
-    batch.join(
-        judged.filter(F.col("error_code").isNotNull()).select("seq", "error_code"), "seq"
-    ).write.mode("overwrite").parquet(f"{path}/quarantine/{folder}")
+    """Write one micro-batch in one pass. The folder is named after the batch, so a retry replaces it.
+
+    Valid rows go below ``state=changes`` without their payload, refused ones below ``state=quarantine`` with it.
+    """
+    judged = split_valid_metrics(batch, keep_body=True)
+    bad = F.col("error_code").isNotNull()
+    judged.withColumns({
+        "body": F.when(bad, F.col("body")), "state": F.when(bad, F.lit("quarantine")).otherwise("changes"),
+    }).write.mode("overwrite").partitionBy("state").parquet(f"{path}/batch_id={batch_id}")
 
 
 CHANGES = "seq LONG, received_at TIMESTAMP, customer_id STRING, url STRING, html_tokens INT, md_tokens INT, optimized_at TIMESTAMP"
+METRIC_LOG = f"{CHANGES}, body STRING, error_code STRING, batch_id STRING, state STRING"
+
+
+def read_quarantine(spark, path):
+    """Refused metric events with their payload and the reason."""
+    log = spark.read.schema(METRIC_LOG).parquet(path)
+    return log.filter("state = 'quarantine'").select("seq", "received_at", "body", "error_code")
 
 
 def read_metrics(spark, path, base=None):
     """Current metric table: the optional base version and all later changes, merged."""
-    changes = spark.read.schema(CHANGES).parquet(f"{path}/changes").select(
+    changes = spark.read.schema(METRIC_LOG).parquet(path).filter("state = 'changes'").select(
         *[c.split()[0] for c in CHANGES.split(", ")])
     target = spark.read.schema(schemas.URL_METRICS).parquet(base) if base else None
     return upsert(target, changes, ["customer_id", "url"], "seq", at="received_at")
@@ -89,7 +97,7 @@ def publish_config(diff, path):
 # --- map snapshots ------------------------------------------------------------
 
 def snapshot_rows(candidates, fetched_at):
-    """One row per (customer, domain). The list is bounded by the site-map cap."""
+    """One row per (customer, domain): the list of a site is the value that is published."""
     urls = F.transform(
         F.array_sort(F.collect_list(F.struct("ordinal", "url"))), lambda x: x["url"])
     return candidates.groupBy("customer_id", "domain_id").agg(urls.alias("urls")).select(
@@ -98,6 +106,14 @@ def snapshot_rows(candidates, fetched_at):
         F.lit(fetched_at).cast("timestamp").alias("created_at"))
 
 
+SNAPSHOTS = StructType([*schemas.MAP_SNAPSHOTS.fields, StructField("bucket", IntegerType())])
+
+
+def _exists(spark, path):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def replace_snapshot(spark, candidates, path, fetched_at, buckets=64):
     """Replace the snapshots of the given (customer, domain) pairs, keep all others.
 
@@ -107,11 +123,10 @@ def replace_snapshot(spark, candidates, path, fetched_at, buckets=64):
     keys = ["customer_id", "domain_id"]
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     new = snapshot_rows(candidates, fetched_at).withColumn("bucket", bucket)
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:
+    if not _exists(spark, path):
         merged = new
     else:
+        old = spark.read.schema(SNAPSHOTS).parquet(path)
         touched = old.join(new.select("bucket").distinct(), "bucket", "left_semi")
         made = old.select(*keys, F.col("created_at").alias("_made"))
         kept = touched.join(new.select(*keys), keys, "left_anti")
