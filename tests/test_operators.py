@@ -5,6 +5,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from webmill import lists
@@ -240,12 +241,18 @@ def test_config_diff_and_cascade(spark):
     want = spark.createDataFrame([("a", '{"v":2,"id":"x","plan":"pro","domains":[],"updatedAt":"2"}'), ("b", '{"v":2,"id":"y"}')], "key string, document string")
     have = spark.createDataFrame([("a", '{"v":2,"id":"x","plan":"pro","domains":[],"updatedAt":"1"}'), ("c", '{"v":2}')], "key string, document string")
     assert {r.key: r.action for r in access.config_diff(want, have).collect()} == {"a": "unchanged", "b": "put", "c": "delete"}
+    rows = lambda data, cols: spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols.split()))
     tables = {
-        "customers": spark.createDataFrame([("c1",), ("c2",)], "id string"),
-        "domains": spark.createDataFrame([("d1", "c1"), ("d2", "c2")], "id string, customer_id string"),
-        "map_snapshots": spark.createDataFrame([("s1", "c2", "d1"), ("s2", "c2", "d2")], "id string, customer_id string, domain_id string")}
+        "customers": rows([("c1",), ("c2",)], "id"),
+        "domains": rows([("d1", "c1"), ("d2", "c2")], "id customer_id"),
+        "map_snapshots": rows([("s1", "c2", "d1"), ("s2", "c2", "d2")], "id customer_id domain_id"),
+        **{name: rows([(name, "c1"), (f"{name}2", "c2")], "id customer_id") for name in ("seed_urls", "api_tokens", "publish_jobs", "url_metrics")}}
     gone = audits.cascade_delete(tables, spark.createDataFrame([("c1",)], "id string"))
-    assert {(r.table_name, r.row_id) for r in gone.collect()} == {("customers", "c1"), ("domains", "d1"), ("map_snapshots", "s1")}
+    assert {(r.table_name, r.row_id) for r in gone.collect()} == {
+        ("customers", "c1"), ("domains", "d1"), ("map_snapshots", "s1"), ("seed_urls", "seed_urls"), ("api_tokens", "api_tokens"),
+        ("publish_jobs", "publish_jobs"), ("url_metrics", "url_metrics")}
+    with pytest.raises(ValueError, match="url_metrics"):
+        audits.cascade_delete({k: v for k, v in tables.items() if k != "url_metrics"}, tables["customers"])
 
 
 def test_snapshot_replacement_keeps_others(spark):
@@ -362,3 +369,30 @@ def test_large_tables_keep_their_html_in_place(spark):
         for line in plan.toString().splitlines():
             assert not ("Exchange" in line and "html#" in line)
         assert "RoundRobin" not in plan.toString()
+
+
+def test_requests_without_a_key_take_no_part_in_joins(spark):
+    w = spark.createDataFrame([(1, None, "md", "x", at(0), 900), (2, "k", "md", "x", at(0), 900)],
+                              "wid long, url_key string, kind string, body string, written_at timestamp, ttl_s long")
+    r = spark.createDataFrame([(1, None, at(5)), (2, "k", at(5)), (3, None, at(6))], "request_id long, url_key string, ts timestamp")
+    assert {x.request_id: x.cache_status for x in cache.cache_lookup(r, w).collect()} == {1: "MISS", 2: "HIT", 3: "MISS"}
+    r = r.withColumns({"outcome": F.lit("miss"), "latency_ms": F.lit(9000).cast("long")})
+    assert cache.in_flight_followers(r).count() == 0
+    many = spark.range(0, 4000, 1, 4).select(F.col("id").alias("request_id"), F.lit(None).cast("string").alias("token"))
+    sizes = many.withColumn("k", access.spread_nulls(F.col("token"), many)).select("k").distinct().count()
+    assert sizes == 4000
+    found = access.auth_lookup(many, config(spark))
+    assert found.count() == 4000 and found.filter("auth_found").count() == 0
+
+
+def test_an_allowlist_counts_once_for_all_its_tokens(spark):
+    doc = '{"v":2,"id":"c","plan":"pro","domains":["a.com","b.com","a.com"],"updatedAt":"t"}'
+    c = spark.createDataFrame([(f"apikeyhash:{i}", doc) for i in range(50)], "key string, document string")
+    assert access.allowed_hosts(c).count() == 2
+
+
+def test_secrets_in_errors_and_stacks(spark):
+    logs = spark.createDataFrame([(1, "m", "at https://a.com/x", None, None), (2, "m", None, "in http://b.com/", None), (3, "m", "e", "s", "d")],
+                                 "request_id long, msg string, err string, stack string, data string")
+    none = spark.createDataFrame([], "key string, document string")
+    assert sorted(r.ref for r in audits.secrets_audit(none, logs).collect()) == ["1", "2"]

@@ -42,16 +42,25 @@ def build_config(customers, domains, tokens, updated_at):
 
 
 def auth_index(config):
-    """``key, customer_id``; the id may be stored under either field name."""
+    """``key, customer_id, allowlist``; the id may be stored under either field name."""
     doc = F.from_json("document", DOCUMENT)
     return config.select("key", F.coalesce(
-        F.nullif(doc["id"], F.lit("")), F.nullif(doc["customerId"], F.lit(""))).alias("customer_id"))
+        F.nullif(doc["id"], F.lit("")), F.nullif(doc["customerId"], F.lit(""))).alias("customer_id"),
+        F.sha2("document", 256).alias("allowlist"))
 
 
 def allowed_hosts(config):
-    """Distinct ``key, host`` of all documents."""
+    """Distinct ``allowlist, host``: a document counts once, however many tokens share it."""
+    once = config.select(F.sha2("document", 256).alias("allowlist"), "document").groupBy("allowlist").agg(
+        F.first("document").alias("document"))
     doc = F.from_json("document", DOCUMENT)
-    return config.select("key", F.explode(doc["domains"]).alias("host")).distinct()
+    return once.select("allowlist", F.explode(F.array_distinct(doc["domains"])).alias("host"))
+
+
+def spread_nulls(key, df):
+    """``key``, or a value of its own that matches nothing: rows without a key must not meet in one task."""
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in plain]))))
 
 
 def auth_lookup(req, config, token="token"):
@@ -62,27 +71,32 @@ def auth_lookup(req, config, token="token"):
     """
     index = auth_index(config)
     by_hash = index.filter(F.col("key").startswith("apikeyhash:")).select(
-        F.substr(F.col("key"), F.lit(12)).alias("_hash"), F.col("customer_id").alias("_id_h"), F.lit(True).alias("_ok_h"))
+        F.substr(F.col("key"), F.lit(12)).alias("_hash"), F.col("customer_id").alias("_id_h"),
+        F.col("allowlist").alias("_list_h"), F.lit(True).alias("_ok_h"))
     by_text = index.filter(F.col("key").startswith("apikey:")).select(
-        F.substr(F.col("key"), F.lit(8)).alias("_text"), F.col("customer_id").alias("_id_t"), F.lit(True).alias("_ok_t"))
-    d = req.withColumn("_hash", F.when(F.col(token) != "", F.sha2(F.col(token), 256)))
-    d = d.join(by_hash, "_hash", "left").join(by_text, F.col(token) == F.col("_text"), "left")
+        F.substr(F.col("key"), F.lit(8)).alias("_text"), F.col("customer_id").alias("_id_t"),
+        F.col("allowlist").alias("_list_t"), F.lit(True).alias("_ok_t"))
+    given = F.nullif(F.col(token), F.lit(""))
+    d = req.withColumns({"_hash": spread_nulls(F.sha2(given, 256), req), "_given": spread_nulls(given, req)})
+    d = d.join(by_hash, "_hash", "left").join(by_text, F.col("_given") == F.col("_text"), "left")
     return d.withColumns({
         "auth_key": F.when(F.col("_ok_h"), F.concat(F.lit("apikeyhash:"), "_hash"))
                      .when(F.col("_ok_t"), F.concat(F.lit("apikey:"), F.col(token))),
         "auth_customer": F.when(F.col("_ok_h"), F.col("_id_h")).otherwise(F.col("_id_t")),
+        "auth_allowlist": F.when(F.col("_ok_h"), F.col("_list_h")).otherwise(F.col("_list_t")),
         "auth_found": F.coalesce("_ok_h", "_ok_t", F.lit(False)),
-    }).drop("_hash", "_text", "_id_h", "_id_t", "_ok_h", "_ok_t")
+    }).drop("_hash", "_given", "_text", "_id_h", "_id_t", "_list_h", "_list_t", "_ok_h", "_ok_t")
 
 
 def config_by_customer(req, config, customer="customer_id"):
     """Configuration of the customer named in an internal request."""
     found = auth_index(config).filter(F.col("key").startswith("customer:")).select(
-        F.substr(F.col("key"), F.lit(10)).alias(customer), F.lit(True).alias("_ok"))
-    return req.join(found, customer, "left").withColumns({
+        F.substr(F.col("key"), F.lit(10)).alias("_named"), F.col("allowlist").alias("auth_allowlist"), F.lit(True).alias("_ok"))
+    d = req.withColumn("_who", spread_nulls(F.col(customer), req))
+    return d.join(found, F.col("_who") == F.col("_named"), "left").withColumns({
         "auth_key": F.when(F.col("_ok"), F.concat(F.lit("customer:"), F.col(customer))),
         "auth_found": F.coalesce("_ok", F.lit(False)),
-    }).drop("_ok")
+    }).drop("_who", "_named", "_ok")
 
 
 def allowed_domain(req, domains, keep="semi", customer="customer_id", host="host"):
@@ -106,9 +120,10 @@ def admit(req, config, mode="render", token="token", url="url", customer="custom
         d = config_by_customer(d, config, customer).withColumn("auth_customer", F.col(customer))
     else:
         d = auth_lookup(d, config, token)
-    allow = allowed_hosts(config).select(F.col("key").alias("auth_key"), F.col("host").alias("_host"),
-                                         F.lit(True).alias("_allowed"))
-    d = d.join(allow, ["auth_key", "_host"], "left")
+    allow = allowed_hosts(config).select(
+        F.col("allowlist").alias("_list"), F.col("host").alias("_allowed_host"), F.lit(True).alias("_allowed"))
+    d = d.withColumn("_own_list", spread_nulls(F.col("auth_allowlist"), req))
+    d = d.join(allow, (F.col("_own_list") == F.col("_list")) & (F.col("_host") == F.col("_allowed_host")), "left")
 
     none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     checks = {

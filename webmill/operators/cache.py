@@ -21,7 +21,8 @@ def cache_lookup(req, writes, ttl_s=None, segment_s=300, key="url_key", ts="ts",
 
     The newest write hides older ones: if it has expired, or is markup, the
     request misses. ``ttl_s`` overrides the time to live of the rows; ``carry``
-    names request columns to keep.
+    names request columns to keep. A request without a key misses and takes no
+    part in the windows.
 
     1. the last write of each (key, segment) is an aggregate;
     2. a window over segments, not rows, hands it to the later segments;
@@ -34,7 +35,7 @@ def cache_lookup(req, writes, ttl_s=None, segment_s=300, key="url_key", ts="ts",
         F.struct(
             F.col("written_at").alias("at"), F.col("wid").cast("long").alias("wid"), life.alias("ttl"),
             text.looks_like_html(F.col("body")).alias("bad")).alias("_w"))
-    asked = req.select(
+    asked = req.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"), F.col(ts).alias("_at"), F.lit(1).alias("_side"), request_id, *carry,
         F.lit(None).cast(cached.schema["_w"].dataType).alias("_w"))
     rows = cached.unionByName(asked, allowMissingColumns=True).withColumn("_seg", _segment(F.col("_at"), segment_s))
@@ -61,29 +62,39 @@ def cache_lookup(req, writes, ttl_s=None, segment_s=300, key="url_key", ts="ts",
     live = F.coalesce(
         (F.unix_micros("_at") < F.unix_micros("_hit.at") + F.col("_hit.ttl") * 1000000) & ~F.col("_hit.bad"),
         F.lit(False))
-    return seen.select(
+    found = seen.select(
         request_id, *carry, F.col("_key").alias(key), F.col("_at").alias(ts),
         F.when(live, "HIT").otherwise("MISS").alias("cache_status"),
         F.when(live, F.col("_hit.wid")).alias("wid"),
         F.when(live, age).alias("age_s"))
+    keyless = req.filter(F.col(key).isNull()).select(
+        request_id, *carry, F.col(key), F.col(ts), F.lit("MISS").alias("cache_status"),
+        F.lit(None).cast("long").alias("wid"), F.lit(None).cast("long").alias("age_s"))
+    return found.unionByName(keyless)
 
 
 def content_bundle(writes, as_of):
     """Markdown, HTML and tokens of each key that are live at ``as_of``.
 
-    One pass: the newest write of each kind, then its expiry; token counts fall
-    back to an estimate from the Markdown.
+    The newest write of each kind is chosen from narrow rows, then its expiry;
+    ``wid`` identifies a write of a key. Token counts fall back to an estimate from
+    the Markdown.
     """
     now = F.lit(as_of).cast("timestamp")
     past = writes.filter(F.col("written_at") <= now)
-    order = F.struct("written_at", "wid")
-    row = F.struct("body", (F.unix_micros("written_at") + F.col("ttl_s") * 1000000).alias("until"))
-    newest = past.groupBy("url_key").agg(*[
-        F.max_by(row, F.when(F.col("kind") == kind, order)).alias(kind) for kind in ("md", "html", "tokens")])
-    live = lambda kind: F.when(F.col(f"{kind}.until") > F.unix_micros(now), F.nullif(F.col(f"{kind}.body"), F.lit("")))
-    counts = F.from_json(live("tokens"), "htmlTokens INT, mdTokens INT")
+    newest = past.groupBy("url_key", "kind").agg(F.max(F.struct("written_at", "wid", "ttl_s")).alias("_w"))
+    until = F.unix_micros("_w.written_at") + F.col("_w.ttl_s") * 1000000
+    # the bodies join the chosen rows only; none passes through an aggregate
+    chosen = newest.select(F.col("url_key").alias("_k"), F.col("kind").alias("_kind"), F.col("_w.wid").alias("_wid"),
+                           (until > F.unix_micros(now)).alias("_live"))
+    body = lambda kind: chosen.filter((F.col("_kind") == kind) & F.col("_live")).join(
+        writes.filter(F.col("kind") == kind).select("url_key", "wid", F.nullif("body", F.lit("")).alias(kind)),
+        (F.col("_k") == F.col("url_key")) & (F.col("_wid") == F.col("wid"))).select("url_key", kind)
+    keys = newest.select("url_key").distinct()
+    joined = keys.join(body("md"), "url_key", "left").join(body("html"), "url_key", "left").join(body("tokens"), "url_key", "left")
+    counts = F.from_json("tokens", "htmlTokens INT, mdTokens INT")
     return (
-        newest.select("url_key", live("md").alias("markdown"), live("html").alias("html"), counts.alias("_t"))
+        joined.select("url_key", F.col("md").alias("markdown"), "html", counts.alias("_t"))
         .select(
             "url_key", "markdown", "html",
             F.col("_t.htmlTokens").alias("html_tokens"),
@@ -107,7 +118,7 @@ def in_flight_followers(req, pending_s=30, key="url_key", ts="ts", request_id="r
     end = F.when(
         F.col("outcome").isin("miss", "fallback"),
         start + F.least(F.col("latency_ms") * 1000, F.lit(pending_s * 1000000)))
-    rows = req.select(
+    rows = req.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"), F.col(request_id), F.col(ts), start.alias("_start"), end.alias("_end"),
         _segment(F.col(ts), span).alias("_seg"), F.lit(True).alias("_own"))
     spill = rows.filter(F.floor((F.col("_end") - 1) / (span * 1000000)) > F.col("_seg")).withColumns(

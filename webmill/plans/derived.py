@@ -389,6 +389,39 @@ class Derived:
         d = self.domains().select(F.col("hostname").alias("host"), "customer_id")
         return p.join(d, "host").select("customer_id", "host", F.col("seed_url").alias("url"), F.col("page_id").alias("ordinal"))
 
+    @shared
+    def account_tables(self):
+        """All seven account tables, clean."""
+        seeds, domains = self.seeds(), self.domains()
+        stamps = (at(F.lit(0)).alias("created_at"), at(F.lit(0)).alias("updated_at"))
+        frames = {
+            "customers": self.accounts(), "domains": domains, "api_tokens": self.tokens(),
+            "seed_urls": seeds.select(F.concat(F.lit("seed:"), "customer_id", F.lit(" "), "url").alias("id"), "*", *stamps),
+            "map_snapshots": domains.select(
+                F.concat(F.lit("snap_"), "id").alias("id"), "customer_id", F.col("id").alias("domain_id"),
+                F.array(F.col("hostname")).alias("urls"), F.col("created_at").alias("fetched_at"), "created_at"),
+            "publish_jobs": self.accounts().select(
+                F.concat(F.lit("job_"), "id").alias("id"), F.col("id").alias("customer_id"), F.lit("auth_kv_sync").alias("kind"),
+                F.lit("success").alias("state"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("payload"),
+                F.lit(None).cast("string").alias("last_error"), "created_at", "updated_at"),
+            "url_metrics": self.metrics().withColumn("id", F.concat(F.lit("metric:"), "customer_id", F.lit(" "), "url"))}
+        return {name: frames[name].select(*schemas.ACCOUNT_TABLES[name].names) for name in schemas.ACCOUNT_TABLES}
+
+    @shared
+    def dirty_tables(self):
+        """The account tables with repeated keys, lost parents and values outside their sets."""
+        t = dict(self.account_tables())
+        number = lambda c: F.substring_index(c, "_", -1).cast("long")
+        t["customers"] = t["customers"].filter(number("id") % 13 != 5).withColumn(
+            "plan", F.when(number("id") % 9 == 4, F.lit("gold")).when(number("id") % 31 == 6, F.lit(None)).otherwise(F.col("plan")))
+        t["domains"] = t["domains"].filter(number("id") % 11 != 2)
+        t["publish_jobs"] = t["publish_jobs"].withColumns({
+            "state": F.when(number("customer_id") % 8 == 1, F.lit("lost")).otherwise(F.col("state")),
+            "kind": F.when(number("customer_id") % 12 == 7, F.lit("sync")).otherwise(F.col("kind"))})
+        t["seed_urls"] = t["seed_urls"].withColumn("source", F.when(F.col("url").contains("/de/"), F.lit("sitemap")).otherwise(F.col("source")))
+        copied = F.conv(F.left(F.md5("id"), F.lit(7)), 16, 10).cast("long") % 10 == 3
+        return {name: frame.unionByName(frame.filter(copied).withColumn("id", F.concat("id", F.lit("_copy")))) for name, frame in t.items()}
+
     @shared
     def crawl_pages(self):
         """Pages as crawl results: page ``i`` belongs to crawl ``i % (n / 10)``."""

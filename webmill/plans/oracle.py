@@ -357,9 +357,18 @@ oracle("s2_request_log", f"""
     NULL, NULL, NULL, NULL, NULL FROM c_req WHERE i % 101 = 0""")
 oracle("s3_explode_site_map", "SELECT customer_id, domain_id, ordinal, url FROM c_mapurls")
 oracle("s4_explode_crawl", "SELECT crawl_id, ordinal::INTEGER AS ordinal, url, title, length(markdown)::INTEGER AS md_chars FROM c_crawled")
+step("t_customers", "SELECT k, id, 'login_' || k AS login_id, plan FROM c_accounts")
+step("t_domains", "SELECT id, customer_id, hostname FROM c_domains")
+step("t_tokens", "SELECT id, customer_id, token_hash FROM c_tokens")
+step("t_seeds", "SELECT 'seed:' || customer_id || ' ' || url AS id, customer_id, url, source FROM c_seeds")
+step("t_snaps", "SELECT 'snap_' || id AS id, customer_id, id AS domain_id FROM c_domains")
+step("t_jobs", "SELECT 'job_' || id AS id, id AS customer_id, 'auth_kv_sync' AS kind, 'success' AS state FROM c_accounts")
+step("t_metrics", "SELECT 'metric:' || customer_id || ' ' || url AS id, customer_id, url FROM c_metrics")
+CHILDREN = {"domain_count": "t_domains", "token_count": "t_tokens", "seed_count": "t_seeds", "snapshot_count": "t_snaps",
+            "job_count": "t_jobs", "metric_count": "t_metrics"}
 oracle("s5_load_accounts", f"""
-  SELECT id, plan, {epoch('created_at')} AS created_s, (SELECT count(*) FROM c_domains d WHERE d.customer_id = a.id) AS domain_count,
-    (SELECT count(*) FROM c_tokens t WHERE t.customer_id = a.id) AS token_count FROM c_accounts a""")
+  SELECT a.id, a.plan, {epoch('created_at')} AS created_s, {', '.join(f'coalesce({n}, 0) AS {n}' for n in CHILDREN)} FROM c_accounts a
+  {' '.join(f'LEFT JOIN (SELECT customer_id, count(*) AS {n} FROM {t} GROUP BY 1) j_{n} ON j_{n}.customer_id = a.id' for n, t in CHILDREN.items())}""")
 step("c_stored", f"""SELECT page_id, url_key, markdown, html, html_tokens, md_tokens, n, page_id * 2 + n AS wid, {at('page_id + n * 3600')} AS written_at,
     page_id % 3 = n AS has_html FROM c_content, (VALUES (0), (1)) AS t(n) WHERE markdown <> ''""")
 oracle("s6_content_store", """
@@ -603,13 +612,45 @@ oracle("q1_unique_violations", "SELECT host, seed, count(*) AS copies FROM c_bot
 oracle("q2_orphans", """
   SELECT id, customer_id, hostname FROM c_domains WHERE customer_id NOT IN (
     SELECT a.id FROM c_accounts a JOIN c_domains v ON v.customer_id = a.id WHERE v.verified)""")
+step("c_gone", "SELECT id FROM c_accounts WHERE plan = 'pro'")
 oracle("q2_cascade_delete", """
-  SELECT 'customers' AS table_name, id AS row_id FROM c_accounts WHERE plan = 'pro'
-  UNION ALL SELECT 'domains', d.id FROM c_domains d JOIN c_accounts a ON a.id = d.customer_id WHERE a.plan = 'pro'
-  UNION ALL SELECT 'map_snapshots', 'snap_' || d.id FROM c_domains d JOIN c_accounts a ON a.id = d.customer_id WHERE a.plan = 'pro'
-  UNION ALL SELECT 'api_tokens', t.id FROM c_tokens t JOIN c_accounts a ON a.id = t.customer_id WHERE a.plan = 'pro'""")
+  SELECT 'customers' AS table_name, id AS row_id FROM c_gone
+""" + "".join(f"  UNION ALL SELECT '{name}', id FROM {t} WHERE customer_id IN (SELECT id FROM c_gone)\n" for name, t in (
+    ("domains", "t_domains"), ("map_snapshots", "t_snaps"), ("api_tokens", "t_tokens"), ("seed_urls", "t_seeds"),
+    ("publish_jobs", "t_jobs"), ("url_metrics", "t_metrics"))))
 oracle("q3_enum_violations", """
   SELECT id, CASE WHEN k % 9 = 4 THEN 'gold' END AS plan FROM c_accounts WHERE k % 9 = 4 OR k % 31 = 5""")
+
+
+def with_copies(rows):
+    return f"""SELECT * FROM ({rows}) UNION ALL SELECT * REPLACE (id || '_copy' AS id) FROM ({rows})
+        WHERE ('0x' || left(md5(id), 7))::BIGINT % 10 = 3"""
+
+
+step("d_customers", with_copies("""SELECT id, login_id, CASE WHEN k % 9 = 4 THEN 'gold' WHEN k % 31 = 6 THEN NULL ELSE plan END AS plan
+    FROM t_customers WHERE k % 13 <> 5"""))
+step("d_domains", with_copies("SELECT * FROM t_domains WHERE replace(id, 'dom_', '')::BIGINT % 11 <> 2"))
+step("d_tokens", with_copies("SELECT * FROM t_tokens"))
+step("d_seeds", with_copies("SELECT id, customer_id, url, CASE WHEN contains(url, '/de/') THEN 'sitemap' ELSE source END AS source FROM t_seeds"))
+step("d_snaps", with_copies("SELECT * FROM t_snaps"))
+OWNER = "replace(customer_id, 'cust_', '')::BIGINT"
+step("d_jobs", with_copies(f"""SELECT id, customer_id, CASE WHEN {OWNER} % 12 = 7 THEN 'sync' ELSE kind END AS kind,
+    CASE WHEN {OWNER} % 8 = 1 THEN 'lost' ELSE state END AS state FROM t_jobs"""))
+step("d_metrics", with_copies("SELECT * FROM t_metrics"))
+DIRTY = {"customers": "d_customers", "domains": "d_domains", "api_tokens": "d_tokens", "seed_urls": "d_seeds", "map_snapshots": "d_snaps",
+         "publish_jobs": "d_jobs", "url_metrics": "d_metrics"}
+oracle("q1_account_keys", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, to_json([{', '.join(keys)}])::VARCHAR AS key, count(*) AS copies FROM {DIRTY[name]} GROUP BY 2 HAVING count(*) > 1"
+    for name, keys in (("customers", ["login_id"]), ("domains", ["customer_id", "hostname"]), ("seed_urls", ["customer_id", "url"]),
+                       ("map_snapshots", ["customer_id", "domain_id"]), ("api_tokens", ["token_hash"]), ("url_metrics", ["customer_id", "url"]))))
+oracle("q2_account_orphans", " UNION ALL ".join(
+    f"SELECT '{child}' AS table_name, '{fk}' AS column_name, id AS row_id FROM {DIRTY[child]} WHERE {fk} NOT IN (SELECT id FROM {DIRTY[parent]})"
+    for child, fk, parent in [(c, "customer_id", "customers") for c in DIRTY if c != "customers"] + [("map_snapshots", "domain_id", "domains")]))
+oracle("q3_account_enums", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{col}' AS column_name, id AS row_id, {col} AS value FROM {DIRTY[name]} WHERE {col} IS NULL OR {col} NOT IN ({good})"
+    for name, col, good in (
+        ("customers", "plan", "'free', 'pro', 'team', 'enterprise'"), ("publish_jobs", "state", "'pending', 'success', 'failed'"),
+        ("publish_jobs", "kind", "'auth_kv_sync'"), ("seed_urls", "source", "'firecrawl_map', 'manual'"))))
 INLINE_TAGS = ("a|b|strong|em|i|code|img|br|hr|p|div|section|article|header|footer|nav|aside|main|figure|figcaption|address|form|fieldset"
                "|details|summary|dl|dt|dd|ul|ol|li|pre|table|thead|tbody|tfoot|tr|td|th|blockquote|h[1-6]")
 

@@ -92,16 +92,17 @@ def s4_explode_crawl(d):
 @query
 def s5_load_accounts(d):
     path = work_dir(d.spark, "accounts")
-    tables = {"customers": d.accounts(), "domains": d.domains(), "api_tokens": d.tokens()}
-    for name, frame in tables.items():
-        frame.select(*schemas.ACCOUNT_TABLES[name].names).write.parquet(f"{path}/{name}")
-    t = readers.load_accounts(d.spark, path, list(tables))
-    count = lambda frame, name: frame.groupBy(F.col("customer_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
-    joined = t["customers"].join(count(t["domains"], "domain_count"), "id", "left").join(
-        count(t["api_tokens"], "token_count"), "id", "left")
+    for name, frame in d.account_tables().items():
+        frame.write.parquet(f"{path}/{name}")
+    t = readers.load_accounts(d.spark, path)
+    counts = {"domains": "domain_count", "api_tokens": "token_count", "seed_urls": "seed_count",
+              "map_snapshots": "snapshot_count", "publish_jobs": "job_count", "url_metrics": "metric_count"}
+    joined = t["customers"]
+    for name, out in counts.items():
+        rows = t[name].groupBy(F.col("customer_id").alias("id")).agg(F.count(F.lit(1)).alias(out))
+        joined = joined.join(rows, "id", "left")
     return joined.select("id", "plan", seconds(F.col("created_at"), "created_s"),
-                         F.coalesce("domain_count", F.lit(0)).alias("domain_count"),
-                         F.coalesce("token_count", F.lit(0)).alias("token_count"))
+                         *[F.coalesce(c, F.lit(0)).alias(c) for c in counts.values()])
 
 
 @query
@@ -594,10 +595,22 @@ def q2_orphans(d):
 
 @query
 def q2_cascade_delete(d):
-    snapshots = d.domains().select(
-        F.concat(F.lit("snap_"), "id").alias("id"), "customer_id", F.col("id").alias("domain_id"))
-    tables = {"customers": d.accounts(), "domains": d.domains(), "api_tokens": d.tokens(), "map_snapshots": snapshots}
-    return audits.cascade_delete(tables, d.accounts().filter(F.col("plan") == "pro"))
+    return audits.cascade_delete(d.account_tables(), d.accounts().filter(F.col("plan") == "pro"))
+
+
+@query
+def q1_account_keys(d):
+    return audits.account_keys(d.dirty_tables())
+
+
+@query
+def q2_account_orphans(d):
+    return audits.account_orphans(d.dirty_tables())
+
+
+@query
+def q3_account_enums(d):
+    return audits.account_enums(d.dirty_tables())
 
 
 @query
@@ -622,7 +635,7 @@ def q5_non_200_to_crawlers(d):
 @query
 def q6_secrets_audit(d):
     entries = d.request_log().select(F.col("requestId").alias("request_id"), F.explode("logs").alias("e")).select(
-        "request_id", "e.msg", "e.data")
+        "request_id", "e.msg", "e.err", "e.stack", "e.data")
     return audits.secrets_audit(d.config(), entries)
 
 
