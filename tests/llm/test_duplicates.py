@@ -205,3 +205,13 @@ def test_equal_rows_are_spread_over_shards(spark):
 
 def test_no_shards_of_nothing(no_docs):
     assert sharding.shards(sharding.sized(no_docs), 8).collect() == []
+
+
+def test_sets_do_not_depend_on_slices():
+    texts = [f"Word{i} ÄB c{i} D É {'x ' * (i % 7)}" for i in range(300)]
+    whole = pa.array(texts)
+    flat, bounds = minhash_dedup.shingle_sets(whole, 2)
+    for start, size in ((0, 300), (17, 50), (250, 50)):
+        part, own = minhash_dedup.shingle_sets(whole.slice(start, size), 2)
+        assert part.tolist() == flat[bounds[start]:bounds[start + size]].tolist()
+        assert own.tolist() == (bounds[start:start + size + 1] - bounds[start]).tolist()
