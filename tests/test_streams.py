@@ -1,7 +1,9 @@
 """Streams over several batches, and the SQL functions."""
 
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from webmill.functions import sql
@@ -9,7 +11,7 @@ from webmill.functions.text import estimate_tokens
 from webmill.operators import cache, pages
 from webmill.session import work_dir
 from webmill.sources import sinks
-from webmill.streaming import cache_state, jobs
+from webmill.streaming import cache_state, jobs, single_flight
 from test_functions import CANONICAL
 
 T0 = datetime(2024, 1, 1)
@@ -44,14 +46,30 @@ def test_metrics_stream_is_idempotent_and_keeps_order(spark):
     assert spark.read.parquet(base).count() == 1
 
 
-def test_single_flight_suppresses_within_the_watermark(spark):
-    schema = "request_id long, ts timestamp, url_key string"
-    frames = [spark.createDataFrame(r, schema) for r in (
-        [(1, at(0), "k"), (2, at(5), "k"), (3, at(6), "j")], [(4, at(10), "k")], [(5, at(300), "x")], [(7, at(305), "y")], [(6, at(310), "k")])]
+def flight_by_hand(rows):
+    out, marker = {}, {}
+    for i, ts, key, latency in sorted(rows, key=lambda r: (r[1], r[0])):
+        if key not in marker or ts >= marker[key][1]:
+            marker[key] = (i, ts + timedelta(milliseconds=min(latency, 30000)))
+        out[i] = marker[key][0]
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_single_flight_does_not_depend_on_batches(spark, parts):
+    rnd = random.Random(5)
+    rows = [(i, at(i // 3 + rnd.randrange(4)), rnd.choice(["hot", "hot", "a", "b"]), rnd.choice([0, 900, 4000, 29000, 90000])) for i in range(420)]
+    rows.append((999, at(1000), "end", 0))  # moves the watermark past all others
+    schema = "request_id long, ts timestamp, url_key string, latency_ms long"
+    size = -(-len(rows) // parts)
+    frames = [spark.createDataFrame(rows[k:k + size], schema) for k in range(0, len(rows), size)]
     path = work_dir(spark, "flight")
-    jobs.append_to(jobs.single_flight_stream(batches(spark, frames, "r")), path, work_dir(spark, "c")).awaitTermination()
-    kept = {(r.url_key, r.request_id) for r in spark.read.parquet(path).collect()}
-    assert len([1 for k, _ in kept if k == "k"]) == 2 and ("k", 6) in kept and ("j", 3) in kept
+    stream = single_flight.single_flight_stream(batches(spark, frames, f"r{parts}"))
+    jobs.append_to(stream, path, work_dir(spark, "c")).awaitTermination()
+    got = {r.request_id: r.leader_id for r in spark.read.parquet(path).collect()}
+    want = flight_by_hand(rows)
+    del want[999]
+    assert got == want
 
 
 def test_cache_state_over_batches_equals_the_batch_join(spark):

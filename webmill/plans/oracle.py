@@ -45,7 +45,7 @@ def sql(body):
                 needed.add(name)
                 todo.append(STEPS[name])
     ctes = ",\n".join(f"{n} AS ({STEPS[n]})" for n in STEPS if n in needed)
-    return f"WITH {ctes}\n{body}" if ctes else body
+    return f"WITH {'RECURSIVE ' if 'c_lead' in needed else ''}{ctes}\n{body}" if ctes else body
 
 
 def oracle(name, body):
@@ -594,12 +594,24 @@ oracle("x4_effective_agents", f"""
   WHERE (agent <> 'twitterbot' OR c_custkey % 4 = 0) AND (agent <> 'googlebot' OR c_custkey % 4 <> 0)
     AND NOT (c_custkey % 6 = 0 AND agent = 'bytespider')""")
 
+# each leader is followed by the first request after its marker has gone; rows behind the last watermark are decided
+step("c_extract", f"""SELECT request_id AS id, page_host AS k, i * 1000 AS start_ms, i * 1000 + least(latency_ms * {registry.LATENCY_FACTOR}, 30000) AS done
+    FROM c_req WHERE outcome IN ('miss', 'fallback') AND page_host IS NOT NULL""")
+step("c_after", """SELECT a.id, a.k, a.done, min(b.id) AS next FROM c_extract a LEFT JOIN c_extract b ON b.k = a.k AND b.start_ms >= a.done AND b.id > a.id
+    GROUP BY ALL""")
+step("c_lead", """SELECT id, k, next FROM c_after WHERE id IN (SELECT min(id) FROM c_extract GROUP BY k)
+    UNION ALL SELECT a.id, a.k, a.next FROM c_lead l JOIN c_after a ON a.id = l.next""")
+oracle("t1_single_flight", f"""
+  SELECT e.id AS request_id, e.k AS key, max(l.id) AS leader_id FROM c_extract e JOIN c_lead l ON l.k = e.k AND l.id <= e.id
+  WHERE e.start_ms < (SELECT max(start_ms) FROM c_extract) - 30000 GROUP BY e.id, e.k""")
 oracle("t2_metrics_stream", keep_last("c_arrived", False))
 oracle("t3_usage_stream", "SELECT customer_id, month, renders FROM c_usage")
 # a stream emits the windows that end before its watermark, five minutes behind the last event
 MARK = f"(SELECT max({epoch('ts')}) - 300 FROM c_req)"
 oracle("t4_alert_stream", " UNION ALL ".join(
-    rule_sql(r, f"WHERE (s + {r['window_min']}) * 60 <= {MARK}") for r in lists.ALERT_RULES))
+    rule_sql(r, f"WHERE (s + {r['window_min']}) * 60 <= {MARK}") for r in lists.ALERT_RULES) + f"""
+  UNION ALL SELECT '{EXTRACTOR['rule']}', '{EXTRACTOR['level']}', window_start_min, calls, failures FROM ({windows(15, f'WHERE (s + 15) * 60 <= {MARK}')})
+  WHERE failures * {EXTRACTOR['den']} > calls * {EXTRACTOR['num']}""")
 oracle("t5_cache_state", lookup("c_req"))
 oracle("t6_stats_stream", f"""
   SELECT {epoch('ts')} // 300 * 300 AS window_start_s, bot_family, count(*) AS requests,

@@ -1,7 +1,5 @@
 """Registered queries: one per operator, over the base tables and tables derived from them."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from webmill import lists, schemas
@@ -13,7 +11,7 @@ from webmill.plans import flows
 from webmill.plans.derived import AS_OF, CONFIG_TIME, Derived, spread
 from webmill.session import use_utc, work_dir
 from webmill.sources import readers, sinks
-from webmill.streaming import cache_state, jobs
+from webmill.streaming import cache_state, jobs, single_flight
 
 QUERIES = {}
 
@@ -521,12 +519,24 @@ def x4_effective_agents(d):
 
 # --- streams ------------------------------------------------------------------
 
+def use_rocksdb(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def extractions(d):
+    """Requests that need an extraction, keyed by host, with stretched latencies so that they overlap."""
+    return d.requests().filter(F.col("outcome").isin("miss", "fallback")).select(
+        "request_id", "ts", F.col("page_host").alias("url_key"), (F.col("latency_ms") * LATENCY_FACTOR).alias("latency_ms"))
+
+
 @query
 def t1_single_flight(d):
-    r = as_stream(d.keyed_requests().select("request_id", "ts", "url_key"), "requests")
-    path, check = work_dir(d.spark, "t1"), work_dir(d.spark, "check")
-    finish(jobs.append_to(jobs.single_flight_stream(r), path, check))
-    return d.spark.read.schema("request_id LONG, ts TIMESTAMP, url_key STRING").parquet(path).select("url_key")
+    use_rocksdb(d.spark)
+    stream = single_flight.single_flight_stream(as_stream(extractions(d), "requests"))
+    path = work_dir(d.spark, "t1")
+    finish(jobs.append_to(stream, path, work_dir(d.spark, "check")))
+    return d.spark.read.schema(single_flight.OUTPUT).parquet(path)
 
 
 @query
@@ -547,21 +557,16 @@ def t3_usage_stream(d):
 
 @query
 def t4_alert_stream(d):
-    frame = d.requests().select("ts", "outcome")
-    paths = []
-    for rule in lists.ALERT_RULES:
-        path = work_dir(d.spark, "t4")
-        finish(jobs.append_to(jobs.alert_stream(as_stream(frame, "requests"), rule), path, work_dir(d.spark, "check")))
-        paths.append(d.spark.read.schema(
-            "rule STRING, level STRING, window_start_min LONG, requests LONG, events LONG").parquet(path))
-    return reduce(lambda a, b: a.unionByName(b), paths)
+    stream = jobs.alert_stream(as_stream(d.requests().select("ts", "outcome", "extractor_status"), "requests"))
+    path = work_dir(d.spark, "t4")
+    finish(jobs.append_to(stream, path, work_dir(d.spark, "check")))
+    return d.spark.read.schema(stream.schema).parquet(path)
 
 
 @query
 def t5_cache_state(d):
     spark = d.spark
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    use_rocksdb(spark)
     puts = as_stream(d.writes().filter(F.col("kind") == "md"), "puts")
     r = as_stream(d.keyed_requests().select("request_id", "ts", "url_key"), "requests")
     path = work_dir(spark, "t5")

@@ -4,16 +4,15 @@ Each function takes a streaming DataFrame. Every aggregate has a watermark, so
 its state is bounded by time and not by the length of the stream.
 """
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from webmill import lists
+from webmill.operators import ops
 from webmill.sources.sinks import append_metrics
 
 
-def single_flight_stream(req, delay="30 seconds", key="url_key", ts="ts"):
-    """Extraction work list: the first request of a key per watermark period."""
-    return req.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-
-
 def metrics_stream(events, path, checkpoint, trigger=None):
     """Validate metric events and append them to the metric table, idempotent by batch."""
     return (
@@ -51,18 +50,28 @@ def usage_months(spark, path):
         F.sum("renders").alias("renders"))
 
 
-def alert_stream(req, rule, ts="ts", late="5 minutes"):
-    """Sliding fallback alert of one rule; closed windows only."""
-    width = f"{rule['window_min']} minutes"
-    windows = (
-        req.withWatermark(ts, late).groupBy(F.window(ts, width, "1 minute").alias("w"))
-        .agg(F.count(F.lit(1)).alias("requests"),
-             F.count_if(F.col("outcome") == "fallback").alias("events")))
-    fires = (F.col("requests") > rule["over"]) & (
-        F.col("events") * rule["den"] > F.col("requests") * rule["num"])
-    return windows.filter(fires).select(
-        F.lit(rule["rule"]).alias("rule"), F.lit(rule["level"]).alias("level"),
-        F.floor(F.unix_seconds("w.start") / 60).alias("window_start_min"), "requests", "events")
+def alert_stream(req, rules=None, extractor=None, ts="ts", late="5 minutes"):
+    """Sliding alerts of all rules in one stream; closed windows only.
+
+    Events are counted per minute first; only the minutes are copied into the
+    overlapping windows.
+    """
+    rules = lists.ALERT_RULES if rules is None else rules
+    extractor = extractor or lists.EXTRACTOR_ALERT
+    one = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    minutes = req.withWatermark(ts, late).groupBy(F.window(ts, "1 minute").alias("m")).agg(
+        F.count(F.lit(1)).alias("requests"), one(F.col("outcome") == "fallback").alias("fallbacks"),
+        F.count("extractor_status").alias("extractor_calls"), one(F.col("extractor_status") >= 500).alias("extractor_5xx"))
+    counts = ("requests", "fallbacks", "extractor_calls", "extractor_5xx")
+
+    def slide(width):
+        windows = minutes.groupBy(F.window(F.window_time("m"), f"{width} minutes", "1 minute").alias("w")).agg(
+            *[F.sum(c).alias(c) for c in counts])
+        return windows.select(F.floor(F.unix_seconds("w.start") / 60).alias("window_start_min"), *counts)
+
+    found = [ops.rules_on(slide(r["window_min"]), r) for r in rules]
+    found.append(ops.extractor_on(slide(15), extractor))
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def stats_stream(log, window="5 minutes", ts="ts", late="5 minutes"):
