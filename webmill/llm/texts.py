@@ -36,8 +36,12 @@ def slices(batches, column="text", limit=SLICE_BYTES):
 
 
 def whole(texts):
-    """Texts as large strings, null as empty."""
-    return pc.fill_null(texts.cast(pa.large_string()), "")
+    """Texts as large strings, null as empty, in buffers of their own.
+
+    Some Arrow kernels misread an array that starts inside its buffer, so a slice is always copied.
+    """
+    filled = pc.fill_null(texts.cast(pa.large_string()), "")
+    return filled.take(pa.array(np.arange(len(filled))))
 
 
 def parts(lists, keep_empty=False):
