@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR is the data folder, BENCH_CPUS the number of local cores. Derived
 input tables are written before the clock starts (``prepare``); every query then
-runs twice into the no-op sink and the median is reported.
+runs three times into the no-op sink and the median is reported.
 """
 
 import json
@@ -23,7 +23,8 @@ HEADLINE = [
     "j6_overview", "j7_merge_starter", "j9_in_flight_followers", "j11_config_diff", "j12_golden_diff",
     "a2_section_report", "a3_usage", "a5_request_stats", "a7_fallback_alerts", "a11_token_rollup", "w3_upsert",
     "l1_rank_sections", "l2_cap_per_site", "x3_classifier_drift", "q1_unique_violations", "s3_explode_site_map",
-    "p15_split_valid_metrics", "flow_serve_requests", "t4_alert_stream",
+    "p15_split_valid_metrics", "flow_serve_requests", "t4_alert_stream", "s6_content_store", "s7_metrics_sink", "t1_single_flight",
+    "t2_metrics_stream", "t5_cache_state",
 ]
 
 
@@ -43,7 +44,7 @@ def main():
     times = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(2):
+        for _ in range(3):
             begin = time.time()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - begin)
