@@ -7,9 +7,10 @@ class, so copies never meet each other again.
    ``least_shared`` retained values (missed with a chance of about 1e-5 right at the threshold, and rapidly less above
    it; exact for small sets), so they also meet in the rarest ``m - least_shared + 1`` values of each, and only those
    are indexed. Very common shingles thus drop out of all but the shortest documents without any cap.
-2. Classes that lists connect form a unit of work. Each set is recomputed from its text once, only for classes in a
-   unit, and sent there once. Units above ``most_sets`` or ``most_bytes`` are replaced by their lists, and lists above
-   these bounds by pairs of blocks of them, so no task gathers more than that.
+2. Classes that lists connect form a unit of work. Where that is more than ``most_sets`` sets or ``most_bytes``, the
+   sketches of each list are compared first and units are what estimates connect; what is still larger keeps its lists,
+   cut into pairs of blocks, so no task gathers more than that. Each set is recomputed from one text, for classes in a
+   unit only, and sent to its unit once.
 3. In a unit, a pivot is compared with all other sets not yet linked to it: the union sketch's estimate sorts out
    clearly different pairs, the exact Jaccard similarity of the full sets decides the rest. Pairs already connected
    need no comparison, and no pair is ever written: a unit returns a spanning forest.
@@ -30,9 +31,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from webmill.llm.components import components
-from webmill.llm.texts import row_id, slices, stored, whole, words_of
+from webmill.llm.texts import row_id, sent_whole, slices, stored, whole, words_of
 
 SHIFT = 4.5  # standard deviations
+SENT_WHOLE = 500_000  # rows of at most about 100 bytes that are broadcast to the documents; more are joined by a shuffle
 
 
 def least_shared(m, k, threshold):
@@ -103,16 +105,16 @@ def sketches(docs, width, k):
 
 
 def sets_of(docs, wanted, width):
-    """(cls, key, values) of the wanted classes, recomputed from their texts."""
+    """The rows (cls, key, spots) of wanted classes with their ``values``, recomputed from one text each."""
     def run(batches):
         for batch in slices(batches):
             flat, bounds = shingle_sets(batch["text"], width)
-            for i, (want, a, b) in enumerate(zip(batch["key"].to_pylist(), bounds.tolist(), bounds[1:].tolist())):
+            for want, a, b in zip(batch["key"].to_pylist(), bounds.tolist(), bounds[1:].tolist()):
                 if want != set_key(flat[a:b]):
                     raise ValueError("the documents changed between two reads")
-            yield pa.RecordBatch.from_arrays([batch["cls"], list_array(flat, bounds)], names=["cls", "values"])
-    rows = docs.join(wanted, F.col("_row") == F.col("cls")).select("cls", "key", "text")
-    return stored(rows.mapInArrow(run, "cls long, values array<long>"), "sets")
+            yield pa.RecordBatch.from_arrays([batch["cls"], batch["spots"], list_array(flat, bounds)], names=["cls", "spots", "values"])
+    rows = docs.join(wanted, F.col("_row") == F.col("cls")).select("cls", "key", "spots", "text")
+    return rows.mapInArrow(run, rows.select("cls", "spots").withColumn("values", F.array().cast("array<long>")).schema)
 
 
 def classes(base):
@@ -158,8 +160,7 @@ class Unit:
         others = others[np.minimum(size, own) >= limit * np.maximum(size, own)]
         mine = self.codes[self.start[pivot]:self.start[pivot] + own]
         self.mark[mine] = True
-        if own > self.k:
-            others = others[self.estimated(mine[:self.k], others)]
+        others = others[self.estimated(mine[:self.k], others)]
         size = self.size[others]
         hit = self.mark[self.codes[ragged(self.start[others], size)]]
         shared = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64) if len(others) else size
@@ -179,18 +180,37 @@ class Unit:
         before -= before[first][owner] if len(first) else 0
         rank = np.arange(len(codes)) - first[owner] + place - before
         shared = np.bincount(owner[both & (rank < self.k)], minlength=len(others))
-        return shared >= self.threshold * self.k - SHIFT * math.sqrt(self.threshold * (1 - self.threshold) * self.k)
+        union = np.minimum(len(sketch) + kept - np.bincount(owner[both], minlength=len(others)), self.k)
+        return shared >= self.threshold * union - SHIFT * np.sqrt(self.threshold * (1 - self.threshold) * union)
+
+
+class SketchUnit(Unit):
+    """Sketches of one list with the sizes of their sets; similar means that the estimate leaves a link possible."""
+
+    def __init__(self, values, sizes, k, threshold):
+        super().__init__(values, k, threshold)
+        self.whole = sizes
+
+    def similar(self, pivot, others):
+        size, own = self.whole[others], self.whole[pivot]
+        others = others[np.minimum(size, own) >= (self.threshold - 1e-12) * np.maximum(size, own)]
+        return others[self.estimated(self.codes[self.start[pivot]:self.start[pivot] + self.size[pivot]], others)]
 
 
 def linked(values, k, threshold, sides=None):
-    """Smallest member of each set's component among the given sets.
+    """Smallest member of each set's component among the given sets."""
+    return grouped(Unit(values, k, threshold), sides)
+
+
+def grouped(unit, sides=None):
+    """Smallest member of each member's component under ``unit.similar``.
 
     Pivots first come from the largest group until three in a row link nothing new, then from the smallest, until all
     sets that were no pivot are in one group: each pair of different groups has then been compared. ``sides`` restricts
     comparisons to sets of different sides.
     """
-    n = len(values)
-    unit, root, todo = Unit(values, k, threshold), np.arange(n), np.ones(n, bool)
+    n = len(unit.size)
+    root, todo = np.arange(n), np.ones(n, bool)
     idle = 0
     while True:
         open_ = np.flatnonzero(todo)
@@ -220,35 +240,68 @@ def unit_links(k, threshold):
     return run
 
 
-def units(lists, most_sets, most_bytes):
-    """(cls, unit, block_a, block_b, side, pair): which unit, and which blocks of it, each class goes to.
+def estimate_links(k, threshold):
+    def run(group):
+        cls = group["cls"].to_numpy()
+        sides = group["side"].to_numpy() if group["pair"][0].as_py() else None
+        root = grouped(SketchUnit(group["sketch"], group["n"].to_numpy(), k, threshold), sides)
+        apart = root != np.arange(len(cls))
+        return pa.table({"a": cls[apart], "b": cls[root[apart]]})
+    return run
+
+
+def sized(rows, unit, most_sets, most_bytes):
+    """Into how many blocks a unit must be cut."""
+    need = F.greatest(F.count("*") / most_sets, F.sum("n") * 8 / most_bytes)
+    return rows.groupBy(F.col(unit).alias("_unit")).agg(F.ceil(need).alias("blocks"))
+
+
+def in_blocks(lists, blocks):
+    """(cls, n, unit, list, i, j, side, pair): members of lists, dealt to pairs of blocks where a list has several."""
+    rows = lists.join(blocks, F.col("value") == F.col("_unit")).withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    i, j = F.least("side", "other"), F.greatest("side", "other")
+    return rows.select("cls", "n", F.col("value").alias("unit"), F.lit(1).alias("list"), i.alias("i"), j.alias("j"), "side", (i != j).cast("int").alias("pair"))
 
-    Connected lists are one unit if they fit; otherwise each list is one, cut into pairs of blocks if it is too large.
+
+def with_roots(nodes, edges):
+    """(cls, n, unit): the component of each class under the edges."""
+    roots = components(edges).withColumnRenamed("id", "_id")
+    return stored(nodes.join(roots, F.col("cls") == F.col("_id"), "left").select("cls", "n", F.coalesce("root", "cls").alias("unit")), "units")
+
+
+def units(base, lists, k, threshold, most_sets, most_bytes):
+    """(cls, unit, list, i, j, side, pair): which unit, and which blocks of it, each class goes to.
+
+    Classes connected by lists are one unit if they fit. In larger ones the sketches of each list are compared first, and
+    classes connected by estimates that leave a link possible are one unit if they fit. What is still too large keeps its
+    lists as units, cut into pairs of blocks where a list is too large.
     """
-    roots = components(lists.select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct())
-    nodes = lists.select("cls", "n").distinct()
-    nodes = stored(nodes.join(roots.withColumnRenamed("id", "_id"), F.col("cls") == F.col("_id"), "left").select("cls", "n", F.coalesce("root", "cls").alias("unit")), "units")
-
-    def sized(rows, unit):
-        need = F.greatest(F.count("*") / most_sets, F.sum("n") * 8 / most_bytes)
-        return rows.groupBy(F.col(unit).alias("_unit")).agg(F.ceil(need).alias("blocks"))
-    large = stored(sized(nodes, "unit").filter("blocks > 1").select("_unit"), "large-units")
-    whole_units = nodes.join(large, F.col("unit") == F.col("_unit"), "left_anti").select(
-        "cls", "unit", *(F.lit(0).cast(t).alias(c) for c, t in (("list", "int"), ("i", "long"), ("j", "long"), ("side", "long"), ("pair", "int"))))
-    if large.isEmpty():
-        return whole_units
-    inside = nodes.join(large, F.col("unit") == F.col("_unit"), "left_semi").select(F.col("cls").alias("_cls"))
-    rest = stored(lists.join(inside, F.col("cls") == F.col("_cls"), "left_semi").select("value", "cls", "n"), "large-lists")
+    spot = [F.lit(0).cast(t).alias(c) for c, t in (("list", "int"), ("i", "long"), ("j", "long"), ("side", "long"), ("pair", "int"))]
+
+    def split(nodes):
+        large = stored(sized(nodes, "unit", most_sets, most_bytes).filter("blocks > 1").select("_unit"), "large-units")
+        fit = nodes.join(large, F.col("unit") == F.col("_unit"), "left_anti").select("cls", "unit", *spot)
+        return fit, None if large.isEmpty() else nodes.join(large, F.col("unit") == F.col("_unit"), "left_semi").select("cls", "n")
+
+    nodes = with_roots(lists.select("cls", "n").distinct(), lists.select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct())
+    fit, inside = split(nodes)
+    if inside is None:
+        return fit
+    rest = lists.join(inside.select(F.col("cls").alias("_cls")), F.col("cls") == F.col("_cls"), "left_semi").select("value", "cls", "n")
+    rest = stored(rest, "large-lists")
     # lists with the same members are the same work: one of them is enough
     mark = F.sum(F.xxhash64("cls").cast("decimal(38,0)"))
     one = rest.groupBy("value").agg(F.count("*").alias("m"), mark.alias("s"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x")).groupBy("m", "s", "x").agg(F.min("value").alias("_value"))
     rest = stored(rest.join(one.select("_value"), F.col("value") == F.col("_value"), "left_semi"), "distinct-lists")
-    blocks = sized(rest, "value").withColumnRenamed("_unit", "_value")
-    rest = rest.join(blocks, F.col("value") == F.col("_value"))
-    rest = rest.withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    i, j = F.least("side", "other"), F.greatest("side", "other")
-    return whole_units.union(rest.select("cls", F.col("value").alias("unit"), F.lit(1).alias("list"), i.alias("i"), j.alias("j"), "side", (i != j).cast("int").alias("pair")))
+    compared = in_blocks(rest, rest.groupBy(F.col("value").alias("_unit")).agg(F.ceil(F.count("*") / most_sets).alias("blocks")))
+    compared = compared.join(base.select(F.col("_row").alias("_r"), "sketch"), F.col("cls") == F.col("_r")).drop("_r")
+    edges = compared.groupBy("unit", "i", "j").applyInArrow(estimate_links(k, threshold), "a long, b long")
+    finer, inside = split(with_roots(inside, edges))
+    if inside is None:
+        return fit.union(finer)
+    rest = stored(rest.join(inside.select(F.col("cls").alias("_cls")), F.col("cls") == F.col("_cls"), "left_semi"), "rest-lists")
+    return fit.union(finer).union(in_blocks(rest, sized(rest, "value", most_sets, most_bytes)).drop("n"))
 
 
 def near_duplicates(docs, key="doc_id", width=5, k=64, threshold=0.8, most_sets=16_384, most_bytes=64 << 20):
@@ -257,10 +310,12 @@ def near_duplicates(docs, key="doc_id", width=5, k=64, threshold=0.8, most_sets=
     base = sketches(docs, width, k)
     member = classes(base)
     lists = inverted_lists(base, member, k, threshold)
-    places = stored(units(lists, most_sets, most_bytes), "places")
-    wanted = places.select("cls").distinct().join(member.select("_row", "key"), F.col("cls") == F.col("_row")).select("cls", "key")
-    sets = sets_of(docs.select("_row", "text"), stored(wanted, "wanted"), width)
-    work = places.join(sets.withColumnRenamed("cls", "_cls"), F.col("cls") == F.col("_cls")).drop("_cls")
+    places = stored(units(base, lists, k, threshold, most_sets, most_bytes), "places")
+    spots = F.collect_list(F.struct("unit", "list", "i", "j", "side", "pair")).alias("spots")
+    wanted = stored(
+        places.groupBy("cls").agg(spots).join(member.select("_row", "key"), F.col("cls") == F.col("_row")).select("cls", "key", "spots"), "wanted")
+    sets = sets_of(docs.select("_row", "text"), sent_whole(wanted, places.count(), SENT_WHOLE), width)
+    work = sets.select("cls", "values", F.explode("spots").alias("s")).select("cls", "values", "s.*")
     links = work.groupBy("unit", "list", "i", "j").applyInArrow(unit_links(k, threshold), "a long, b long")
     roots = components(links)
     out = member.join(roots.withColumnRenamed("id", "_id"), F.col("cls") == F.col("_id"), "left").select(
@@ -274,9 +329,9 @@ def near_duplicates(docs, key="doc_id", width=5, k=64, threshold=0.8, most_sets=
 def without_duplicates(docs, key="doc_id", **options):
     """One document of each component, with all its columns.
 
-    The rows to drop are stored first; if there are few they are broadcast, otherwise the join shuffles the documents.
+    The rows to drop are stored and counted first; up to ``SENT_WHOLE`` of them are broadcast, more are joined by a shuffle.
     """
     found = near_duplicates(docs, key, **options)
     drop = stored(found.filter(~F.col("first")).select(F.col("_row").alias("_drop")), "duplicates")
     numbered = docs.select(row_id().alias("_row"), F.struct("*").alias("_doc"))  # so that no column of docs can clash
-    return numbered.join(drop, F.col("_row") == F.col("_drop"), "left_anti").select("_doc.*")
+    return numbered.join(sent_whole(drop, drop.count(), SENT_WHOLE), F.col("_row") == F.col("_drop"), "left_anti").select("_doc.*")

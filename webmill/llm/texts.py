@@ -83,6 +83,11 @@ def stored(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_whole(df, rows, most):
+    """A stored table with a broadcast hint if it holds at most ``most`` rows by count, else as it is, to be shuffled."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def row_id():
     """A number for each row, fixed once the table is stored; doc_id may be null or repeated."""
     return F.monotonically_increasing_id()
