@@ -27,6 +27,7 @@ from webmill.llm.word_ids import folded, looked_up, tokenizer
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Letters that every Unicode version composes, lower-cases and classifies alike.
 PLAIN = regex.compile(r"[\x21-\x7eÀ-ɏ]*")
+CACHED_DIGESTS = 400_000
 _ENCODERS = {}
 
 
@@ -184,7 +185,7 @@ def digests(docs, path):
     def run(batches):
         for batch in slices(batches):
             words = words_of(folded(whole(batch["text"])))
-            found = looked_up(words.vocab.to_pylist(), encoder(path).digests, (path, "digests"))
+            found = looked_up(words.vocab.to_pylist(), encoder(path).digests, (path, "digests"), CACHED_DIGESTS)
             many = np.array([f[0] for f in found], np.int64)
             # a word of white space that is not ASCII has no tokens and must not leave a separator
             codes, bounds = words.codes, words.bounds

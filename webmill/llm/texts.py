@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webmill.session import work_dir
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Parts(NamedTuple):
@@ -33,6 +33,7 @@ def slices(batches, column="text", limit=SLICE_BYTES):
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker lives on for tasks of other stages
 
 
 def whole(texts):

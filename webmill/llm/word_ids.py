@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from webmill.llm.texts import words_of
 
-CACHED_WORDS = 700_000
+CACHED_WORDS = 250_000
 #: Texts in which lower case is the same before and after the tokenizer's own normalisation do not match this.
 NOT_FOLDABLE = r"[^\x00-\x7fÀ-ÿ]|<\|"
 #: Words that are one pre-token each.
@@ -67,10 +67,10 @@ def library_ids(path):
     return encode
 
 
-def looked_up(words, encode, name):
+def looked_up(words, encode, name, most=CACHED_WORDS):
     """``encode(words)`` through the worker's cache ``name``; the cache is emptied when it has grown past its bound."""
     cache = _CACHES.setdefault(name, {})
-    if len(cache) > CACHED_WORDS:
+    if len(cache) > most:
         cache.clear()
     missing = [w for w in words if w not in cache]
     if missing:
