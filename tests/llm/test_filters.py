@@ -134,6 +134,40 @@ def hand_tokens(url):
     return out | {f"q:{x.split('=')[0]}" for x in query.split("&")}
 
 
+def test_url_rules_of_any_length_equal_brute_force(spark):
+    rng = random.Random(6)
+    path = lambda: "/".join(rng.choice("ab") for _ in range(rng.randint(1, 5)))
+    urls = [(i, f"http://{rng.choice(['u', 'w'])}.x.{rng.choice(['k', 'l'])}.example.{rng.choice(['org', 'net'])}/{rng.choice(['es', 'en', 'de'])}/{path()}?{rng.choice('ef')}=5") for i in range(300)]
+    rules = (("allow", "org", "/"), ("block", "example.org", "/es/a/b/a"), ("block", "u.x.k.example.org", "/en/"), ("block", "w.x.l.example.org", "/de/b/"))
+    rows = url_rules.judge(spark.createDataFrame(urls, "page_id long, url string").repartition(3), rules, support=0.03, longest=None).collect()
+    split = {i: hand_tokens(u) for i, u in urls}
+    ruled = {r.page_id: r.verdict for r in rows if r.rule}
+    seen, with_ = Counter(), Counter()
+    for i, verdict in ruled.items():
+        for n in range(1, len(split[i]) + 1):
+            for c in combinations(sorted(split[i]), n):
+                seen[c] += 1
+                with_[c, verdict] += 1
+    least = math.ceil(0.03 * len(ruled))
+    mined = [(frozenset(c), v, n / seen[c]) for (c, v), n in with_.items() if n >= least and n / seen[c] >= 0.8]
+    longer = 0
+    for r in rows:
+        fit = [(v, p, len(c)) for c, v, p in mined if c <= split[r.page_id]]
+        best = [max((p for w, p, _ in fit if w == v), default=None) for v in ("block", "allow")]
+        assert [r.block_confidence, r.allow_confidence] == best
+        longer += best != [max((p for w, p, n in fit if w == v and n < 3), default=None) for v in ("block", "allow")]
+    assert longer
+
+
+def test_url_rules_reach_the_end_of_a_url(spark):
+    host = "http://{}.b.c.d.{}/1/2/3/{}?a=1&b=1&c=1&d=1&{}=1"
+    rules = (("allow", "org", "/"), *(("block", f"bad{i}.b.c.d.org", "/") for i in range(2)), *(("block", "org", f"/1/2/3/bad{i}") for i in range(2)))
+    kinds = [("bad0", "x", "x"), ("x", "bad0", "x"), ("x", "x", "x"), ("y", "y", "y")]
+    urls = [host.format(h, "org", p, q) for h, p, q in kinds for _ in range(10)] + [host.format(h, "net", p, q) for h, p, q in kinds]
+    rows = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, support=0.1, longest=None).collect()
+    assert {r.page_id: r.verdict for r in rows if not r.rule} == {40: "block", 41: "block", 42: "allow", 43: "allow"}
+
+
 def test_url_rules_of_nothing(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), RULES).collect() == []
 

@@ -1,25 +1,33 @@
-"""URL filters from association rules that FP-growth mines in labelled URLs.
+"""URL filters from association rules that parallel FP-growth mines in labelled URLs.
 
 Editorial rules (host, path) judge what they fit; the longest wins. The URLs they judge are the labelled baskets: the
-tokens of a URL (the last four labels of its host and first three path segments by place, its first four parameter
-names) and its verdict; at most eleven tokens keep the number of item sets small. Rules ``tokens -> verdict`` that reach the support and confidence asked for, with at most ``longest`` tokens,
-judge the other URLs: a URL is blocked if the most confident block rule it fulfils beats its most confident allow
-rule, and allowed otherwise. Rules are found by an inverted index from their rarest token, so a URL only meets rules
-that share it.
+tokens of a URL (all labels of its host and all path segments by place, all parameter names) and its verdict. Rules
+``tokens -> verdict`` that reach the support and confidence asked for judge the other URLs: a URL is blocked if the
+most confident block rule it fulfils beats its most confident allow rule, and allowed otherwise. Rules are found by an
+inverted index from their rarest token, so a URL only meets rules that share it.
 
-A rule needs a share ``support`` of all labelled URLs, so the number of frequent tokens is at most tokens per URL /
-support, whatever the size of the input; that bounds the index, which every task gets.
+Rules have any length (``longest=None``) or at most ``longest`` tokens. Only the highest confidence of a URL counts, so
+a rule that a shorter one of the same confidence implies is not looked for: nothing is added to tokens that all have one
+verdict, nor a token that all URLs of a set hold. Equal baskets are counted once; each frequent token gets the more
+frequent tokens of its baskets, and the sets in which it is the rarest are grown in one task from their distinct rests.
+The work is thus bounded by the sets of mixed verdict that reach the support, not by the length of URLs.
 
 Cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; null labels are not
 mined; repeated rows count and get a row each; an empty table gives no rows; extra columns are ignored.
 """
 
+import math
+
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
+from webmill.llm.texts import row_id, sent_whole, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-VERDICTS = {"v:allow": "allow", "v:block": "block"}
+VERDICTS = "allow", "block"
+RULE = "antecedent array<string>, verdict string, confidence double, n long"
+#: Frequent tokens sent to every task; more are shuffled.
+SENT = 50_000
 
 
 def split_url(pages, url="url"):
@@ -45,23 +53,79 @@ def ruled(pages, rules):
 
 def tokens():
     """Distinct tokens of a URL from its ``host``, ``path`` and ``query``."""
-    labels = F.transform(F.slice(F.reverse(F.split("host", r"\.")), 1, 4), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
-    segments = F.slice(F.filter(F.split("path", "/"), lambda x: x != ""), 1, 3)
+    labels = F.transform(F.reverse(F.split("host", r"\.")), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
+    segments = F.filter(F.split("path", "/"), lambda x: x != "")
     segments = F.transform(segments, lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), x))
-    names = F.transform(F.slice(F.filter(F.split("query", "&"), lambda x: x != ""), 1, 4), lambda x: F.concat(F.lit("q:"), F.substring_index(x, "=", 1)))
+    names = F.transform(F.filter(F.split("query", "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.substring_index(x, "=", 1)))
     return F.array_distinct(F.concat(F.filter(labels, lambda x: ~x.endswith(":")), segments, names))
 
 
+def grown(key, rows, least, confidence, longest):
+    """Rules of two tokens or more in which ``key`` is the rarest, from rows (more frequent tokens, allow, block).
+
+    A set is extended only by more frequent tokens, so it is met once.
+    """
+    def better(counts, best):
+        shares = [n / sum(counts) for n in counts]
+        return shares, [max(s, b) if n >= least and s >= confidence else b for s, b, n in zip(shares, best, counts)]
+
+    total = [sum(r[i] for r in rows) for i in (1, 2)]
+    todo = [((key,), rows, sum(total), better(total, [0.0, 0.0])[1])]
+    while todo:
+        base, rows, seen, best = todo.pop()
+        counts = {}
+        for items, *n in rows:
+            for item in items:
+                own = counts.setdefault(item, [0, 0])
+                own[0] += n[0]
+                own[1] += n[1]
+        counts = {t: n for t, n in counts.items() if max(n) >= least and sum(n) < seen}
+        for item, n in counts.items():
+            shares, most = better(n, best)
+            for v, verdict in enumerate(VERDICTS):
+                if most[v] > best[v]:
+                    yield [*base, item], verdict, shares[v], n[v]
+            if min(n) and (longest is None or len(base) + 1 < longest):
+                rests = {}
+                for items, *m in rows:
+                    if item in items:
+                        rest = tuple(t for t in items[:items.index(item)] if t in counts)
+                        own = rests.setdefault(rest, [0, 0])
+                        own[0] += m[0]
+                        own[1] += m[1]
+                todo.append(((*base, item), [(r, *m) for r, m in rests.items()], sum(n), most))
+
+
 def mine(labelled, support=0.01, confidence=0.8, longest=2):
     """Rules (antecedent, verdict, confidence, n) from rows (tokens, ruled)."""
-    baskets = labelled.filter("ruled IS NOT NULL").select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "ruled"))).alias("items"))
-    if baskets.isEmpty():
-        return baskets.sparkSession.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    verdict = F.col("consequent")[0]
-    plain = ~F.exists("antecedent", lambda x: x.startswith("v:"))
-    return model.associationRules.filter(verdict.isin(*VERDICTS) & plain & (F.size("antecedent") <= longest)).select(
-        "antecedent", F.substr(verdict, F.lit(3)).alias("verdict"), "confidence", "support")
+    by_verdict = [F.count(F.when(F.col("ruled") == v, 1)).alias(v) for v in VERDICTS]
+    summed = [F.sum(v).alias(v) for v in VERDICTS]
+    baskets = labelled.filter("ruled IS NOT NULL").groupBy(F.array_sort("tokens").alias("items")).agg(*by_verdict)
+    baskets = stored(baskets.withColumn("_row", row_id()), "baskets")
+    total = baskets.agg(F.sum(F.col("allow") + F.col("block"))).first()[0] or 0
+    least = math.ceil(support * total)
+    each = baskets.select("_row", *VERDICTS, F.explode("items").alias("item"))
+    seen = F.col("allow") + F.col("block")
+    frequent = stored(each.groupBy("item").agg(*summed).filter(F.greatest(*VERDICTS) >= max(least, 1)), "tokens")
+    single = frequent.select(F.array("item").alias("antecedent"), F.explode(F.array(*(
+        F.struct(F.lit(v).alias("verdict"), (F.col(v) / seen).alias("confidence"), F.col(v).alias("n")) for v in VERDICTS))).alias("r"))
+    single = single.select("antecedent", "r.*").filter((F.col("n") >= max(least, 1)) & (F.col("confidence") >= confidence))
+    if longest == 1:
+        return single
+    mixed = frequent.filter("allow > 0 AND block > 0").select("item", (-seen).alias("rank"))
+    held = each.join(sent_whole(mixed, mixed.count(), SENT), "item").groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "item"))).getField("item").alias("items"), *(F.first(v).alias(v) for v in VERDICTS))
+    rests = held.groupBy("items").agg(*summed).select(*VERDICTS, F.explode(F.transform("items", lambda x, i: F.struct(
+        x.alias("key"), F.slice("items", F.lit(1), i).alias("rest")))).alias("k"))
+    rests = rests.groupBy("k.key", "k.rest").agg(*summed)
+
+    def run(key, table):
+        rows = [(tuple(r), a, b) for r, a, b in zip(*(table[c].to_pylist() for c in ("rest", *VERDICTS)))]
+        found = list(grown(key[0].as_py(), rows, max(least, 1), confidence, longest))
+        columns = zip(*found) if found else ([], [], [], [])
+        types = pa.list_(pa.string()), pa.string(), pa.float64(), pa.int64()
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["antecedent", "verdict", "confidence", "n"])
+    return single.unionByName(rests.groupBy("key").applyInArrow(run, RULE))
 
 
 def index_of(rules):
