@@ -168,6 +168,16 @@ def test_url_rules_reach_the_end_of_a_url(spark):
     assert {r.page_id: r.verdict for r in rows if not r.rule} == {40: "block", 41: "block", 42: "allow", 43: "allow"}
 
 
+def test_url_rules_of_hosts_below_the_share(spark, monkeypatch):
+    rules = (("allow", "org", "/"), ("block", "spam.org", "/"))
+    urls = [f"http://{'spam' if i < 6 else f'h{i % 40}'}.org/{i}" for i in range(1000)] + ["http://spam.net/7", "http://h1.net/2"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    rows = url_rules.judge(pages, rules, most=5).collect()
+    assert {r.page_id: r.verdict for r in rows if not r.rule} == {1000: "block", 1001: "allow"}
+    monkeypatch.setattr(url_rules, "SENT", 0)  # shuffled index
+    assert sorted(url_rules.judge(pages, rules, most=5).select(*rows[0].__fields__).collect()) == sorted(rows)
+
+
 def test_url_rules_of_nothing(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), RULES).collect() == []
 

@@ -27,7 +27,7 @@ URL_RULES = (
 
 
 def op2_url_rules(spark, folder):
-    judged = url_rules.judge(table(spark, folder, "pages"), URL_RULES, longest=None)
+    judged = url_rules.judge(table(spark, folder, "pages"), URL_RULES, longest=None, most=5)
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_confidence", "allow_confidence")
 
 

@@ -12,6 +12,10 @@ verdict, nor a token that all URLs of a set hold. Equal baskets are counted once
 frequent tokens of its baskets, and the sets in which it is the rarest are grown in one task from their distinct rests.
 The work is thus bounded by the sets of mixed verdict that reach the support, not by the length of URLs.
 
+A rule needs a share ``support`` of all labelled URLs, but never more than ``most`` of them, so hosts of a large crawl
+get rules as those of a small one do. The number of rules grows with the hosts: an index of up to ``SENT`` rules is sent
+to every task, a larger one is joined to the tokens of the URLs by a shuffle.
+
 Cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; null labels are not
 mined; repeated rows count and get a row each; an empty table gives no rows; extra columns are ignored.
 """
@@ -26,7 +30,7 @@ from webmill.llm.texts import row_id, sent_whole, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERDICTS = "allow", "block"
 RULE = "antecedent array<string>, verdict string, confidence double, n long"
-#: Frequent tokens sent to every task; more are shuffled.
+#: Rules or frequent tokens sent to every task; more are shuffled.
 SENT = 50_000
 
 
@@ -96,20 +100,20 @@ def grown(key, rows, least, confidence, longest):
                 todo.append(((*base, item), [(r, *m) for r, m in rests.items()], sum(n), most))
 
 
-def mine(labelled, support=0.01, confidence=0.8, longest=2):
-    """Rules (antecedent, verdict, confidence, n) from rows (tokens, ruled)."""
+def mine(labelled, support=0.01, confidence=0.8, longest=2, most=20):
+    """Rules (antecedent with its rarest token first, verdict, confidence, n) from rows (tokens, ruled)."""
     by_verdict = [F.count(F.when(F.col("ruled") == v, 1)).alias(v) for v in VERDICTS]
     summed = [F.sum(v).alias(v) for v in VERDICTS]
     baskets = labelled.filter("ruled IS NOT NULL").groupBy(F.array_sort("tokens").alias("items")).agg(*by_verdict)
     baskets = stored(baskets.withColumn("_row", row_id()), "baskets")
     total = baskets.agg(F.sum(F.col("allow") + F.col("block"))).first()[0] or 0
-    least = math.ceil(support * total)
+    least = max(min(math.ceil(support * total), most), 1)
     each = baskets.select("_row", *VERDICTS, F.explode("items").alias("item"))
     seen = F.col("allow") + F.col("block")
-    frequent = stored(each.groupBy("item").agg(*summed).filter(F.greatest(*VERDICTS) >= max(least, 1)), "tokens")
+    frequent = stored(each.groupBy("item").agg(*summed).filter(F.greatest(*VERDICTS) >= least), "tokens")
     single = frequent.select(F.array("item").alias("antecedent"), F.explode(F.array(*(
         F.struct(F.lit(v).alias("verdict"), (F.col(v) / seen).alias("confidence"), F.col(v).alias("n")) for v in VERDICTS))).alias("r"))
-    single = single.select("antecedent", "r.*").filter((F.col("n") >= max(least, 1)) & (F.col("confidence") >= confidence))
+    single = single.select("antecedent", "r.*").filter((F.col("n") >= least) & (F.col("confidence") >= confidence))
     if longest == 1:
         return single
     mixed = frequent.filter("allow > 0 AND block > 0").select("item", (-seen).alias("rank"))
@@ -121,7 +125,7 @@ def mine(labelled, support=0.01, confidence=0.8, longest=2):
 
     def run(key, table):
         rows = [(tuple(r), a, b) for r, a, b in zip(*(table[c].to_pylist() for c in ("rest", *VERDICTS)))]
-        found = list(grown(key[0].as_py(), rows, max(least, 1), confidence, longest))
+        found = list(grown(key[0].as_py(), rows, least, confidence, longest))
         columns = zip(*found) if found else ([], [], [], [])
         types = pa.list_(pa.string()), pa.string(), pa.float64(), pa.int64()
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["antecedent", "verdict", "confidence", "n"])
@@ -165,10 +169,21 @@ def matched(pages, index):
     return pages.mapInArrow(run, spec)
 
 
-def judge(pages, rules, support=0.01, confidence=0.8, longest=2, key="page_id", url="url"):
+def joined(pages, rules):
+    """Like ``matched``, by a join of the tokens with the rarest tokens of the rules."""
+    pages = stored(pages.withColumn("_row", row_id()), "urls")
+    rules = rules.select(F.col("antecedent")[0].alias("token"), "antecedent", F.col("verdict").alias("_verdict"), "confidence")
+    each = pages.select("_row", F.col("tokens").alias("_held"), F.explode("tokens").alias("token"))
+    best = each.join(rules, "token").filter(F.size(F.array_except("antecedent", "_held")) == 0).groupBy("_row").agg(*(
+        F.max(F.when(F.col("_verdict") == v, F.col("confidence"))).alias(f"{v}_confidence") for v in ("block", "allow")))
+    return pages.join(best, "_row", "left").drop("_row")
+
+
+def judge(pages, rules, support=0.01, confidence=0.8, longest=2, key="page_id", url="url", most=20):
     """The key of each page with host, path, rule, the confidences of the mined rules and the verdict."""
     split = ruled(split_url(pages.select(key, url), url), rules).withColumn("tokens", tokens()).drop("query", url)
-    out = matched(split, index_of(mine(split, support, confidence, longest)))
+    mined = stored(mine(split, support, confidence, longest, most), "rules")
+    out = matched(split, index_of(mined)) if mined.count() <= SENT else joined(split, mined)
     block, allow = (F.coalesce(f"{v}_confidence", F.lit(0.0)) for v in ("block", "allow"))
     verdict = F.coalesce("ruled", F.when(block > allow, F.lit("block")).otherwise("allow"))
     return out.withColumn("verdict", verdict).drop("ruled", "tokens")
