@@ -72,6 +72,18 @@ def test_line_frequency_equals_brute_force(spark):
     assert 0 < sum(w[-1] for w in want) < len(want)
 
 
+def test_line_frequency_limits_do_not_grow_with_the_host(spark):
+    holders = {"hot": (2000, {"Shared by many": 90, "Just above": 26, "Just below": 25}), "small": (60, {"Just above": 21, "Just below": 20})}
+    rows = []
+    for host, (n, lines) in holders.items():
+        for i in range(n):
+            own = "".join(chr(97 + int(c)) for c in f"{i:04}")
+            rows.append((len(rows), "\n".join([f"own words {own}", *(line for line, held in lines.items() if i < held)]), host))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    gone = {r.doc_id: r.removed_words for r in line_frequency.judge(docs).collect() if r.removed_words}
+    assert gone == {**{i: 3 + 2 * (i < 26) for i in range(90)}, **{2000 + i: 2 for i in range(21)}}
+
+
 def test_clean_documents_lose_their_common_lines_only(spark):
     rows = [(i, f"own line {'abcdefghijklmnopqrstuvwxyz'[i % 26] * (i + 1)}\nSubscribe now!\nlast", "h") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

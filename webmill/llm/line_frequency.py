@@ -1,9 +1,10 @@
 """Cross-document line frequency: drop lines that too many documents of a host share, reject depleted documents.
 
 Lines are normalised (lower case, digit runs as 0, single spaces) and hashed to 64 bits. A line is common if more than
-``max(min_docs, share * documents of the host)`` distinct documents of a host hold it; equal texts are one document,
-so exact copies do not condemn each other (removing copies is not this operator's work). A document is depleted if
-more than ``depleted`` of its words stand in common lines.
+``max(min_docs, min(share * documents of the host, most))`` distinct documents of a host hold it, so the limit lies
+between two counts whatever the size of the host; equal texts are one document, so exact copies do not condemn each other
+(removing copies is not this operator's work). A document is depleted if more than ``depleted`` of its words stand in
+common lines.
 
 First a count of holders that includes copies, combined before its only shuffle, leaves the few lines that may be
 common; only for those are distinct texts counted.
@@ -84,11 +85,11 @@ def measures(docs, host="source"):
     return stored(rows.mapInArrow(measured, f"_row long, doc_id long, host string, {BASE}, {LINES}"), "lines")
 
 
-def common_lines(lines, min_docs=20, share=0.05):
+def common_lines(lines, min_docs=20, share=0.05, most=25):
     """(host, hash, n_docs) of common lines, and the lines (row, host, hash, words) of documents that hold them."""
     limits = (
         lines.groupBy("host", "text_hash").agg(F.lit(1).alias("one"))
-        .groupBy("host").agg(F.greatest(F.lit(min_docs), F.count("one") * share).alias("most")))
+        .groupBy("host").agg(F.greatest(F.lit(min_docs), F.least(F.count("one") * share, F.lit(most))).alias("most")))
     each = lines.select("_row", "host", "text_hash", F.explode(F.arrays_zip("hashes", "weights")).alias("l"))
     each = each.select("_row", "host", "text_hash", F.col("l.hashes").alias("hash"), F.col("l.weights").alias("words"))
     maybe = each.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
@@ -105,10 +106,10 @@ def common_lines(lines, min_docs=20, share=0.05):
     return common, found.join(other, same, "left_semi").select("_row", "host", "hash", "words")
 
 
-def judge(docs, host="source", min_docs=20, share=0.05, depleted=0.5):
+def judge(docs, host="source", min_docs=20, share=0.05, depleted=0.5, most=25):
     """One row per document: base counts, words and lines in common lines, the hashes of those lines, verdict."""
     lines = measures(docs, host)
-    _, held = common_lines(lines, min_docs, share)
+    _, held = common_lines(lines, min_docs, share, most)
     removed = held.groupBy("_row").agg(
         F.sum("words").alias("removed_words"), F.collect_list("hash").alias("removed"))
     out = lines.drop("hashes", "weights", "text_hash").join(removed, "_row", "left")
