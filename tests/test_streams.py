@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,48 @@ def test_single_flight_does_not_depend_on_batches(spark, parts):
     assert got == want
 
 
+class Cell:
+    """A value or map state, or a handle with its timers, in memory."""
+
+    def __init__(self):
+        self.value, self.map, self.timers = None, {}, set()
+
+    def getValueState(self, name, *schema):
+        return Cell()
+
+    getMapState = getListState = getValueState
+    exists, get = lambda self: self.value is not None, lambda self: self.value
+    keys, getValue = lambda self: iter(list(self.map)), lambda self, k: self.map[k]
+    updateValue, removeKey = lambda self, k, v: self.map.update({k: v}), lambda self, k: self.map.pop(k)
+    registerTimer, deleteTimer = lambda self, t: self.timers.add(t), lambda self, t: self.timers.discard(t)
+    getCurrentWatermarkInMs = get
+
+    def update(self, value):
+        self.value = value
+
+    clear = lambda self: self.update(None)
+    appendList = lambda self, rows: self.update((self.value or []) + rows)
+
+
+def test_single_flight_answers_a_long_history_in_segments():
+    rnd = random.Random(7)
+    rows = [(i, at(rnd.randrange(7200)), "hot", rnd.choice([0, 900, 29000, 90000])) for i in range(5000)]
+    us = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) * 1000000
+    frame = pd.DataFrame([(us(t), i, us(t) + min(ms, 30000) * 1000) for i, t, _, ms in rows], columns=["at_us", "id", "done_us"])
+    handle, flight, mark, got = Cell(), single_flight.SingleFlight(), Cell(), []
+    flight.init(handle)
+    list(flight.handleInputRows(("hot",), iter([frame[:2500], frame[2500:]]), mark))
+    for end in (at(3333), at(9000)):
+        mark.update(us(end) // 1000)
+        while due := [t for t in handle.timers if t <= mark.value]:
+            got += flight.handleExpiredTimer(("hot",), mark, None)
+            handle.timers -= set(due)
+    time = {i: t for i, t, _, _ in rows}
+    assert {r: leader for f in got for r, leader in zip(f.request_id, f.leader_id)} == flight_by_hand(rows)
+    assert max(max(time[i] for i in f.request_id) - min(time[i] for i in f.request_id) for f in got if len(f)) < timedelta(seconds=300)
+    assert not handle.timers and not flight.waiting.map and flight.marker.value is None
+
+
 def test_cache_state_over_batches_equals_the_batch_join(spark):
     put = "wid long, url_key string, kind string, body string, written_at timestamp, ttl_s long"
     req = "request_id long, url_key string, ts timestamp"

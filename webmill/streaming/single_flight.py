@@ -2,19 +2,26 @@
 
 The first request of a key sets a marker that lasts until its extraction is done, at most ``pending_s``. Requests that
 arrive meanwhile follow it; the first one after that sets the next marker. Rows wait in the state until the watermark
-has passed them, so micro-batches do not change the answer, and the state holds a key's rows of one watermark delay only.
+has passed them, so micro-batches do not change the answer. The state holds a key's rows of one batch and one watermark
+delay, packed by segments of time; a task reads, sorts and answers one segment after the other and hands only the last
+marker to the next, so its memory follows a segment and not the history of a key. Rows older than the watermark are
+lost, so a stream that bounds its batches must read its files in order of time.
 """
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 OUTPUT = StructType([
     StructField("request_id", LongType()), StructField("key", StringType()), StructField("leader_id", LongType())])
-WAITING = StructType([StructField("at_us", LongType()), StructField("id", LongType()), StructField("done_us", LongType())])
+COLUMNS = ["at_us", "id", "done_us"]
+PIECE = StructType([StructField("segment", LongType()), StructField("part", LongType())])
+PACKED = StructType([StructField("rows", BinaryType())])
+NUMBER = StructType([StructField("value", LongType())])
 MARKER = StructType([StructField("leader_id", LongType()), StructField("until_us", LongType())])
+SEGMENT_US = 300_000_000
 
 
 def leaders(at, done, number, marker):
@@ -31,32 +38,66 @@ def leaders(at, done, number, marker):
 class SingleFlight(StatefulProcessor):
     def init(self, handle):
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.waiting = handle.getMapState("waiting", PIECE, PACKED)
+        self.parts = handle.getValueState("parts", NUMBER)
+        self.timer = handle.getValueState("timer", NUMBER)
         self.marker = handle.getValueState("marker", MARKER)
 
+    def wake(self, at_us):
+        """One timer per key, at the earliest time asked for."""
+        at, old = int(at_us) // 1000 + 1, self.timer.get()[0] if self.timer.exists() else None
+        if old is None or at < old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
     def handleInputRows(self, key, rows, timerValues):
+        part = self.parts.get()[0] if self.parts.exists() else 0
         for frame in rows:
-            self.waiting.appendList([tuple(map(int, r)) for r in frame[WAITING.names].itertuples(index=False)])
-            self.handle.registerTimer(int(frame["at_us"].min()) // 1000 + 1)
+            values = frame[COLUMNS].to_numpy(np.int64)
+            values = values[np.argsort(values[:, 0], kind="stable")]
+            segment, first = np.unique(values[:, 0] // SEGMENT_US, return_index=True)
+            for number, piece in zip(segment, np.split(values, first[1:])):
+                self.waiting.updateValue((int(number), part), (piece.tobytes(),))
+            part += 1
+            self.wake(values[0, 0])
+        self.parts.update((part,))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = np.array(sorted(map(tuple, self.waiting.get())), np.int64).reshape(-1, 3)
-        ready, rest = rows[rows[:, 0] < passed], rows[rows[:, 0] >= passed]
         marker = tuple(self.marker.get()) if self.marker.exists() else None
-        found, marker = leaders(ready[:, 0], ready[:, 2], ready[:, 1], marker)
-        if len(rest):
-            self.waiting.put([tuple(map(int, r)) for r in rest])
-            self.handle.registerTimer(int(rest[0, 0]) // 1000 + 1)
+        pieces, first = {}, None
+        for number, part in self.waiting.keys():
+            pieces.setdefault(number, []).append(part)
+        for number in sorted(pieces):
+            if number * SEGMENT_US >= passed:
+                first = number * SEGMENT_US
+                break
+            packed = [self.waiting.getValue((number, part))[0] for part in pieces[number]]
+            values = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 3)
+            values = values[np.lexsort(values.T[::-1])]
+            ready, rest = np.split(values, [np.searchsorted(values[:, 0], passed, side="left")])
+            for part in pieces[number]:
+                self.waiting.removeKey((number, part))
+            if len(rest):
+                self.waiting.updateValue((number, pieces[number][0]), (rest.tobytes(),))
+                first = rest[0, 0]
+            found, marker = leaders(ready[:, 0], ready[:, 2], ready[:, 1], marker)
+            yield pd.DataFrame({"request_id": ready[:, 1], "key": key[0], "leader_id": found})
+            if len(rest):
+                break
+        if first is None:
+            self.parts.clear()
         else:
-            self.waiting.clear()
-        if marker is None or marker[1] <= passed and not len(rest):
+            self.wake(first)
+        if marker is None or marker[1] <= passed and first is None:
             self.marker.clear()
         else:
             self.marker.update(marker)
-            self.handle.registerTimer(marker[1] // 1000 + 1)
-        yield pd.DataFrame({"request_id": ready[:, 1], "key": key[0], "leader_id": found})
+            self.wake(marker[1])
 
     def close(self):
         pass
