@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from webmill import lists
 from webmill.functions import sql
 from webmill.functions.text import estimate_tokens
 from webmill.operators import cache, pages
@@ -115,6 +116,39 @@ def test_single_flight_answers_a_long_history_in_segments():
     assert not handle.timers and not flight.waiting.map and flight.marker.value is None
 
 
+RULES = [
+    {"rule": "slow", "level": "warning", "window_min": 15, "over": 10, "num": 1, "den": 20},
+    {"rule": "fast", "level": "critical", "window_min": 5, "over": 5, "num": 1, "den": 4},
+    {"rule": "now", "level": "critical", "window_min": 1, "over": 2, "num": 1, "den": 2}]
+
+
+@pytest.mark.parametrize("rules", [RULES, RULES[::-1], *[[r] for r in RULES], []], ids=["order", "reversed", "slow", "fast", "now", "none"])
+def test_alert_stream_over_batches_equals_the_batch_rules(spark, rules):
+    rnd = random.Random(3)
+    times = sorted(rnd.randrange(3600) for _ in range(600))
+    rows = [(at(t), "fallback" if rnd.random() < (0.7 if 1200 < t < 2000 else 0.1) else "hit", rnd.choice([None, 200, 200, 503])) for t in times]
+    shuffled = [r for k in range(0, 600, 40) for r in rnd.sample(rows[k:k + 40], 40)]  # out of order by less than the watermark
+    schema = "ts timestamp, outcome string, extractor_status int"
+    frames = [spark.createDataFrame(shuffled[k:k + 200], schema) for k in (0, 200, 400)]
+    frames.append(spark.createDataFrame([(at(9000), "hit", None)], schema))  # closes all windows
+    path = work_dir(spark, "alerts")
+    jobs.append_to(jobs.alert_stream(batches(spark, frames, "alerts-in"), rules), path, work_dir(spark, "c")).awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(path).collect()))
+    want = []
+    minute = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) // 60
+    alarm = {**lists.EXTRACTOR_ALERT, "window_min": 15}
+    for rule in [*rules, alarm]:
+        for start in range(minute(T0) - 15, minute(T0) + 61):
+            inside = [r for r in rows if start <= minute(r[0]) < start + rule["window_min"]]
+            n, bad = len(inside), sum(r[1] == "fallback" for r in inside)
+            if rule is alarm:
+                n, bad = sum(r[2] is not None for r in inside), sum((r[2] or 0) >= 500 for r in inside)
+            if bad * rule["den"] > n * rule["num"] and n > rule.get("over", -1):
+                want.append((rule["rule"], rule["level"], start, n, bad))
+    assert got == sorted(want)
+    assert {r["rule"] for r in rules} <= {w[0] for w in want}
+
+
 def test_cache_state_over_batches_equals_the_batch_join(spark):
     put = "wid long, url_key string, kind string, body string, written_at timestamp, ttl_s long"
     req = "request_id long, url_key string, ts timestamp"

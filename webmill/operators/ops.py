@@ -80,18 +80,24 @@ def _slide(minutes, width):
         *[F.sum(c).alias(c) for c in ("requests", "fallbacks", "extractor_calls", "extractor_5xx")])
 
 
+def fallback_fires(counts, rule):
+    """Whether a fallback rule fires on window counts (all bounds are strict)."""
+    return (counts["requests"] > rule["over"]) & (counts["fallbacks"] * rule["den"] > counts["requests"] * rule["num"])
+
+
+def extractor_fires(counts, rule):
+    return counts["extractor_5xx"] * rule["den"] > counts["extractor_calls"] * rule["num"]
+
+
 def rules_on(windows, rule):
-    """Rows of ``windows`` on which a fallback rule fires (all bounds are strict)."""
-    fires = (F.col("requests") > rule["over"]) & (
-        F.col("fallbacks") * rule["den"] > F.col("requests") * rule["num"])
-    return windows.filter(fires).select(
+    """Rows of ``windows`` on which a fallback rule fires."""
+    return windows.filter(fallback_fires(windows, rule)).select(
         F.lit(rule["rule"]).alias("rule"), F.lit(rule["level"]).alias("level"), "window_start_min",
         "requests", F.col("fallbacks").alias("events"))
 
 
 def extractor_on(windows, rule):
-    fires = F.col("extractor_5xx") * rule["den"] > F.col("extractor_calls") * rule["num"]
-    return windows.filter(fires).select(
+    return windows.filter(extractor_fires(windows, rule)).select(
         F.lit(rule["rule"]).alias("rule"), F.lit(rule["level"]).alias("level"), "window_start_min",
         F.col("extractor_calls").alias("requests"), F.col("extractor_5xx").alias("events"))
 

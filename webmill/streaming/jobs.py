@@ -4,8 +4,6 @@ Each function takes a streaming DataFrame. Every aggregate has a watermark, so
 its state is bounded by time and not by the length of the stream.
 """
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from webmill import lists
@@ -53,25 +51,34 @@ def usage_months(spark, path):
 def alert_stream(req, rules=None, extractor=None, ts="ts", late="5 minutes"):
     """Sliding alerts of all rules in one stream; closed windows only.
 
-    Events are counted per minute first; only the minutes are copied into the
-    overlapping windows.
+    Events are counted per minute first; only the minutes are copied into the windows of the widest rule. The window of
+    a narrower rule is the end of such a window, so one aggregate holds the sums of every width and no stateful branches
+    are joined or united. Each closed window then gives a row for every rule that fires on it.
     """
     rules = lists.ALERT_RULES if rules is None else rules
-    extractor = extractor or lists.EXTRACTOR_ALERT
+    extractor = {"window_min": 15, **(extractor or lists.EXTRACTOR_ALERT)}
+    widths = sorted({r["window_min"] for r in (*rules, extractor)})
     one = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     minutes = req.withWatermark(ts, late).groupBy(F.window(ts, "1 minute").alias("m")).agg(
         F.count(F.lit(1)).alias("requests"), one(F.col("outcome") == "fallback").alias("fallbacks"),
         F.count("extractor_status").alias("extractor_calls"), one(F.col("extractor_status") >= 500).alias("extractor_5xx"))
     counts = ("requests", "fallbacks", "extractor_calls", "extractor_5xx")
-
-    def slide(width):
-        windows = minutes.groupBy(F.window(F.window_time("m"), f"{width} minutes", "1 minute").alias("w")).agg(
-            *[F.sum(c).alias(c) for c in counts])
-        return windows.select(F.floor(F.unix_seconds("w.start") / 60).alias("window_start_min"), *counts)
-
-    found = [ops.rules_on(slide(r["window_min"]), r) for r in rules]
-    found.append(ops.extractor_on(slide(15), extractor))
-    return reduce(lambda a, b: a.unionByName(b), found)
+    end, start = F.unix_seconds("w.end"), F.unix_seconds("m.start")
+    within = lambda c, width: F.sum(F.when(start >= end - 60 * width, F.col(c)).otherwise(0)).alias(c)
+    copies = minutes.withColumn("w", F.window(F.window_time("m"), f"{widths[-1]} minutes", "1 minute"))
+    sums = [F.struct(*[within(c, width) for c in counts]).alias(f"s{width}") for width in widths]
+    windows = copies.groupBy("w").agg(*sums)
+
+    def fired(rule, fires, requests, events):
+        width = rule["window_min"]
+        c = {name: F.col(f"s{width}.{name}") for name in counts}
+        return F.when(fires(c, rule), F.struct(
+            F.lit(rule["rule"]).alias("rule"), F.lit(rule["level"]).alias("level"),
+            F.floor(F.unix_seconds("w.end") / 60 - width).alias("window_start_min"), c[requests].alias("requests"), c[events].alias("events")))
+
+    found = [fired(r, ops.fallback_fires, "requests", "fallbacks") for r in rules]
+    found.append(fired(extractor, ops.extractor_fires, "extractor_calls", "extractor_5xx"))
+    return windows.select(F.inline(F.array_compact(F.array(*found))))
 
 
 def stats_stream(log, window="5 minutes", ts="ts", late="5 minutes"):
