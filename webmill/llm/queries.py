@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from webmill.llm import (
-    bpe_trie, embedding_dedup, line_frequency, logistic, minhash_dedup, packing, quality, sharding, token_counts, toxicity, url_rules)
+    bpe_trie, embedding_dedup, line_frequency, logistic, minhash_dedup, packing, quality, sharding, token_alignment,
+    token_counts, toxicity, url_rules)
 from webmill.session import use_utc
 
 
@@ -74,6 +75,12 @@ def op10_bpe_trie(spark, folder):
     return bpe_trie.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_token_alignment(spark, folder):
+    """Columns of the contract; ``n_group_links`` counts the links inside groups."""
+    return token_alignment.weighed(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_url_rules": op2_url_rules,
@@ -85,4 +92,5 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_bpe_trie": op10_bpe_trie,
+    "op11_token_alignment": op11_token_alignment,
 }
