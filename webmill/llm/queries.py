@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from webmill.llm import (
-    bpe_trie, embedding_dedup, line_frequency, logistic, minhash_dedup, packing, quality, sharding, token_alignment,
-    token_counts, toxicity, url_rules)
+    bpe_trie, embedding_dedup, line_frequency, logistic, minhash_dedup, packing, quality, rp_forest, sharding,
+    token_alignment, token_counts, toxicity, url_rules)
 from webmill.session import use_utc
 
 
@@ -81,6 +81,10 @@ def op11_token_alignment(spark, folder):
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_rp_forest(spark, folder):
+    return rp_forest.nearest(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_url_rules": op2_url_rules,
@@ -93,4 +97,5 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_bpe_trie": op10_bpe_trie,
     "op11_token_alignment": op11_token_alignment,
+    "op12_rp_forest": op12_rp_forest,
 }
