@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from webmill.llm import hard_negatives as hn
 from webmill.llm import rp_forest as rf
 from webmill.llm.queries import QUERIES
 
@@ -106,3 +107,91 @@ def test_no_vectors(spark):
     from pyspark.sql import functions as F
 
     assert rf.nearest(spark.createDataFrame([], SCHEMA), F.col("id") % 50 == 0).collect() == []
+
+
+def mined(rows, anchor=100):
+    """Plain loops over all pairs; rows are (id, vector, label)."""
+    good = [(n, i, [int(np.floor(256 * x)) for x in v], lab) for n, (i, v, lab) in enumerate(rows)
+            if lab is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(n, i, q, (lab + 1) % 10 if i is not None and i % 7 == 0 else lab) for n, i, q, lab in good]
+    out = []
+    for n, i, q, lab in good:
+        if i is None or i % anchor:
+            continue
+        near = sorted((-sum(a * b for a, b in zip(q, p)), j is None, j or 0, m, other) for m, j, p, other in good if m != n and len(p) == len(q))
+        for s, none, j, _, _ in [x for x in near if x[4] == lab][:5]:
+            hard = [x for x in near if x[4] != lab and 30 * -s <= 100 * -x[0] <= 90 * -s][:10]
+            out += [(i, None if none else j, r, None if x[1] else x[2], -s, -x[0]) for r, x in enumerate(hard, 1)]
+    return sorted(out, key=repr)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    rng = np.random.default_rng(2)
+    middle = rng.standard_normal((6, 6))
+    rows = [(i, (middle[i % 6] + 0.3 * rng.standard_normal(6)).tolist(), int(rng.integers(0, 4))) for i in range(900)]
+    rows += [(1000 + i, rows[300][1], i % 5) for i in range(400)]  # a hot vector, four of its rows are anchors
+    rows += [(None, rows[0][1], 1), (None, rows[1][1], 2), (None, None, None), (2000, None, 1), (2100, [1.0] * 6, None), (2200, [0.0] * 6, 1), (2201, [0.0] * 6, 2),
+             (2300, [1.0, float("nan")] * 3, 1), (2400, [1.0, None] * 3, 1), (2500, [float("inf")] * 6, 1), (2600, [], 3), (2601, [], 3), (2602, [], 4),
+             (2700, [1.0, 2.0], 8), (2701, [1.0, 2.0], 9), (2702, [0.5, 1.0], 7), (2703, [1.5, 1.0], 8), (2800, [-1.0] * 6, 1), (900, rows[0][1], 1), (900, rows[0][1], 1)]
+    path = str(tmp_path_factory.mktemp("labelled") / "v.parquet")
+    spark.createDataFrame([(i, v, lab, "x", 5) for i, v, lab in rows], SCHEMA).repartition(5).write.parquet(path)
+    return rows, spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"members": 3, "head": 50, "segment": 40}, {"members": 1, "head": 1, "segment": 10_000}], ids=["whole", "cut", "single"])
+def test_hard_negatives_equal_plain_loops(spark, labelled, sizes):
+    from pyspark.sql import functions as F
+
+    rows, table = labelled
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    got = sorted(map(tuple, hn.mine(table, F.col("vec_id") % 100 == 0, relabel, **sizes).collect()), key=repr)
+    want = mined(rows)
+    assert got == want and len({w[0] for w in want}) > 12
+
+
+def test_walk_ends_where_the_bound_certifies(spark, monkeypatch):
+    """Members of narrow clusters read the beginning of their list only."""
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal((40, 16))
+    rows = [(i, (middle[i % 40] + 0.02 * rng.standard_normal(16)).tolist(), i % 2) for i in range(4000)]
+    import pyarrow as pa
+
+    kind, read = "int32", []
+    q = np.floor(256 * np.array([v for _, v, _ in rows])).astype(kind)
+    asks = [n for n in range(0, 4000, 400)]  # all of one cluster
+    unit = hn.directions(q.astype(float))
+    centre = hn.directions(unit[asks].sum(axis=0, keepdims=True))
+    wide = np.arccos(np.clip(unit[asks] @ centre.T, -1, 1)).max()
+    size = np.sqrt((q.astype(float) ** 2).sum(axis=1))
+    bound = size * np.cos(np.clip(np.arccos(np.clip(unit @ centre.T, -1, 1))[:, 0] - wide, 0, np.pi)) + 1e-6
+    plain = hn.products
+    monkeypatch.setattr(hn, "products", lambda a, b, exact: read.append(len(b)) or plain(a, b, exact))
+    ids, n = np.arange(4000), len(asks)
+    table = pa.table({
+        "side": np.r_[np.zeros(4000, int), np.ones(n, int)], "q": [x.tobytes() for x in q] + [q[a].tobytes() for a in asks],
+        "bound": np.r_[bound, np.zeros(n)], "label": np.r_[ids % 2, np.array(asks) % 2], "_row": np.r_[ids, asks], "vec_id": np.r_[ids, asks],
+        "_anchor": np.r_[ids, asks], "_positive": pa.nulls(4000 + n, pa.int64()), "norm": np.r_[size, size[asks]],
+        **{c: pa.array(np.full(4000 + n, v), pa.int64()) for c, v in (("low", -2 ** 62), ("high", 2 ** 62), ("need", -2 ** 62))}})
+    found = hn.walk(kind, 5, True, True, chunk=128)(table).to_pylist()
+    assert sum(read) < 1000  # of 4000
+    for a in asks:
+        score = (q[a].astype(int) * q.astype(int)).sum(axis=1)
+        best = sorted((-score[m], m) for m in ids if m != a and m % 2 == a % 2)[:5]
+        assert [(r["vec_id"], r["score"]) for r in found if r["_anchor"] == a] == [(m, -s) for s, m in best]
+
+
+def test_large_components_are_exact_or_refused(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(100, [2.0 ** 19, 1.0], 1), (1, [2.0 ** 19 + 1, 3.0], 1), (2, [2.0 ** 18, 1.0], 2), (3, [2.0 ** 18 + 2.0 ** -8, 1.0], 2)]
+    got = hn.mine(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == mined(rows)
+    with pytest.raises(ValueError):
+        hn.mine(spark.createDataFrame([(1, [1e200], 1)], "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 100 == 0)
+
+
+def test_no_labelled_vectors(spark):
+    from pyspark.sql import functions as F
+
+    assert hn.mine(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 100 == 0).collect() == []

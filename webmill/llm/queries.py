@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from webmill.llm import (
-    bpe_trie, embedding_dedup, line_frequency, logistic, minhash_dedup, packing, quality, rp_forest, sharding,
-    token_alignment, token_counts, toxicity, url_rules)
+    bpe_trie, embedding_dedup, hard_negatives, line_frequency, logistic, minhash_dedup, packing, quality, rp_forest,
+    sharding, token_alignment, token_counts, toxicity, url_rules)
 from webmill.session import use_utc
 
 
@@ -85,6 +85,11 @@ def op12_rp_forest(spark, folder):
     return rp_forest.nearest(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op13_hard_negatives(spark, folder):
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, relabel)
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_url_rules": op2_url_rules,
@@ -98,4 +103,5 @@ QUERIES = {
     "op10_bpe_trie": op10_bpe_trie,
     "op11_token_alignment": op11_token_alignment,
     "op12_rp_forest": op12_rp_forest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
