@@ -96,14 +96,13 @@ def token_accounting(content, by=None):
 def equivalence_audit(pages, html="html"):
     """Words of the Markdown that the page does not show (must be none), and coverage.
 
-    The Markdown is extracted again from the page, so one pass over the HTML
-    yields both sides; nothing is shuffled.
+    One pass over the page yields the Markdown and both visible texts; nothing is shuffled.
     """
-    d = md.with_markdown(pages, html, "_md")
+    d = md.with_views(pages, html, "_v").select(*[c for c in pages.columns if c != html], "_v.*")
     d = (
-        d.withColumn("_shown", md.words(md.visible_text(F.col(html))))
-        .withColumn("_main", F.array_distinct(md.words(md.visible_text(md.main_region(F.col(html))))))
-        .withColumn("_words", F.array_distinct(md.markdown_words(F.coalesce(F.col("_md"), F.lit(""))))))
+        d.withColumn("_shown", md.words(F.col("shown")))
+        .withColumn("_main", F.array_distinct(md.words(F.col("main"))))
+        .withColumn("_words", F.array_distinct(md.markdown_words(F.coalesce("markdown", F.lit(""))))))
     return d.select(
         *[c for c in pages.columns if c != html],
         F.size(F.array_except("_words", "_shown")).alias("invented_words"),

@@ -7,7 +7,6 @@ Every twin starts from the base tables. Common steps are named CTEs in ``STEPS``
 import re
 
 from webmill import lists
-from webmill.functions import markdown as md
 from webmill.plans import registry
 from webmill.plans.derived import AS_OF, STATUS_WORDS, USER_AGENTS
 
@@ -91,6 +90,44 @@ step("c_seedurls", f"SELECT page_id, host, path, {canonical('host')} AS url FROM
 # --- Markdown -----------------------------------------------------------------
 
 
+# The twin's own reading of the test pages, which are flat: plain patterns, nothing shared with the extraction.
+INVISIBLE = (
+    r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>"
+    r"|template\b.*?</template\s*>|svg\b.*?</svg\s*>|iframe\b.*?</iframe\s*>|head\b.*?</head\s*>)")
+BOILERPLATE = r"(?is)<(?:nav\b.*?</nav\s*>|footer\b.*?</footer\s*>|aside\b.*?</aside\s*>)"
+REGIONS = [
+    r"(?is)<main\b[^>]*>(.*)</main\s*>",
+    r"(?is)<article\b[^>]*>(.*)</article\s*>",
+    r"(?is)<body\b[^>]*>(.*)</body\s*>",
+]
+
+# (guard, pattern, replacement); a step runs only on texts that hold the guard.
+INLINE = [
+    ("<img", r"""(?is)<img\b[^>]*\balt="([^"]*)"[^>]*\bsrc="([^"]*)"[^>]*>""", "![$1]($2)"),
+    ("<img", r"""(?is)<img\b[^>]*\bsrc="([^"]*)"[^>]*\balt="([^"]*)"[^>]*>""", "![$2]($1)"),
+    ("<a ", r"""(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a\s*>""", "[$2]($1)"),
+    ("<a ", r"""(?is)<a\b[^>]*\bhref='([^']*)'[^>]*>(.*?)</a\s*>""", "[$2]($1)"),
+    ("<code", r"(?is)<code\b[^>]*>([^<]*)</code\s*>", "`$1`"),
+    (None, r"(?is)<(?:strong|b)(?: [^>]*)?> *([^< ](?:[^<]*[^< ])?) *</(?:strong|b)\s*>", "**$1**"),
+    (None, r"(?is)<(?:em|i)(?: [^>]*)?> *([^< ](?:[^<]*[^< ])?) *</(?:em|i)\s*>", "_$1_"),
+]
+HEADINGS = [(f"<h{n}", rf"(?is)<h{n}\b[^>]*> *", "\n\n" + "#" * n + " ") for n in range(1, 7)]
+BLOCKS = [
+    ("<li", r"(?is)<li\b[^>]*> *", "\n-   "),
+    ("<blockquote", r"(?is)<blockquote\b[^>]*>(?: *<p\b[^>]*>)? *", "\n\n> "),
+    ("<hr", r"(?is)<hr\b[^>]*>", "\n\n* * *\n\n"),
+    ("<br", r"(?is)<br\b[^>]*> *", "\n"),
+    (None, r"(?is)</?(?:p|div|section|article|header|main|figure|figcaption|address|form|fieldset|details"
+           r"|summary|dl|dt|dd|ul|ol|blockquote|h[1-6])\b[^>]*>", "\n\n"),
+    (None, r"(?is)<(?:/?[a-z]|!)[^>]*>", ""),
+]
+TIDY = [
+    (None, r" *\n *", "\n"),
+    (None, r"\n{3,}", "\n\n"),
+]
+
+
+
 def java_to_re2(replacement):
     return re.sub(r"\$(\d)", r"\\\1", replacement)
 
@@ -102,8 +139,12 @@ def chain(text, steps):
 
 
 # references that the test pages may hold; the ampersand is decoded last
-ENTITIES = [("&" + n + ";", md.NAMES[n]) for n in (
-    "nbsp lt gt quot apos copy reg trade middot bull hellip mdash ndash lsquo rsquo ldquo rdquo laquo raquo times euro pound deg amp").split()]
+ENTITIES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
+    ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
+    ("&times;", "×"), ("&euro;", "€"), ("&pound;", "£"), ("&deg;", "°"), ("&amp;", "&"),
+]
 
 
 def plain_entities(text):
@@ -125,12 +166,12 @@ def is_html(x):
         OR (regexp_matches({x}, '{lead}<!--') AND contains(lower({x}), '<html')), false)"""
 
 
-step("c_shown", f"SELECT page_id, html, {chain('html', [(None, md.INVISIBLE, ''), (None, md.BOILERPLATE, '')])} AS t FROM pages")
+step("c_shown", f"SELECT page_id, html, {chain('html', [(None, INVISIBLE, ''), (None, BOILERPLATE, '')])} AS t FROM pages")
 step("c_region", "SELECT page_id, html, coalesce(" + ", ".join(
-    f"nullif(regexp_extract(t, {quote(r)}, 1), '')" for r in md.REGIONS) + ", t) AS t FROM c_shown")
-step("c_inline", f"SELECT page_id, html, {chain('t', [(None, '[ ' + chr(9) + chr(10) + chr(12) + chr(13) + ']+', ' ')] + md.INLINE)} AS t FROM c_region")
-step("c_blocks", f"SELECT page_id, html, {chain('t', md.HEADINGS + md.BLOCKS)} AS t FROM c_inline")
-step("c_tidy", f"SELECT page_id, html, trim({chain(plain_entities('t'), md.TIDY)}, ' ' || chr(10)) AS t FROM c_blocks")
+    f"nullif(regexp_extract(t, {quote(r)}, 1), '')" for r in REGIONS) + ", t) AS t FROM c_shown")
+step("c_inline", f"SELECT page_id, html, {chain('t', [(None, '[ ' + chr(9) + chr(10) + chr(12) + chr(13) + ']+', ' ')] + INLINE)} AS t FROM c_region")
+step("c_blocks", f"SELECT page_id, html, {chain('t', HEADINGS + BLOCKS)} AS t FROM c_inline")
+step("c_tidy", f"SELECT page_id, html, trim({chain(plain_entities('t'), TIDY)}, ' ' || chr(10)) AS t FROM c_blocks")
 step("c_md", f"""SELECT page_id, {tokens('html')} AS html_tokens, html,
     CASE WHEN t <> '' AND NOT {is_html('t')} THEN t END AS markdown, t = '' AS needs_render FROM c_tidy""")
 step("c_content", f"""SELECT p.page_id, p.url, p.host, p.path, p.canonical, p.url_key, m.html, m.html_tokens, m.markdown,
@@ -668,7 +709,7 @@ INLINE_TAGS = ("a|b|strong|em|i|code|img|br|hr|p|div|section|article|header|foot
 
 
 def shown_words(text):
-    t = chain(text, [(None, md.INVISIBLE, ""), (None, rf"(?is)</?(?:{INLINE_TAGS})\b[^>]*>", " "), (None, r"(?is)<(?:/?[a-z]|!)[^>]*>", "")])
+    t = chain(text, [(None, INVISIBLE, ""), (None, rf"(?is)</?(?:{INLINE_TAGS})\b[^>]*>", " "), (None, r"(?is)<(?:/?[a-z]|!)[^>]*>", "")])
     return plain_words(plain_entities(t))
 
 
