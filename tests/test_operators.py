@@ -106,16 +106,34 @@ def test_cache_lookup_against_brute_force(spark):
                               "wid long, url_key string, kind string, body string, written_at timestamp, ttl_s long")
     r = spark.createDataFrame(requests, "request_id long, url_key string, ts timestamp")
     want = brute_lookup(writes, requests)
-    for segment in (60, 100000):
-        got = {x.request_id: (x.cache_status, x.wid) for x in cache.cache_lookup(r, w, segment_s=segment).collect()}
+    for segment, most in ((60, 10**6), (100000, 10**6), (300, 20), (100000, 100)):
+        got = {x.request_id: (x.cache_status, x.wid) for x in cache.cache_lookup(r, w, segment_s=segment, most=most).collect()}
         assert got == want
 
 
+def test_one_segment_with_all_rows_is_cut(spark):
+    """All rows of the table belong to one key and one minute."""
+    rows = spark.range(4000).select(
+        F.lit("hot").alias("k"), (F.col("id") * 7919 % 4000 * 15000).alias("t"), "id", F.when(F.col("id") % 7 == 0, F.struct("id")).alias("v"))
+    lanes = [r["count"] for r in ranking.lanes_of(rows, "k", F.col("t"), 300, 500).groupBy("k", "_seg", "_sub").count().collect()]
+    assert len(lanes) > 200 and max(lanes) < 40
+    last, most, want = None, None, {}
+    for t, i in sorted((i * 7919 % 4000 * 15000, i) for i in range(4000)):
+        want[i] = (last, most)
+        if i % 7 == 0:
+            last, most = i, max(most or 0, i)
+    found = ranking.carried(rows, "k", ["t", "id"], "v", "last", F.col("t"), most=500)
+    found = ranking.carried(found, "k", ["t", "id"], "v", "most", F.col("t"), largest=True, most=500)
+    assert {r.id: (r["last"] and r["last"].id, r.most and r.most.id) for r in found.collect()} == want
+
+
 def test_followers_against_brute_force(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice(["hot", "hot", "a"]), at(rnd.randrange(600)), rnd.choice(["miss", "hit"]), rnd.randrange(90000)) for i in range(400)]
     r = spark.createDataFrame(rows, "request_id long, url_key string, ts timestamp, outcome string, latency_ms long")
-    got = {x.request_id: x.wait_ms for x in cache.in_flight_followers(r).collect()}
+    found = [{x.request_id: x.wait_ms for x in cache.in_flight_followers(r, most=most).collect()} for most in (10**6, 20)]
+    got = found[0]
+    assert found[1] == got
     want = {}
     for i, k, ts, _, _ in rows:
         ends = [t + timedelta(milliseconds=min(l, 30000)) for j, q, t, o, l in rows

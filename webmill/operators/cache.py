@@ -1,76 +1,44 @@
 """Joins between requests and the content write log.
 
-As-of and interval joins are written as running windows over a union of both
-sides, so work is linear in the rows and no pairs are formed. The windows run
-inside time segments of a key, hence a key that receives a third of all requests
-is spread over as many tasks as it has segments.
+As-of and interval joins are written as running scans over a union of both sides, so work is linear in the rows and no
+pairs are formed. The scans run over short times of a key, cut further where many requests fall into one, hence a key
+that receives a third of all requests, or all of them in one minute, is spread over many tasks.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from webmill.functions import text
+from webmill.operators.ranking import carried
 
 
-def _segment(ts, seconds):
-    return F.floor(F.unix_seconds(ts) / F.lit(seconds))
-
-
-def cache_lookup(req, writes, ttl_s=None, segment_s=300, key="url_key", ts="ts", request_id="request_id", carry=()):
+def cache_lookup(req, writes, ttl_s=None, key="url_key", ts="ts", request_id="request_id", carry=(), segment_s=300, most=100_000):
     """HIT or MISS of each request against the newest earlier write of its key.
 
     The newest write hides older ones: if it has expired, or is markup, the
     request misses. ``ttl_s`` overrides the time to live of the rows; ``carry``
-    names request columns to keep. A request without a key misses and takes no
-    part in the windows.
-
-    1. the last write of each (key, segment) is an aggregate;
-    2. a window over segments, not rows, hands it to the later segments;
-    3. the final window starts each segment with what it was handed.
+    names request columns to keep. A request without a key misses.
     """
     life = F.lit(ttl_s).cast("long") if ttl_s is not None else F.col("ttl_s").cast("long")
-    cached = writes.filter(F.col("kind") == "md").select(
+    cached = writes.filter((F.col("kind") == "md") & F.col("url_key").isNotNull()).select(
         F.col("url_key").alias("_key"), F.col("written_at").alias("_at"), F.lit(0).alias("_side"),
-        F.lit(None).cast(req.schema[request_id].dataType).alias(request_id),
+        F.col("wid").cast("long").alias("_id"), F.lit(None).cast(req.schema[request_id].dataType).alias(request_id),
         F.struct(
             F.col("written_at").alias("at"), F.col("wid").cast("long").alias("wid"), life.alias("ttl"),
             text.looks_like_html(F.col("body")).alias("bad")).alias("_w"))
-    asked = req.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(ts).alias("_at"), F.lit(1).alias("_side"), request_id, *carry,
-        F.lit(None).cast(cached.schema["_w"].dataType).alias("_w"))
-    rows = cached.unionByName(asked, allowMissingColumns=True).withColumn("_seg", _segment(F.col("_at"), segment_s))
-
-    segment = _segment(F.col("_at"), segment_s)
-    last = cached.groupBy("_key", segment.alias("_seg")).agg(F.max("_w").alias("_last"))
-    asked_in = asked.select("_key", segment.alias("_seg")).distinct()
-    before = Window.partitionBy("_key").orderBy("_seg").rangeBetween(Window.unboundedPreceding, -1)
-    handed = (
-        last.withColumn("_asked", F.lit(False))
-        .unionByName(asked_in.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-        .withColumn("_w", F.last("_last", ignorenulls=True).over(before))
-        .filter(F.col("_asked") & F.col("_w").isNotNull())
-        .select("_key", F.col("_w.at").alias("_at"), F.lit(0).alias("_side"),
-                F.lit(None).cast(req.schema[request_id].dataType).alias(request_id), "_w", "_seg"))
-
-    order = Window.partitionBy("_key", "_seg").orderBy("_at", "_side", "_w.wid").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    seen = (
-        rows.unionByName(handed, allowMissingColumns=True)
-        .withColumn("_hit", F.last("_w", ignorenulls=True).over(order))
-        .filter(F.col("_side") == 1))
+    asked = req.select(
+        F.col(key).alias("_key"), F.col(ts).alias("_at"), F.lit(1).alias("_side"),
+        F.xxhash64(request_id).alias("_id"), request_id, *carry, F.lit(None).cast(cached.schema["_w"].dataType).alias("_w"))
+    rows = cached.unionByName(asked, allowMissingColumns=True)
+    seen = carried(rows, "_key", ["_at", "_side", "_id"], "_w", "_hit", F.unix_micros("_at"), segment_s, most=most).filter(F.col("_side") == 1)
     age = F.unix_seconds("_at") - F.unix_seconds("_hit.at")
     live = F.coalesce(
         (F.unix_micros("_at") < F.unix_micros("_hit.at") + F.col("_hit.ttl") * 1000000) & ~F.col("_hit.bad"),
         F.lit(False))
-    found = seen.select(
+    return seen.select(
         request_id, *carry, F.col("_key").alias(key), F.col("_at").alias(ts),
         F.when(live, "HIT").otherwise("MISS").alias("cache_status"),
         F.when(live, F.col("_hit.wid")).alias("wid"),
         F.when(live, age).alias("age_s"))
-    keyless = req.filter(F.col(key).isNull()).select(
-        request_id, *carry, F.col(key), F.col(ts), F.lit("MISS").alias("cache_status"),
-        F.lit(None).cast("long").alias("wid"), F.lit(None).cast("long").alias("age_s"))
-    return found.unionByName(keyless)
 
 
 def content_bundle(writes, as_of):
@@ -105,31 +73,23 @@ def content_bundle(writes, as_of):
             F.col("markdown").isNotNull().alias("md_cached")))
 
 
-def in_flight_followers(req, pending_s=30, key="url_key", ts="ts", request_id="request_id"):
+def in_flight_followers(req, pending_s=30, key="url_key", ts="ts", request_id="request_id", segment_s=300, most=100_000):
     """Requests that arrive while an extraction of the same key is in flight.
 
     A row with outcome ``miss`` or ``fallback`` extracts during
     ``[ts, min(ts + latency, ts + pending_s))``. A running maximum of the ends
-    answers the question without forming pairs. An interval is at most
-    ``pending_s`` long, so copying it to the next time segment is enough.
+    answers the question without forming pairs.
     """
-    span = 2 * pending_s
     start = F.unix_micros(ts)
     end = F.when(
         F.col("outcome").isin("miss", "fallback"),
         start + F.least(F.col("latency_ms") * 1000, F.lit(pending_s * 1000000)))
     rows = req.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(request_id), F.col(ts), start.alias("_start"), end.alias("_end"),
-        _segment(F.col(ts), span).alias("_seg"), F.lit(True).alias("_own"))
-    spill = rows.filter(F.floor((F.col("_end") - 1) / (span * 1000000)) > F.col("_seg")).withColumns(
-        {"_seg": F.col("_seg") + 1, "_own": F.lit(False)})
-    # the longest-running earlier extraction; the id makes ties repeatable
-    earlier = Window.partitionBy("_key", "_seg").orderBy("_start", request_id).rowsBetween(
-        Window.unboundedPreceding, -1)
-    lead = F.max(F.when(F.col("_end").isNotNull(), F.struct(
-        F.col("_end").alias("end"), F.col(request_id).alias("id"))))
-    waits = rows.unionByName(spill).withColumn("_lead", lead.over(earlier))
-    return waits.filter(F.col("_own") & (F.col("_lead.end") > F.col("_start"))).select(
+        F.col(key).alias("_key"), F.col(request_id), F.col(ts), start.alias("_start"),
+        # the longest-running earlier extraction; the id makes ties repeatable
+        F.when(end.isNotNull(), F.struct(end.alias("end"), F.col(request_id).alias("id"))).alias("_own"))
+    waits = carried(rows, "_key", ["_start", request_id], "_own", "_lead", F.col("_start"), segment_s, largest=True, most=most)
+    return waits.filter(F.col("_lead.end") > F.col("_start")).select(
         request_id, F.col("_key").alias(key), F.col(ts),
         F.col("_lead.id").alias("leader_id"),
         F.floor((F.col("_lead.end") - F.col("_start")) / 1000).alias("wait_ms"))
