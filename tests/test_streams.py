@@ -3,7 +3,6 @@
 import random
 from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from webmill.functions.text import estimate_tokens
 from webmill.operators import cache, pages
 from webmill.session import work_dir
 from webmill.sources import sinks
-from webmill.streaming import cache_state, jobs, single_flight
+from webmill.streaming import cache_state, jobs, replay, single_flight
 from test_functions import CANONICAL
 
 T0 = datetime(2024, 1, 1)
@@ -66,54 +65,68 @@ def test_single_flight_does_not_depend_on_batches(spark, parts):
     size = -(-len(rows) // parts)
     frames = [spark.createDataFrame(rows[k:k + size], schema) for k in range(0, len(rows), size)]
     path = work_dir(spark, "flight")
-    stream = single_flight.single_flight_stream(batches(spark, frames, f"r{parts}"))
-    jobs.append_to(stream, path, work_dir(spark, "c")).awaitTermination()
-    got = {r.request_id: r.leader_id for r in spark.read.parquet(path).collect()}
+    single_flight.single_flight_sink(batches(spark, frames, f"r{parts}"), path, work_dir(spark, "c")).awaitTermination()
+    got = {r.request_id: r.leader_id for r in single_flight.single_flight_answers(spark, path).collect()}
     want = flight_by_hand(rows)
     del want[999]
     assert got == want
 
 
-class Cell:
-    """A value or map state, or a handle with its timers, in memory."""
-
-    def __init__(self):
-        self.value, self.map, self.timers = None, {}, set()
-
-    def getValueState(self, name, *schema):
-        return Cell()
-
-    getMapState = getListState = getValueState
-    exists, get = lambda self: self.value is not None, lambda self: self.value
-    keys, getValue = lambda self: iter(list(self.map)), lambda self, k: self.map[k]
-    updateValue, removeKey = lambda self, k, v: self.map.update({k: v}), lambda self, k: self.map.pop(k)
-    registerTimer, deleteTimer = lambda self, t: self.timers.add(t), lambda self, t: self.timers.discard(t)
-    getCurrentWatermarkInMs = get
-
-    def update(self, value):
-        self.value = value
-
-    clear = lambda self: self.update(None)
-    appendList = lambda self, rows: self.update((self.value or []) + rows)
+def test_pieces_of_a_key_are_answered_apart(spark):
+    """Markers cross many pieces; the tables of transitions give each piece its first one."""
+    rnd = random.Random(7)
+    rows = [(i, at(rnd.randrange(900)), "hot", rnd.choice([0, 900, 29000, 90000])) for i in range(1500)]
+    rows += [(5000 + i, at(1000 + 29 * i), "hot", 30000) for i in range(20)]  # each marker is met by the next request
+    frame = spark.createDataFrame(rows, "request_id long, ts timestamp, url_key string, latency_ms long")
+    ready = single_flight.flight_rows(frame)
+    found, ends = single_flight.answer(ready, spark.createDataFrame([], single_flight.CARRY), 0)
+    want = flight_by_hand(rows)
+    assert {r.request_id: r.leader_id for r in found.collect()} == want
+    assert [r.leader_id for r in ends.collect()] == [want[5019]]
+    carry = spark.createDataFrame([("hot", -1, int((at(0) - datetime(1970, 1, 1)).total_seconds()) * 1000000 + 130_000_000), ("gone", -2, 5)], single_flight.CARRY)
+    later, ends = single_flight.answer(ready, carry, 10)
+    assert {r.leader_id for r in later.collect() if dict((i, t) for i, t, _, _ in rows)[r.request_id] < at(130)} == {-1}
+    assert [r.key for r in ends.collect()] == ["hot"]
+
+
+def test_transitions_equal_a_walk():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for size in (1, 2, 40):
+        moment = np.sort(rnd.integers(0, 60, size))
+        done, number = moment + rnd.integers(0, 9, size), np.arange(size) + 100
+        upto, leader, until = single_flight.transitions(moment, done, number)
+        for m in range(-1, 70):
+            marker = (None, m)
+            for t, d, n in zip(moment, done, number):
+                if t >= marker[1]:
+                    marker = (n, d)
+            i = int(np.searchsorted(upto, m, side="left"))
+            assert marker == ((None, m) if i == len(upto) else (leader[i], until[i]))
+
+
+def test_rows_behind_the_watermark_are_kept_aside(spark):
+    schema = "request_id long, ts timestamp, url_key string, latency_ms long"
+    frames = [spark.createDataFrame(r, schema) for r in ([(1, at(100), "a", 5)], [(2, at(10), "a", 5), (3, at(90), "a", 5)], [(4, at(300), "a", 5)])]
+    path = work_dir(spark, "flight")
+    single_flight.single_flight_sink(batches(spark, frames, "late"), path, work_dir(spark, "c")).awaitTermination()
+    assert {r.request_id for r in single_flight.single_flight_answers(spark, path).collect()} == {1, 3}
+    assert [r.id for r in replay.late(spark, path, single_flight.ROWS).collect()] == [2]
+    replay.finish(spark, path, single_flight.ROWS, single_flight.answer, single_flight.CARRY)
+    assert {r.request_id for r in single_flight.single_flight_answers(spark, path).collect()} == {1, 3, 4}
 
 
-def test_single_flight_answers_a_long_history_in_segments():
-    rnd = random.Random(7)
-    rows = [(i, at(rnd.randrange(7200)), "hot", rnd.choice([0, 900, 29000, 90000])) for i in range(5000)]
-    us = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) * 1000000
-    frame = pd.DataFrame([(us(t), i, us(t) + min(ms, 30000) * 1000) for i, t, _, ms in rows], columns=["at_us", "id", "done_us"])
-    handle, flight, mark, got = Cell(), single_flight.SingleFlight(), Cell(), []
-    flight.init(handle)
-    list(flight.handleInputRows(("hot",), iter([frame[:2500], frame[2500:]]), mark))
-    for end in (at(3333), at(9000)):
-        mark.update(us(end) // 1000)
-        while due := [t for t in handle.timers if t <= mark.value]:
-            got += flight.handleExpiredTimer(("hot",), mark, None)
-            handle.timers -= set(due)
-    time = {i: t for i, t, _, _ in rows}
-    assert {r: leader for f in got for r, leader in zip(f.request_id, f.leader_id)} == flight_by_hand(rows)
-    assert max(max(time[i] for i in f.request_id) - min(time[i] for i in f.request_id) for f in got if len(f)) < timedelta(seconds=300)
-    assert not handle.timers and not flight.waiting.map and flight.marker.value is None
+def test_a_batch_that_runs_again_replaces_its_answers(spark):
+    schema = "request_id long, ts timestamp, url_key string, latency_ms long"
+    path = work_dir(spark, "flight")
+    run = lambda n, rows: replay.step(
+        single_flight.flight_rows(spark.createDataFrame(rows, schema)), n, path, single_flight.answer, single_flight.CARRY, "at_us", 30)
+    run(0, [(1, at(100), "a", 20000), (2, at(101), "a", 5)])
+    for _ in range(2):
+        run(1, [(3, at(115), "a", 5), (4, at(200), "a", 5)])
+    run(2, [(5, at(400), "a", 5)])
+    assert sorted((r.request_id, r.leader_id) for r in single_flight.single_flight_answers(spark, path).collect()) == [(1, 1), (2, 1), (3, 1), (4, 4)]
 
 
 RULES = [
@@ -149,32 +162,55 @@ def test_alert_stream_over_batches_equals_the_batch_rules(spark, rules):
     assert {r["rule"] for r in rules} <= {w[0] for w in want}
 
 
-def test_cache_state_over_batches_equals_the_batch_join(spark):
-    put = "wid long, url_key string, kind string, body string, written_at timestamp, ttl_s long"
-    req = "request_id long, url_key string, ts timestamp"
-    puts = [[(1, "k", "md", "# a", at(0), 50)], [(2, "k", "md", "<html>", at(100), 500), (3, "j", "md", "# b", at(90), 500)]]
-    asks = [[(1, "k", at(10)), (2, "k", at(60)), (3, "j", at(20))], [(4, "k", at(120)), (5, "j", at(95)), (6, "j", at(700))]]
-    frames = lambda parts, schema: [spark.createDataFrame(p, schema) for p in parts]
-    stream = cache_state.cache_state_stream(
-        batches(spark, frames(puts, put), "p"), None, batches(spark, frames(asks, req), "q"), shares=2)
+PUT = "wid long, url_key string, kind string, body string, written_at timestamp, ttl_s long"
+ASK = "request_id long, url_key string, ts timestamp"
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_cache_state_over_batches_equals_the_batch_join(spark, parts):
+    rnd = random.Random(9)
+    puts = [(i, rnd.choice("kkkj"), "md", rnd.choice(["# a", "# b", "<html>"]), at(10 * i + rnd.randrange(10)), rnd.choice([20, 150, 900])) for i in range(60)]
+    asks = [(i, rnd.choice(["k", "k", "j", "x", None]), at(3 * i)) for i in range(200)]
+
+    def dealt(rows, when, schema):  # in order of time, each part shuffled, parts overlap by less than the delay
+        rows = sorted(rows, key=lambda r: r[when] + timedelta(seconds=rnd.randrange(100)))
+        size = -(-len(rows) // parts)
+        return [spark.createDataFrame(rnd.sample(rows[k:k + size], len(rows[k:k + size])), schema) for k in range(0, len(rows), size)]
+
     path = work_dir(spark, "state")
-    jobs.append_to(stream, path, work_dir(spark, "c")).awaitTermination()
-    got = {(r.request_id, r.cache_status, r.wid, r.age_s) for r in spark.read.parquet(path).collect()}
-    both = lambda parts, schema: spark.createDataFrame(sum(parts, []), schema)
-    want = {(r.request_id, r.cache_status, r.wid, r.age_s)
-            for r in cache.cache_lookup(both(asks, req), both(puts, put)).collect()}
-    assert got == want == {(1, "HIT", 1, 10), (2, "MISS", None, None), (3, "MISS", None, None),
-                           (4, "MISS", None, None), (5, "HIT", 3, 5), (6, "MISS", None, None)}
+    cache_state.cache_state_sink(
+        batches(spark, dealt(puts, 4, PUT), "p"), None, batches(spark, dealt(asks, 2, ASK), "q"), path, work_dir(spark, "c")).awaitTermination()
+    cache_state.cache_state_finish(spark, path)
+    row = lambda r: (r.request_id, r.cache_status, r.wid, r.age_s)
+    want = {row(r) for r in cache.cache_lookup(spark.createDataFrame(asks, ASK), spark.createDataFrame(puts, PUT)).collect()}
+    assert sorted(map(row, cache_state.cache_state_answers(spark, path).collect()), key=repr) == sorted(want, key=repr)
+    assert {w[1] for w in want} == {"HIT", "MISS"}
+
+
+def test_state_of_a_key_ends_with_its_life(spark):
+    path = work_dir(spark, "state")
+
+    def run(n, puts, asks):
+        events = cache_state.cache_events(spark.createDataFrame(puts, PUT), None, spark.createDataFrame(asks, ASK))
+        replay.step(events, n, path, cache_state.answer, cache_state.CARRY, "at_us", 0)
+        return {r.url_key for r in spark.read.schema(cache_state.CARRY).parquet(f"{path}/state/{n}/carry").collect()}
+
+    assert run(0, [(i, f"k{i}", "md", "# t" if i else "<html>", at(i), 100) for i in range(50)], [(1, "k1", at(60))]) == {f"k{i}" for i in range(1, 50)}
+    assert run(1, [], [(2, "k9", at(120))]) == {f"k{i}" for i in range(21, 50)}
+    assert run(2, [(77, "k30", "md", "# t", at(121), 1000)], [(3, "k40", at(1000))]) == {"k30"}
+    cache_state.cache_state_finish(spark, path)
+    got = {r.request_id: (r.cache_status, r.wid) for r in cache_state.cache_state_answers(spark, path).collect()}
+    assert got == {1: ("HIT", 1), 2: ("MISS", None), 3: ("MISS", None)}
 
 
 def test_invalidation_clears_the_state(spark):
-    puts = spark.createDataFrame([(1, "k", "md", "# a", at(0), 500)], "wid long, url_key string, kind string, body string, written_at timestamp, ttl_s long")
-    gone = spark.createDataFrame([("k", at(50))], "url_key string, received_at timestamp")
-    asks = spark.createDataFrame([(1, "k", at(10)), (2, "k", at(60))], "request_id long, url_key string, ts timestamp")
-    stream = cache_state.cache_state_stream(*[batches(spark, [f], "i") for f in (puts, gone, asks)], shares=1)
+    puts = spark.createDataFrame([(1, "k", "md", "# a", at(0), 500), (2, "j", "md", "# a", at(50), 500)], PUT)
+    gone = spark.createDataFrame([("k", at(50)), ("j", at(50))], "url_key string, received_at timestamp")
+    asks = spark.createDataFrame([(1, "k", at(10)), (2, "k", at(60)), (3, "j", at(60))], ASK)
     path = work_dir(spark, "state")
-    jobs.append_to(stream, path, work_dir(spark, "c")).awaitTermination()
-    assert {(r.request_id, r.cache_status) for r in spark.read.parquet(path).collect()} == {(1, "HIT"), (2, "MISS")}
+    cache_state.cache_state_sink(*[batches(spark, [f], "i") for f in (puts, gone, asks)], path, work_dir(spark, "c")).awaitTermination()
+    cache_state.cache_state_finish(spark, path)
+    assert {(r.request_id, r.cache_status) for r in cache_state.cache_state_answers(spark, path).collect()} == {(1, "HIT"), (2, "MISS"), (3, "MISS")}
 
 
 def test_sql_functions(spark):

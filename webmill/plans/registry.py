@@ -519,11 +519,6 @@ def x4_effective_agents(d):
 
 # --- streams ------------------------------------------------------------------
 
-def use_rocksdb(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
 def extractions(d):
     """Requests that need an extraction, keyed by host, with stretched latencies so that they overlap."""
     return d.requests().filter(F.col("outcome").isin("miss", "fallback")).select(
@@ -532,11 +527,9 @@ def extractions(d):
 
 @query
 def t1_single_flight(d):
-    use_rocksdb(d.spark)
-    stream = single_flight.single_flight_stream(as_stream(extractions(d), "requests"))
     path = work_dir(d.spark, "t1")
-    finish(jobs.append_to(stream, path, work_dir(d.spark, "check")))
-    return d.spark.read.schema(single_flight.OUTPUT).parquet(path)
+    finish(single_flight.single_flight_sink(as_stream(extractions(d), "requests"), path, work_dir(d.spark, "check")))
+    return single_flight.single_flight_answers(d.spark, path)
 
 
 @query
@@ -565,13 +558,12 @@ def t4_alert_stream(d):
 
 @query
 def t5_cache_state(d):
-    spark = d.spark
-    use_rocksdb(spark)
     puts = as_stream(d.writes().filter(F.col("kind") == "md"), "puts")
     r = as_stream(d.keyed_requests().select("request_id", "ts", "url_key"), "requests")
-    path = work_dir(spark, "t5")
-    finish(jobs.append_to(cache_state.cache_state_stream(puts, None, r), path, work_dir(spark, "check")))
-    return spark.read.schema(cache_state.OUTPUT).parquet(path).drop("ts")
+    path = work_dir(d.spark, "t5")
+    finish(cache_state.cache_state_sink(puts, None, r, path, work_dir(d.spark, "check")))
+    cache_state.cache_state_finish(d.spark, path)
+    return cache_state.cache_state_answers(d.spark, path).drop("ts")
 
 
 @query

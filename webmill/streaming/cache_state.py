@@ -1,99 +1,63 @@
 """Per-key cache state in a stream: puts, invalidations and expiry answer each request.
 
-The state of a key is its newest write, a few numbers. Requests of a key are
-spread over ``shares`` state cells and the far fewer writes go to each of them,
-so a hot key does not sit in one task.
+Events wait until the watermark has passed them (see ``replay``), so batches and arrival inside the delay do not change an
+answer. A batch is answered by the scan of the batch join, which spreads a hot key over all tasks. What is carried on is the
+newest write of each key that is usable and still alive at the watermark: an invalidated, unusable or expired one would only
+make requests miss, as no write at all does, so the state of a key ends with its life.
 """
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import (
-    BooleanType, LongType, StringType, StructField, StructType, TimestampType,
-)
 
 from webmill.functions import text
+from webmill.operators import cache
+from webmill.streaming import replay
 
 PUT, INVALIDATE, REQUEST = 0, 1, 2
+EVENTS = "url_key string, at_us long, side int, id long, ttl_s long, usable boolean"
+OUTPUT = "request_id long, url_key string, ts timestamp, cache_status string, wid long, age_s long"
+CARRY = "wid long, url_key string, kind string, body string, written_at timestamp, ttl_s long"
 
-OUTPUT = StructType([
-    StructField("request_id", LongType()),
-    StructField("url_key", StringType()),
-    StructField("ts", TimestampType()),
-    StructField("cache_status", StringType()),
-    StructField("wid", LongType()),
-    StructField("age_s", LongType()),
-])
-STATE = StructType([
-    StructField("at_us", LongType()),
-    StructField("until_us", LongType()),
-    StructField("wid", LongType()),
-    StructField("usable", BooleanType()),
-])
 
+def cache_events(puts, invalidations, req, ttl_s=None):
+    """The three inputs in one narrow shape; bodies are reduced to a flag here."""
+    life = F.lit(ttl_s).cast("long") if ttl_s is not None else F.col("ttl_s").cast("long")
+    shape = lambda at, side, number, span, usable: [
+        F.col("url_key"), F.unix_micros(at).alias("at_us"), F.lit(side).alias("side"),
+        number.cast("long").alias("id"), span.cast("long").alias("ttl_s"), usable.alias("usable")]
+    out = puts.filter(F.col("kind") == "md").select(
+        *shape("written_at", PUT, F.col("wid"), life, ~text.looks_like_html(F.col("body"))))
+    out = out.unionByName(req.select(*shape("ts", REQUEST, F.col("request_id"), F.lit(0), F.lit(True))))
+    if invalidations is not None:
+        # a write of no life that comes after all puts of its instant
+        out = out.unionByName(invalidations.select(*shape("received_at", INVALIDATE, F.lit(2 ** 63 - 1), F.lit(0), F.lit(False))))
+    return out
 
-class CacheState(StatefulProcessor):
-    """Replays the rows of a key in event-time order against its newest write."""
 
-    def init(self, handle):
-        self.state = handle.getValueState("newest", STATE)
+def answer(ready, carry, watermark_us):
+    """HIT or MISS of the requests that are ready, and the writes that live on."""
+    at = F.timestamp_micros("at_us")
+    writes = ready.filter(F.col("side") != REQUEST).select(
+        F.col("id").alias("wid"), "url_key", F.lit("md").alias("kind"),
+        F.when(F.col("usable"), F.lit("")).otherwise(F.lit("<html")).alias("body"), at.alias("written_at"), "ttl_s")
+    writes = carry.unionByName(writes)
+    asked = ready.filter(F.col("side") == REQUEST).select(F.col("id").alias("request_id"), "url_key", at.alias("ts"))
+    newest = writes.groupBy("url_key").agg(F.max(F.struct("written_at", "wid", "ttl_s", "body")).alias("w"))
+    alive = F.unix_micros("w.written_at") + F.col("w.ttl_s") * 1000000 > F.lit(watermark_us)
+    kept = newest.filter(alive & (F.col("w.body") == "")).select(
+        "w.wid", "url_key", F.lit("md").alias("kind"), "w.body", "w.written_at", "w.ttl_s")
+    return cache.cache_lookup(asked, writes), kept
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows)).sort_values(["at_us", "side", "id"])
-        current = tuple(self.state.get()) if self.state.exists() else None
-        before = current
-        answers = []
-        for at, side, number, life, usable in frame[["at_us", "side", "id", "life_us", "usable"]].itertuples(index=False):
-            if side == PUT:
-                if current is None or at >= current[0]:
-                    current = (int(at), int(at + life), int(number), bool(usable))
-            elif side == INVALIDATE:
-                if current is not None and current[0] <= at:
-                    current = None
-            else:
-                live = current is not None and current[3] and current[0] <= at < current[1]
-                answers.append((
-                    int(number), key[0], pd.Timestamp(at, unit="us"), "HIT" if live else "MISS",
-                    current[2] if live else None, (at // 1000000 - current[0] // 1000000) if live else None))
-        if current is None and before is not None:
-            self.state.clear()
-        elif current != before:
-            self.state.update(current)
-        out = pd.DataFrame(answers, columns=OUTPUT.names)
-        out["wid"], out["age_s"] = out["wid"].astype("Int64"), out["age_s"].astype("Int64")
-        yield out
 
-    def close(self):
-        pass
+def cache_state_sink(puts, invalidations, req, path, checkpoint, ttl_s=None, delay_s=300, trigger=None):
+    """Answer a stream of requests; the delay also covers how far the inputs run apart."""
+    events = cache_events(puts, invalidations, req, ttl_s)
+    return replay.replay(events, path, checkpoint, answer, CARRY, delay_s=delay_s, trigger=trigger)
 
 
-def cache_events(puts, invalidations, req, ttl_s=None, shares=8):
-    """The three inputs in one narrow shape; bodies are reduced to a flag here."""
-    life = F.lit(ttl_s).cast("long") if ttl_s is not None else F.col("ttl_s").cast("long")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
-    shape = lambda key, at, side, number, span, usable, share: [
-        key.alias("url_key"), F.unix_micros(at).alias("at_us"), F.lit(side).alias("side"),
-        number.cast("long").alias("id"), span.cast("long").alias("life_us"), usable.alias("usable"), share]
-    none = F.lit(0)
-    parts = [
-        puts.filter(F.col("kind") == "md").select(*shape(
-            F.col("url_key"), F.col("written_at"), PUT, F.col("wid"), life * 1000000,
-            ~text.looks_like_html(F.col("body")), copies)),
-        req.select(*shape(
-            F.col("url_key"), F.col("ts"), REQUEST, F.col("request_id"), none, F.lit(True),
-            F.pmod(F.xxhash64("request_id"), F.lit(shares)).cast("int").alias("share"))),
-    ]
-    if invalidations is not None:
-        parts.append(invalidations.select(*shape(
-            F.col("url_key"), F.col("received_at"), INVALIDATE, none, none, F.lit(True), copies)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def cache_state_finish(spark, path):
+    """Answer the requests that still wait once no more events will come."""
+    replay.finish(spark, path, EVENTS, answer, CARRY)
 
 
-def cache_state_stream(puts, invalidations, req, ttl_s=None, shares=8):
-    """HIT or MISS per request. Needs the RocksDB state store."""
-    events = cache_events(puts, invalidations, req, ttl_s, shares)
-    return events.groupBy("url_key", "share").transformWithStateInPandas(
-        statefulProcessor=CacheState(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+def cache_state_answers(spark, path):
+    return replay.answers(spark, path, OUTPUT)
