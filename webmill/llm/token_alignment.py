@@ -16,7 +16,7 @@ columns are ignored; an empty table gives an empty result.
 """
 
 import hashlib
-from itertools import chain
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -102,6 +102,10 @@ class Side(NamedTuple):
     lengths: np.ndarray
     bounds: np.ndarray
 
+    def text(self):
+        """The text of each token."""
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
     def of(self, texts):
         """Only the tokens of the texts in the mask."""
         keep = np.repeat(texts, np.diff(self.bounds))
@@ -154,37 +158,51 @@ def side(ids, bounds, vocab):
     return Side(ids, vocab.lengths[ids], np.asarray(bounds, np.int64))
 
 
-def listed(lists, vocab):
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-    return side(np.fromiter(chain.from_iterable(lists), np.int64, int(bounds[-1])), bounds, vocab)
+def cuts_at_spaces(path):
+    """Whether the words of a text can be encoded one by one: no piece reaches over a blank or a line end."""
+    if (path, "cuts") not in _LOADED:
+        found, _ = pieces(path)
+        names = [found.id_to_piece(i) for i in range(found.get_piece_size())]
+        _LOADED[path, "cuts"] = b"identity" in found.serialized_model_proto() and not any("▁" in n.lstrip("▁") or "\n" in n for n in names)
+    return _LOADED[path, "cuts"]
 
 
-def encoded_a(texts, path):
-    """Tokens of texts that begin with a space; distinct words are encoded once and kept in the worker's cache."""
-    found, vocab = byte_level(path)
+def encoder(path_a, path_b):
+    """words -> (A ids, B ids) of each as bytes; a word begins with its blank or line end."""
+    a, b = byte_level(path_a)[0], pieces(path_b)[0]
+    blank = b.encode("a ")[len(b.encode("a")):]  # of a blank at the end of a text
+    raw = lambda ids: array("I", ids).tobytes()
 
     def encode(words):
-        return [np.array(e.ids, np.uint32).tobytes() for e in found.encode_batch_fast(words, add_special_tokens=False)]
+        left = a.encode_batch_fast(words, add_special_tokens=False)
+        # the model adds the blank itself, also before a line end, where it is a piece of its own
+        right = b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+        return [(raw(x.ids), raw(blank if w == " " else y if w[0] == " " else y[1:])) for w, x, y in zip(words, left, right)]
+    return encode
+
 
-    odd = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False)
+def encoded(texts, path_a, path_b):
+    """Tokens of both, of texts that begin with a blank; distinct words are encoded once and kept in the worker's cache."""
+    odd = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False) | (not cuts_at_spaces(path_b))
     cut = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(~odd)), " ", CUT + " "), "\n", CUT + "\n")
     words = parts(pc.split_pattern(cut, CUT))
-    both = looked_up(words.vocab.to_pylist(), encode, (path, "plain ids")) + encode(texts.filter(pa.array(odd)).to_pylist())
+    known = looked_up(words.vocab.to_pylist(), encoder(path_a, path_b), (path_a, path_b))
+    long = texts.filter(pa.array(odd)).to_pylist()
+    whole_a = byte_level(path_a)[0].encode_batch_fast(long, add_special_tokens=False)
+    whole_b = pieces(path_b)[0].encode([t[1:] for t in long], num_threads=1)
+    known += [(array("I", x.ids).tobytes(), array("I", y).tobytes()) for x, y in zip(whole_a, whole_b)]
     # words of each text, or the text itself as one word
     sizes = np.ones(len(odd), np.int64)
     sizes[~odd] = np.diff(words.bounds)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     codes = np.empty(bounds[-1], np.int64)
     codes[np.repeat(~odd, sizes)] = words.codes
-    codes[np.repeat(odd, sizes)] = np.arange(len(words.vocab), len(both))
-    ids, ends = gathered(*flat(both), codes)
-    return side(ids, np.concatenate([[0], ends])[bounds], vocab)
-
-
-def encoded_b(texts, path):
-    """Tokens of texts to which the model itself adds a space."""
-    found, vocab = pieces(path)
-    return listed(found.encode(texts.to_pylist(), num_threads=1), vocab)
+    codes[np.repeat(odd, sizes)] = np.arange(len(words.vocab), len(known))
+    out = []
+    for which, (_, vocab) in enumerate((byte_level(path_a), pieces(path_b))):
+        ids, ends = gathered(*flat([k[which] for k in known]), codes)
+        out.append(side(ids, np.concatenate([[0], ends])[bounds], vocab))
+    return out
 
 
 def same_bytes(tokens, vocab, texts):
@@ -228,13 +246,15 @@ def align(texts, path_a, path_b):
     """The :class:`Alignment` of a large-string array without nulls."""
     empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
-    a, b = encoded_a(spaced, path_a), encoded_b(texts, path_b)
+    a, b = encoded(spaced, path_a, path_b)
     good = ~empty & same_bytes(a, byte_level(path_a)[1], spaced) & same_bytes(b, pieces(path_b)[1], spaced)
     a, b = a.of(good), b.of(good)
     ends_a, ends_b = np.cumsum(a.lengths), np.cumsum(b.lengths)
-    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    ends = np.concatenate([[0], ends_a])[a.bounds[1:]]
-    return Alignment(good, a, b, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), cuts, ends)
+    end = np.zeros((2, 1 + int(a.lengths.sum())), bool)
+    end[0, ends_a], end[1, ends_b] = True, True
+    both = end[0] & end[1]
+    before = np.cumsum(both) - both  # groups that end before each byte offset
+    return Alignment(good, a, b, before[ends_a], before[ends_b], np.flatnonzero(both), np.concatenate([[0], ends_a])[a.bounds[1:]])
 
 
 def spelled(found, n_ids):
@@ -267,10 +287,10 @@ def links(docs, path_a, path_b, shared_groups=False):
     def run(batches):
         for batch in slices(batches, limit=SLICE_BYTES):
             found = align(whole(batch["text"]), path_a, path_b)
-            good = np.flatnonzero(found.good)
+            good, text_of = np.flatnonzero(found.good), found.a.text()
             for block in found.shared() if shared_groups else found.overlaps():
                 a, b = block[:2]
-                text = np.searchsorted(found.a.bounds, a, side="right") - 1
+                text = text_of[a]
                 yield pa.RecordBatch.from_arrays([
                     batch["doc_id"].take(pa.array(good[text])), pa.array(a - found.a.bounds[text]), pa.array(b - found.b.bounds[text]),
                     pa.array(found.a.ids[a]), pa.array(found.b.ids[b]),
@@ -294,7 +314,7 @@ def aligned(docs, path_a, path_b):
     def run(batches):
         for batch in slices(batches, limit=SLICE_BYTES):
             found = align(whole(batch["text"]), path_a, path_b)
-            n, good = batch.num_rows, np.flatnonzero(found.good)
+            n, good, text_of = batch.num_rows, np.flatnonzero(found.good), found.a.text()
             out = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "n_group_links")}
             out["n_a"][good], out["n_b"][good] = np.diff(found.a.bounds), np.diff(found.b.bounds)
             out["n_groups"][good] = np.diff(np.searchsorted(found.cuts, np.concatenate([[0], found.ends]), side="right"))
@@ -303,7 +323,7 @@ def aligned(docs, path_a, path_b):
             # a block of a long text gives a part of its pairs; parts of one text are added up
             keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b, _ in found.overlaps():
-                text = np.searchsorted(found.a.bounds, a, side="right") - 1
+                text = text_of[a]
                 out["n_links"][good] += np.bincount(text, minlength=len(good))
                 key, count = np.unique(text * span + found.a.ids[a] * size_b + found.b.ids[b], return_counts=True)
                 keys.append(key)

@@ -68,14 +68,27 @@ def library_ids(path):
 
 
 def looked_up(words, encode, name, most=CACHED_WORDS):
-    """``encode(words)`` through the worker's cache ``name``; the cache is emptied when it has grown past its bound."""
-    cache = _CACHES.setdefault(name, {})
-    if len(cache) > most:
-        cache.clear()
-    missing = [w for w in words if w not in cache]
-    if missing:
-        cache.update(zip(missing, encode(missing)))
-    return [cache[w] for w in words]
+    """``encode(words)`` through the worker's cache ``name``, which holds at most about ``most`` words.
+
+    The cache has two generations: words in use move to the young one, and when that is half of the bound the old one is
+    dropped, so common words survive.
+    """
+    old, young = _CACHES.setdefault(name, ({}, {}))
+    if len(young) > most // 2:
+        old, young = _CACHES[name] = (young, {})
+    out = [young.get(w) for w in words]
+    if None in out:
+        missing = []
+        for i, found in enumerate(out):
+            if found is None:
+                found = out[i] = old.get(words[i])
+                if found is None:
+                    missing.append(i)
+                else:
+                    young[words[i]] = found
+        for i, found in zip(missing, encode([words[i] for i in missing]) if missing else ()):
+            out[i] = young[words[i]] = found
+    return out
 
 
 def gathered(pool, starts, lengths, codes):
