@@ -91,6 +91,22 @@ def test_near_duplicates_of_odd_rows(stored_docs):
     assert texts.count("one two") + texts.count("One TWO") == 1 and texts.count(None) == 2
 
 
+def test_dropped_rows_do_not_depend_on_the_splits_of_a_read(spark, tmp_path):
+    """The table is read in other splits each time: as with other cores, or after a lost executor."""
+    path = str(tmp_path / "docs")
+    rows = [(i, f"document number {i // 2} with words of its own {'abcdefghij'[i // 2 % 10] * (i // 2 + 1)} and no others at all") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id").write.parquet(path)
+    left, old = minhash_dedup.without_duplicates(spark.read.parquet(path)), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "1000", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert sorted(r.doc_id for r in left.select("*").collect()) == list(range(0, 40, 2))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_no_near_duplicates_in_nothing(spark, no_docs, tmp_path):
     assert minhash_dedup.near_duplicates(no_docs).collect() == []
     assert minhash_dedup.without_duplicates(no_docs).collect() == []

@@ -87,9 +87,14 @@ def test_line_frequency_limits_do_not_grow_with_the_host(spark):
 def test_clean_documents_lose_their_common_lines_only(spark):
     rows = [(i, f"own line {'abcdefghijklmnopqrstuvwxyz'[i % 26] * (i + 1)}\nSubscribe now!\nlast", "h") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    verdicts = line_frequency.judge(docs, min_docs=10, share=0.1, depleted=0.9)
-    texts = {r.doc_id: r.text for r in line_frequency.clean(docs, verdicts).collect()}
+    limits = {"min_docs": 10, "share": 0.1, "depleted": 0.9}
+    texts = {r.doc_id: r.text for r in line_frequency.clean(docs, **limits).collect()}
     assert texts == {i: t.split("\n")[0] for i, t, _ in rows}
+    # null and repeated ids, whole rows repeated: one row for each row
+    rows += [(None, "own line x\nlast", "h"), (None, "own line y\nlast", "h"), (3, "another own line\nSubscribe now!", "h"), rows[4]]
+    odd = spark.createDataFrame([(*r, 1, "clash") for r in rows], "doc_id long, text string, source string, _row int, _host string")
+    got = [(r.doc_id, r.text) for r in line_frequency.clean(odd, **limits).collect()]
+    assert sorted(got, key=repr) == sorted(((i, t.split("\n")[0]) for i, t, _ in rows), key=repr)
 
 
 def test_line_frequency_of_nothing(no_docs):

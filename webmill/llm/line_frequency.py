@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
 
-from webmill.llm.texts import parts, per_row, repeated, row_id, slices, stored, whole, words_of
+from webmill.llm.texts import numbered, parts, per_row, repeated, row_id, slices, stored, whole, words_of
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 LINES = "text_hash long, hashes array<long>, weights array<long>"
@@ -79,9 +79,12 @@ def measured(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["_row", "doc_id", "host", *base, "hashes", "weights"])
 
 
-def measures(docs, host="source"):
-    """Base counts of each document with the hashes of its distinct lines; stored, for the texts are read once."""
-    rows = docs.select(row_id().alias("_row"), F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), "text")
+def measures(docs, host="source", row=None):
+    """Base counts of each document with the hashes of its distinct lines; stored, for the texts are read once.
+
+    ``row`` names a column of row numbers; without one, rows are numbered here.
+    """
+    rows = docs.select((F.col(row) if row else row_id()).alias("_row"), F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), "text")
     return stored(rows.mapInArrow(measured, f"_row long, doc_id long, host string, {BASE}, {LINES}"), "lines")
 
 
@@ -106,9 +109,9 @@ def common_lines(lines, min_docs=20, share=0.05, most=25):
     return common, found.join(other, same, "left_semi").select("_row", "host", "hash", "words")
 
 
-def judge(docs, host="source", min_docs=20, share=0.05, depleted=0.5, most=25):
+def judge(docs, host="source", min_docs=20, share=0.05, depleted=0.5, most=25, row=None):
     """One row per document: base counts, words and lines in common lines, the hashes of those lines, verdict."""
-    lines = measures(docs, host)
+    lines = measures(docs, host, row)
     _, held = common_lines(lines, min_docs, share, most)
     removed = held.groupBy("_row").agg(
         F.sum("words").alias("removed_words"), F.collect_list("hash").alias("removed"))
@@ -124,12 +127,16 @@ def stripped(batches):
             if text and gone:
                 lines = text.split("\n")
                 hashes = signed(normalised(pa.array(lines, pa.large_string())).to_pylist())
-                text = "\n".join(l for l, h in zip(lines, hashes.tolist()) if h not in set(gone))
+                gone = set(gone)
+                text = "\n".join(l for l, h in zip(lines, hashes.tolist()) if h not in gone)
             out.append(text)
         yield batch.drop_columns(["text", "removed"]).append_column("text", pa.array(out, pa.string()))
 
 
-def clean(docs, verdicts):
-    """(doc_id, text) of the documents that are not depleted, without their common lines."""
-    kept = verdicts.filter(~F.col("depleted")).select("doc_id", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
-    return docs.select("doc_id", "text").join(kept.distinct(), "doc_id").mapInArrow(stripped, "doc_id long, text string")
+def clean(docs, host="source", **limits):
+    """(doc_id, text) of the documents that are not depleted, without their common lines; one row for each row of ``docs``."""
+    rows = numbered(docs).select("_row", "_doc.doc_id", F.col(f"_doc.{host}").alias("_host"), "_doc.text")
+    verdicts = judge(rows, "_host", row="_row", **limits).filter(~F.col("depleted"))
+    kept = verdicts.select(F.col("_row").alias("_kept"), F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
+    found = rows.join(kept, F.col("_row") == F.col("_kept")).select(F.col("doc_id").cast("long"), "text", "removed")
+    return found.mapInArrow(stripped, "doc_id long, text string")

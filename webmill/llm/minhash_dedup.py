@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from webmill.llm.components import components
-from webmill.llm.texts import row_id, sent_whole, slices, stored, whole, words_of
+from webmill.llm.texts import numbered, row_id, sent_whole, slices, stored, whole, words_of
 
 SHIFT = 4.5  # standard deviations
 SENT_WHOLE = 500_000  # rows of at most about 100 bytes that are broadcast to the documents; more are joined by a shuffle
@@ -304,9 +304,12 @@ def units(base, lists, k, threshold, most_sets, most_bytes):
     return fit.union(finer).union(in_blocks(rest, sized(rest, "value", most_sets, most_bytes)).drop("n"))
 
 
-def near_duplicates(docs, key="doc_id", width=5, k=64, threshold=0.8, most_sets=16_384, most_bytes=64 << 20):
-    """(_row, id, n_shingles, component, first) of every document; ``first`` marks one row of each component."""
-    docs = docs.select(row_id().alias("_row"), F.col(key).cast("long").alias("id"), "text")
+def near_duplicates(docs, key="doc_id", width=5, k=64, threshold=0.8, most_sets=16_384, most_bytes=64 << 20, row=None):
+    """(_row, id, n_shingles, component, first) of every document; ``first`` marks one row of each component.
+
+    ``row`` names a column of row numbers; without one, rows are numbered here.
+    """
+    docs = docs.select((F.col(row) if row else row_id()).alias("_row"), F.col(key).cast("long").alias("id"), "text")
     base = sketches(docs, width, k)
     member = classes(base)
     lists = inverted_lists(base, member, k, threshold)
@@ -329,9 +332,11 @@ def near_duplicates(docs, key="doc_id", width=5, k=64, threshold=0.8, most_sets=
 def without_duplicates(docs, key="doc_id", **options):
     """One document of each component, with all its columns.
 
-    The rows to drop are stored and counted first; up to ``SENT_WHOLE`` of them are broadcast, more are joined by a shuffle.
+    The rows are numbered and stored once, so that the rows to drop are the same however often and in whatever splits the
+    table is read. These are stored and counted; up to ``SENT_WHOLE`` of them are broadcast, more are joined by a shuffle.
     """
-    found = near_duplicates(docs, key, **options)
+    rows = numbered(docs)
+    texts = rows.select("_row", F.col(f"_doc.{key}").alias("_key"), "_doc.text")
+    found = near_duplicates(texts, "_key", row="_row", **options)
     drop = stored(found.filter(~F.col("first")).select(F.col("_row").alias("_drop")), "duplicates")
-    numbered = docs.select(row_id().alias("_row"), F.struct("*").alias("_doc"))  # so that no column of docs can clash
-    return numbered.join(sent_whole(drop, drop.count(), SENT_WHOLE), F.col("_row") == F.col("_drop"), "left_anti").select("_doc.*")
+    return rows.join(sent_whole(drop, drop.count(), SENT_WHOLE), F.col("_row") == F.col("_drop"), "left_anti").select("_doc.*")

@@ -89,6 +89,15 @@ def sent_whole(df, rows, most):
     return F.broadcast(df) if rows <= most else df
 
 
+def numbered(docs):
+    """(_row, _doc): every row as a struct with a number, stored once.
+
+    The numbers are data then: whoever reads the table again, with other splits or after an executor is lost, finds the
+    same ones. No column of ``docs`` can clash inside the struct.
+    """
+    return stored(docs.select(row_id().alias("_row"), F.struct("*").alias("_doc")), "numbered")
+
+
 def row_id():
     """A number for each row, fixed once the table is stored; doc_id may be null or repeated."""
     return F.monotonically_increasing_id()

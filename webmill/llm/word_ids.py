@@ -5,6 +5,7 @@ once by a function given by the caller and kept in a bounded cache of the Python
 """
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ def library_ids(path):
             out[i], start = raw[start:stop], stop
         rest = [i for i, o in enumerate(out) if o is None]
         for i, e in zip(rest, tokenizer(path).encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32).tobytes()
+            out[i] = array("I", e.ids).tobytes()
         return out
     return encode
 
