@@ -47,6 +47,21 @@ def test_metrics_stream_is_idempotent_and_keeps_order(spark):
     assert spark.read.parquet(base).count() == 1
 
 
+def test_no_billed_row_is_lost_however_late(spark):
+    schema = "customer_id string, ts timestamp, endpoint string, outcome string"
+    day = lambda n, s=0: T0 + timedelta(days=n, seconds=s)
+    first = [("a", day(40), "render", "miss"), ("a", day(40, 9), "render", "hit"), (None, day(40), "render", "miss"), ("b", day(1), "render", "miss")]
+    late = [("a", day(0), "render", "miss"), ("a", day(40, 5), "render", "miss"), ("b", day(1, 1), "proxy", "miss"), ("b", day(1, 2), "render", "miss")]
+    path, check = work_dir(spark, "usage"), work_dir(spark, "check")
+    stream = batches(spark, [spark.createDataFrame(rows, schema) for rows in (first, late)], "billed")
+    for _ in range(2):  # the second start finds nothing new
+        jobs.usage_sink(stream, path, check).awaitTermination()
+    want = {("a", "2024-02", 2), ("a", "2024-01", 1), ("b", "2024-01", 2)}
+    assert {tuple(r) for r in jobs.usage_months(spark, path).collect()} == want
+    jobs.usage_days(spark.createDataFrame(late, schema)).write.mode("overwrite").parquet(f"{path}/batch_id=1")  # a batch that runs again
+    assert {tuple(r) for r in jobs.usage_months(spark, path).collect()} == want
+
+
 def flight_by_hand(rows):
     out, marker = {}, {}
     for i, ts, key, latency in sorted(rows, key=lambda r: (r[1], r[0])):

@@ -63,6 +63,7 @@ def carried(df, key, order, value, out, at_us, segment_s=300, largest=False, mos
     the table is spread over all tasks, also if they fall into one segment. ``order`` begins with the time ``at_us`` counts.
     Rows without a key are nobody's followers and get no value.
     """
+    df = cut_lineage(df)  # read once to be counted, once for the totals and once for the answer
     laid = lanes_of(df.filter(F.col(key).isNotNull()), key, at_us, segment_s, most)
     lane, known = [key, "_seg", "_sub"], F.col(value).isNotNull()
     total = F.max(value) if largest else F.max_by(F.when(known, F.col(value)), F.when(known, F.struct(*order)))

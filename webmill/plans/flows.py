@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from webmill.functions import text, urls
 from webmill.operators import access, cache, crawl, pages as page_ops, report, seeds, traffic
-from webmill.session import cut_lineage
 
 
 def token_savings_by_section(pages):
@@ -36,8 +35,7 @@ def serve_requests(req, config, writes, **cache_options):
     probe = F.when(passed, F.col("url_key")).otherwise(F.concat(F.lit("refused:"), F.col("request_id").cast("string")))
     carry = ["customer_id", "http_status", "error_code", "is_ai"]
     narrow = traffic.flag_ai_agents(judged).select("request_id", "ts", *carry, probe.alias("url_key"))
-    # the lookup reads its input more than once, the joins above run once
-    found = cache.cache_lookup(cut_lineage(narrow), writes, carry=carry, **cache_options)
+    found = cache.cache_lookup(narrow, writes, carry=carry, **cache_options)
     return found.select("request_id", *carry, F.when(passed, F.col("cache_status")).alias("cache_status"))
 
 

@@ -544,7 +544,7 @@ def t2_metrics_stream(d):
 def t3_usage_stream(d):
     r = as_stream(d.endpoint_requests().select("customer_id", "ts", "endpoint", "outcome"), "requests")
     path = work_dir(d.spark, "t3")
-    finish(jobs.usage_sink(jobs.usage_stream(r), path, work_dir(d.spark, "check")))
+    finish(jobs.usage_sink(r, path, work_dir(d.spark, "check")))
     return jobs.usage_months(d.spark, path)
 
 

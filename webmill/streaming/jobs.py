@@ -19,33 +19,28 @@ def metrics_stream(events, path, checkpoint, trigger=None):
         .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def usage_stream(req, ts="ts", late="1 day"):
-    """Billed extractions per customer and day; months are sums of days, see ``usage_months``."""
+def usage_days(req, ts="ts"):
+    """Billed extractions per customer and day, of the rows of one batch."""
     billed = (F.col("endpoint") == "render") & (F.col("outcome") == "miss") & F.col("customer_id").isNotNull()
-    return (
-        req.filter(billed).withWatermark(ts, late)
-        .groupBy("customer_id", F.window(ts, "1 day").alias("day"))
-        .agg(F.count(F.lit(1)).alias("renders"))
-        .select("customer_id", F.col("day.start").alias("day"), "renders"))
+    return req.filter(billed).groupBy("customer_id", F.date_trunc("day", ts).alias("day")).agg(F.count(F.lit(1)).alias("renders"))
+
 
+def usage_sink(req, path, checkpoint, ts="ts", trigger=None):
+    """Count what each batch adds to every day, one folder per batch; a batch that runs again replaces its own.
 
-def usage_sink(usage, path, checkpoint, trigger=None):
-    """Update-mode sink: one folder per batch with the new totals of the changed days."""
+    Counts add up, so no state and no watermark are needed and a row may come as late as it likes.
+    """
     def write(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-            f"{path}/batch_id={batch_id}")
+        usage_days(batch, ts).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return (
-        usage.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
+        req.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def usage_months(spark, path):
-    """Months from the day totals: the newest total of each day counts."""
-    days = spark.read.schema("customer_id STRING, day TIMESTAMP, renders LONG, batch LONG").parquet(path)
-    newest = days.groupBy("customer_id", "day").agg(F.max_by("renders", "batch").alias("renders"))
-    return newest.groupBy("customer_id", F.date_format("day", "yyyy-MM").alias("month")).agg(
-        F.sum("renders").alias("renders"))
+    """Months: the sum of what the batches added."""
+    days = spark.read.schema("customer_id STRING, day TIMESTAMP, renders LONG").parquet(path)
+    return days.groupBy("customer_id", F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("renders").alias("renders"))
 
 
 def alert_stream(req, rules=None, extractor=None, ts="ts", late="5 minutes"):
