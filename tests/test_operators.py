@@ -14,7 +14,7 @@ from webmill.operators import (
 )
 from webmill.plans import flows
 from webmill.plans.derived import spread
-from webmill.sources import readers, sinks
+from webmill.sources import readers, sinks, versions
 from webmill.session import work_dir
 
 T0 = datetime(2024, 1, 1)
@@ -279,10 +279,34 @@ def test_snapshot_replacement_keeps_others(spark):
     sinks.replace_snapshot(spark, spark.createDataFrame([("c", "d1", 0, "u1"), ("c", "d2", 0, "u2")], schema), path, "2024-01-01", buckets=2)
     for _ in range(2):
         sinks.replace_snapshot(spark, spark.createDataFrame([("c", "d1", 1, "u3"), ("c", "d1", 0, "u4")], schema), path, "2024-01-02", buckets=2)
-    rows = {r.domain_id: (r.urls, str(r.created_at)[:10]) for r in spark.read.parquet(path).collect()}
+    rows = {r.domain_id: (r.urls, str(r.created_at)[:10]) for r in sinks.read_snapshots(spark, path).collect()}
     assert rows == {"d1": (["u4", "u3"], "2024-01-01"), "d2": (["u2"], "2024-01-01")}
 
 
+def test_a_write_that_stops_before_its_commit_changes_nothing(spark, monkeypatch):
+    schema = "customer_id string, domain_id string, ordinal int, url string"
+    path = work_dir(spark, "snapshots")
+    put = lambda rows, day: sinks.replace_snapshot(spark, spark.createDataFrame(rows, schema), path, day, buckets=4)
+    listed = lambda version=None: {(r.domain_id, *r.urls) for r in sinks.read_snapshots(spark, path, version).collect()}
+    assert listed() == set()
+    put([("c", f"d{i}", 0, f"u{i}") for i in range(9)], "2024-01-01")
+    first = listed()
+    with monkeypatch.context() as m:
+        m.setattr(versions, "commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            put([("c", "d1", 0, "new")], "2024-01-02")
+    assert listed() == first and versions.versions(spark, path) == [1]
+    put([("c", "d1", 0, "new")], "2024-01-03")
+    assert listed() == first - {("d1", "u1")} | {("d1", "new")} and listed(1) == first
+    with pytest.raises(ValueError, match=versions.TAKEN):  # a writer that began from version 1 as well
+        versions.commit(spark, path, {}, 2)
+    put([("c", "d2", 0, "newer")], "2024-01-04")
+    now = listed()
+    versions.retire(spark, path, keep=1)
+    assert versions.versions(spark, path) == [3] and listed() == now and len(now) == 9
+
+
+
 def test_log_quarantine(spark):
     path = work_dir(spark, "log")
     lines = ['{"requestId":"1","timestamp":"2024-01-01T00:00:00.000Z","status":200,"logs":[{"level":"error"}]}', '{"requestId":"2",']

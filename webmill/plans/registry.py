@@ -155,7 +155,7 @@ def s9_replace_snapshot(d):
     sinks.replace_snapshot(d.spark, found, path, "2024-01-01 00:00:00")
     verified = d.domains().filter("verified").select(F.col("id").alias("domain_id"))
     sinks.replace_snapshot(d.spark, found.join(verified, "domain_id"), path, "2024-01-02 00:00:00")
-    snap = d.spark.read.parquet(path)
+    snap = sinks.read_snapshots(d.spark, path)
     listed = sinks.snapshot_urls(snap)
     return listed.join(
         snap.select("domain_id", seconds(F.col("fetched_at"), "fetched_s"), seconds(F.col("created_at"), "created_s")),

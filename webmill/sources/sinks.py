@@ -1,12 +1,12 @@
 """Sinks: append logs, keyed replacement and versioned change sets."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from webmill import lists, schemas
 from webmill.functions import text
 from webmill.operators.report import split_valid_metrics, upsert
 from webmill.session import cut_lineage
+from webmill.sources import versions
 
 
 def content_rows(df, md_ttl=lists.TTL_MARKDOWN_S, html_ttl=lists.TTL_HTML_S, tokens_ttl=lists.TTL_TOKENS_S):
@@ -106,34 +106,30 @@ def snapshot_rows(candidates, fetched_at):
         F.lit(fetched_at).cast("timestamp").alias("created_at"))
 
 
-SNAPSHOTS = StructType([*schemas.MAP_SNAPSHOTS.fields, StructField("bucket", IntegerType())])
-
-
-def _exists(spark, path):
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-
-
 def replace_snapshot(spark, candidates, path, fetched_at, buckets=64):
-    """Replace the snapshots of the given (customer, domain) pairs, keep all others.
+    """Replace the snapshots of the given (customer, domain) pairs, keep all others, as a new version of the table.
 
-    Only the buckets of the new rows are rewritten. A site without any URL has
-    no candidate rows, so its old snapshot stays.
+    Only the buckets of the new rows are read and written anew; what fails before the commit leaves the old version. A site
+    without any URL has no candidate rows, so its old snapshot stays.
     """
     keys = ["customer_id", "domain_id"]
+    before = versions.versions(spark, path)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    new = snapshot_rows(candidates, fetched_at).withColumn("bucket", bucket)
-    if not _exists(spark, path):
-        merged = new
-    else:
-        old = spark.read.schema(SNAPSHOTS).parquet(path)
-        touched = old.join(new.select("bucket").distinct(), "bucket", "left_semi")
-        made = old.select(*keys, F.col("created_at").alias("_made"))
-        kept = touched.join(new.select(*keys), keys, "left_anti")
-        dated = new.join(made, keys, "left").withColumn("created_at", F.coalesce("_made", "created_at")).drop("_made")
-        merged = cut_lineage(kept.unionByName(dated))
-    merged.repartition(buckets, "bucket").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    new = cut_lineage(snapshot_rows(candidates, fetched_at).withColumn("bucket", bucket))
+    touched = {str(r.bucket) for r in new.select("bucket").distinct().collect()}  # at most ``buckets``
+    old = versions.read(spark, path, schemas.MAP_SNAPSHOTS, only=touched).withColumn("bucket", bucket)
+    made = old.select(*keys, F.col("created_at").alias("_made"))
+    dated = new.join(made, keys, "left").withColumn("created_at", F.coalesce("_made", "created_at")).drop("_made")
+    folder = versions.new_folder()
+    kept = old.join(new.select(*keys), keys, "left_anti")
+    kept.unionByName(dated).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    parts = {**versions.folders(spark, path), **{b: f"{folder}/bucket={b}" for b in touched}}
+    versions.commit(spark, path, parts, before[-1] + 1 if before else 1)
+
+
+def read_snapshots(spark, path, version=None):
+    """The newest version of the snapshots, or an older one that is not retired."""
+    return versions.read(spark, path, schemas.MAP_SNAPSHOTS, version)
 
 
 def snapshot_urls(snapshots):
