@@ -125,7 +125,7 @@ def test_url_rules_equal_brute_force(spark):
     rng = random.Random(4)
     urls = [(i, f"http://{rng.choice(['www', 'm'])}.{rng.choice(['a', 'b', 'example'])}.{rng.choice(['org', 'net'])}/{rng.choice(['es', 'en', 'de'])}/{rng.randint(1, 2)}?{rng.choice(['q', 'id'])}=1") for i in range(600)]
     pages = spark.createDataFrame(urls, "page_id long, url string").repartition(3)
-    rows = url_rules.judge(pages, RULES, support=0.02, confidence=0.7).collect()
+    rows = url_rules.judge(pages, RULES, support=0.02, confidence=0.7, longest=2, most=20).collect()
     split = {i: hand_tokens(u) for i, u in urls}
     ruled = {r.page_id: r.verdict for r in rows if r.rule}
     seen, with_ = Counter(), Counter()
@@ -156,7 +156,7 @@ def test_url_rules_of_any_length_equal_brute_force(spark):
     path = lambda: "/".join(rng.choice("ab") for _ in range(rng.randint(1, 5)))
     urls = [(i, f"http://{rng.choice(['u', 'w'])}.x.{rng.choice(['k', 'l'])}.example.{rng.choice(['org', 'net'])}/{rng.choice(['es', 'en', 'de'])}/{path()}?{rng.choice('ef')}=5") for i in range(300)]
     rules = (("allow", "org", "/"), ("block", "example.org", "/es/a/b/a"), ("block", "u.x.k.example.org", "/en/"), ("block", "w.x.l.example.org", "/de/b/"))
-    rows = url_rules.judge(spark.createDataFrame(urls, "page_id long, url string").repartition(3), rules, support=0.03, longest=None).collect()
+    rows = url_rules.judge(spark.createDataFrame(urls, "page_id long, url string").repartition(3), rules, support=0.03, longest=None, most=20).collect()
     split = {i: hand_tokens(u) for i, u in urls}
     ruled = {r.page_id: r.verdict for r in rows if r.rule}
     seen, with_ = Counter(), Counter()
@@ -195,6 +195,18 @@ def test_url_rules_of_hosts_below_the_share(spark, monkeypatch):
     assert sorted(url_rules.judge(pages, rules, most=5).select(*rows[0].__fields__).collect()) == sorted(rows)
 
 
+def test_url_rules_of_many_shared_parameters(spark):
+    """Thirty parameters that always come together are one item; each of them alone still fulfils the rules."""
+    names = "&".join(f"k{i:02}=1" for i in range(30))
+    rules = (("allow", "org", "/"), ("block", "org", "/bad/x"))
+    urls = [f"http://a.org/{p}/{q}{'?' + names if many else ''}" for p, q, many in
+            [("bad", "x", True)] * 20 + [("bad", "y", False)] * 20 + [("good", "x", True)] * 20]
+    urls += ["http://a.net/bad/z?k07=1", "http://a.net/bad/z", "http://a.net/good/z?k07=1&k08=1", "http://a.net/z?k07=1"]
+    rows = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3), rules).collect()
+    assert {r.page_id: r.verdict for r in rows if not r.rule} == {60: "block", 61: "allow", 62: "allow", 63: "allow"}
+    assert {r.page_id: r.block_confidence for r in rows if r.page_id in (60, 61)} == {60: 1.0, 61: None}
+
+
 def test_url_rules_of_nothing(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), RULES).collect() == []
 

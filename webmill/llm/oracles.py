@@ -67,9 +67,9 @@ WITH RECURSIVE remainders AS (
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (nth - min(nth) OVER (PARTITION BY shard))::BIGINT AS slot,
        NULL::INTEGER AS grown_shard
 FROM cut""",
-    # rules of at most two tokens are counted directly instead of mined
+    # rules of any length are counted over all subsets of a URL's tokens instead of mined
     "op2_url_rules": r"""
-WITH cut AS (
+WITH RECURSIVE cut AS (
     SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
 ), hosts AS (
     SELECT page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS h, coalesce(rest, '') AS rest FROM cut
@@ -87,27 +87,28 @@ WITH cut AS (
     FROM paths LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
     GROUP BY ALL
 ), parts AS (
-    SELECT page_id, 'h' || (i - 1) || ':' AS k, list_reverse(string_split(host, '.'))[i] AS v FROM ruled, range(1, 5) r(i)
+    SELECT page_id, 'h' || generate_subscripts(v, 1) - 1 || ':' AS k, unnest(v) AS v FROM (SELECT page_id, list_reverse(string_split(host, '.')) AS v FROM ruled)
     UNION
-    SELECT page_id, 'p' || (i - 1) || ':', list_filter(string_split(path, '/'), lambda x: x <> '')[i] FROM ruled, range(1, 4) r(i)
+    SELECT page_id, 'p' || generate_subscripts(v, 1) - 1 || ':', unnest(v) FROM (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS v FROM ruled)
     UNION
-    SELECT page_id, 'q:', string_split(list_filter(string_split(query, '&'), lambda x: x <> '')[i], '=')[1] FROM ruled, range(1, 5) r(i)
+    SELECT page_id, 'q:', string_split(unnest(list_filter(string_split(query, '&'), lambda x: x <> '')), '=')[1] FROM ruled
 ), tokens AS (
-    SELECT DISTINCT page_id, k || v AS t FROM parts WHERE v IS NOT NULL AND (v <> '' OR k = 'q:')
+    SELECT page_id, t, row_number() OVER (PARTITION BY page_id ORDER BY t) AS i
+    FROM (SELECT DISTINCT page_id, k || v AS t FROM parts WHERE v IS NOT NULL AND (v <> '' OR k = 'q:'))
 ), sets AS (
-    SELECT page_id, t AS a, t AS b FROM tokens
+    SELECT page_id, i, [t] AS held FROM tokens
     UNION ALL
-    SELECT x.page_id, x.t, y.t FROM tokens x JOIN tokens y ON x.page_id = y.page_id AND x.t < y.t
+    SELECT s.page_id, t.i, list_append(s.held, t.t) FROM sets s JOIN tokens t ON t.page_id = s.page_id AND t.i > s.i
 ), mined AS (
-    SELECT a, b, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY a, b) AS seen
-    FROM sets JOIN ruled USING (page_id) WHERE kind IS NOT NULL GROUP BY a, b, kind
+    SELECT held, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY held) AS seen
+    FROM sets JOIN ruled USING (page_id) WHERE kind IS NOT NULL GROUP BY held, kind
 ), kept AS (
-    SELECT a, b, kind, n / seen AS confidence FROM mined
-    WHERE n >= ceil(0.01 * (SELECT count(*) FROM ruled WHERE kind IS NOT NULL)) AND n / seen >= 0.8
+    SELECT held, kind, n / seen AS confidence FROM mined
+    WHERE n >= least(ceil(0.01 * (SELECT count(*) FROM ruled WHERE kind IS NOT NULL)), 5) AND n / seen >= 0.8
 ), fired AS (
     SELECT page_id, max(confidence) FILTER (kept.kind = 'block') AS block_confidence,
            max(confidence) FILTER (kept.kind = 'allow') AS allow_confidence
-    FROM sets JOIN kept USING (a, b) GROUP BY page_id
+    FROM sets JOIN kept USING (held) GROUP BY page_id
 )
 SELECT page_id, host, path, rule,
        coalesce(kind, CASE WHEN coalesce(block_confidence, 0) > coalesce(allow_confidence, 0) THEN 'block' ELSE 'allow' END) AS verdict,

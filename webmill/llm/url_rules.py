@@ -6,15 +6,21 @@ tokens of a URL (all labels of its host and all path segments by place, all para
 most confident block rule it fulfils beats its most confident allow rule, and allowed otherwise. Rules are found by an
 inverted index from their rarest token, so a URL only meets rules that share it.
 
-Rules have any length (``longest=None``) or at most ``longest`` tokens. Only the highest confidence of a URL counts, so
-a rule that a shorter one of the same confidence implies is not looked for: nothing is added to tokens that all have one
-verdict, nor a token that all URLs of a set hold. Equal baskets are counted once; each frequent token gets the more
-frequent tokens of its baskets, and the sets in which it is the rarest are grown in one task from their distinct rests.
-The work is thus bounded by the sets of mixed verdict that reach the support, not by the length of URLs.
+Spark's FP-growth mines the baskets: the tokens and the verdict are items, and rules whose consequent is a verdict are
+kept. Only the highest confidence of a URL counts, so three reductions lose nothing. A token that all its URLs hold under
+one verdict gives a rule of its own and no part of a longer one. Tokens that the same labelled URLs hold are one item,
+for which any of them stands in a URL to be judged; so parameters that always come together cost as much as one. Tokens
+that every labelled URL holds are in no longer rule. Of the mined rules those go that a shorter one of the same verdict
+and at least their confidence implies.
+
+Work: FP-growth lists all frequent item sets, so a basket of k items that are frequent in all combinations costs 2^k
+sets. Many URLs that share dozens of parameters, each without a few others, are such a case; ``longest`` doesn't help,
+since Spark's FP-growth has no bound of length and longer rules are dropped after mining. Its frequent items are collected
+to the driver: the tokens of mixed verdict, at most the token occurrences divided by the support.
 
 A rule needs a share ``support`` of all labelled URLs, but never more than ``most`` of them, so hosts of a large crawl
 get rules as those of a small one do. The number of rules grows with the hosts: an index of up to ``SENT`` rules is sent
-to every task, a larger one is joined to the tokens of the URLs by a shuffle.
+to every task if its antecedents hold at most ``SENT_BYTES``, a larger one is joined to the tokens of the URLs by a shuffle.
 
 Cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; null labels are not
 mined; repeated rows count and get a row each; an empty table gives no rows; extra columns are ignored.
@@ -23,15 +29,17 @@ mined; repeated rows count and get a row each; an empty table gives no rows; ext
 import math
 
 import pyarrow as pa
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
-from webmill.llm.texts import row_id, sent_whole, stored
+from webmill.llm.texts import row_id, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERDICTS = "allow", "block"
-RULE = "antecedent array<string>, verdict string, confidence double, n long"
-#: Rules or frequent tokens sent to every task; more are shuffled.
-SENT = 50_000
+#: Marks the item of a basket that is its verdict; no token starts with it.
+VERDICT = "="
+#: Rules sent to every task, and the bytes of their tokens; more are shuffled.
+SENT, SENT_BYTES = 50_000, 8 << 20
 
 
 def split_url(pages, url="url"):
@@ -64,72 +72,61 @@ def tokens():
     return F.array_distinct(F.concat(F.filter(labels, lambda x: ~x.endswith(":")), segments, names))
 
 
-def grown(key, rows, least, confidence, longest):
-    """Rules of two tokens or more in which ``key`` is the rarest, from rows (more frequent tokens, allow, block).
+def mixed_baskets(labelled, frequent):
+    """Baskets of the frequent tokens of mixed verdict, and the item that stands for each of them.
 
-    A set is extended only by more frequent tokens, so it is met once.
+    Tokens that the same baskets hold become one item, named by the smallest of them; tokens that all baskets hold are
+    left out. Both are told by two sums of row hashes, so no token's rows are gathered.
     """
-    def better(counts, best):
-        shares = [n / sum(counts) for n in counts]
-        return shares, [max(s, b) if n >= least and s >= confidence else b for s, b, n in zip(shares, best, counts)]
-
-    total = [sum(r[i] for r in rows) for i in (1, 2)]
-    todo = [((key,), rows, sum(total), better(total, [0.0, 0.0])[1])]
-    while todo:
-        base, rows, seen, best = todo.pop()
-        counts = {}
-        for items, *n in rows:
-            for item in items:
-                own = counts.setdefault(item, [0, 0])
-                own[0] += n[0]
-                own[1] += n[1]
-        counts = {t: n for t, n in counts.items() if max(n) >= least and sum(n) < seen}
-        for item, n in counts.items():
-            shares, most = better(n, best)
-            for v, verdict in enumerate(VERDICTS):
-                if most[v] > best[v]:
-                    yield [*base, item], verdict, shares[v], n[v]
-            if min(n) and (longest is None or len(base) + 1 < longest):
-                rests = {}
-                for items, *m in rows:
-                    if item in items:
-                        rest = tuple(t for t in items[:items.index(item)] if t in counts)
-                        own = rests.setdefault(rest, [0, 0])
-                        own[0] += m[0]
-                        own[1] += m[1]
-                todo.append(((*base, item), [(r, *m) for r, m in rests.items()], sum(n), most))
-
-
-def mine(labelled, support=0.01, confidence=0.8, longest=2, most=20):
-    """Rules (antecedent with its rarest token first, verdict, confidence, n) from rows (tokens, ruled)."""
+    rows = stored(labelled.select(row_id().alias("_row"), "tokens", "ruled"), "labelled")
+    total = rows.count()
+    mark = lambda salt: F.sum(F.xxhash64("_row", F.lit(salt)).cast("decimal(38,0)"))
+    held = rows.select("_row", F.explode("tokens").alias("token")).join(frequent, "token")
+    marks = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), mark(1).alias("m1"), mark(2).alias("m2"))
+    first = marks.filter(F.col("n") < total).groupBy("n", "m1", "m2").agg(F.min("token").alias("item"))
+    items = stored(marks.join(first, ["n", "m1", "m2"]).select("token", "item"), "items")
+    own = rows.select("_row", F.explode("tokens").alias("token")).join(items, "token").groupBy("_row").agg(F.collect_set("item").alias("items"))
+    baskets = own.join(rows.select("_row", "ruled"), "_row").select(F.concat("items", F.array(F.concat(F.lit(VERDICT), "ruled"))).alias("items"))
+    return baskets, items
+
+
+def mine(labelled, support=0.01, confidence=0.8, longest=None, most=5):
+    """(rules, items): rules (antecedent of items, verdict, confidence, n) from rows (tokens, ruled); items (token, item)."""
+    labelled = labelled.filter("ruled IS NOT NULL")
     by_verdict = [F.count(F.when(F.col("ruled") == v, 1)).alias(v) for v in VERDICTS]
-    summed = [F.sum(v).alias(v) for v in VERDICTS]
-    baskets = labelled.filter("ruled IS NOT NULL").groupBy(F.array_sort("tokens").alias("items")).agg(*by_verdict)
-    baskets = stored(baskets.withColumn("_row", row_id()), "baskets")
-    total = baskets.agg(F.sum(F.col("allow") + F.col("block"))).first()[0] or 0
+    total = labelled.count()
     least = max(min(math.ceil(support * total), most), 1)
-    each = baskets.select("_row", *VERDICTS, F.explode("items").alias("item"))
     seen = F.col("allow") + F.col("block")
-    frequent = stored(each.groupBy("item").agg(*summed).filter(F.greatest(*VERDICTS) >= least), "tokens")
-    single = frequent.select(F.array("item").alias("antecedent"), F.explode(F.array(*(
+    each = labelled.select("ruled", F.explode("tokens").alias("token"))
+    frequent = stored(each.groupBy("token").agg(*by_verdict).filter(F.greatest(*VERDICTS) >= least), "tokens")
+    single = frequent.select(F.array("token").alias("antecedent"), F.explode(F.array(*(
         F.struct(F.lit(v).alias("verdict"), (F.col(v) / seen).alias("confidence"), F.col(v).alias("n")) for v in VERDICTS))).alias("r"))
     single = single.select("antecedent", "r.*").filter((F.col("n") >= least) & (F.col("confidence") >= confidence))
+    baskets, items = mixed_baskets(labelled, frequent.filter("allow > 0 AND block > 0").select("token"))
     if longest == 1:
-        return single
-    mixed = frequent.filter("allow > 0 AND block > 0").select("item", (-seen).alias("rank"))
-    held = each.join(sent_whole(mixed, mixed.count(), SENT), "item").groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "item"))).getField("item").alias("items"), *(F.first(v).alias(v) for v in VERDICTS))
-    rests = held.groupBy("items").agg(*summed).select(*VERDICTS, F.explode(F.transform("items", lambda x, i: F.struct(
-        x.alias("key"), F.slice("items", F.lit(1), i).alias("rest")))).alias("k"))
-    rests = rests.groupBy("k.key", "k.rest").agg(*summed)
-
-    def run(key, table):
-        rows = [(tuple(r), a, b) for r, a, b in zip(*(table[c].to_pylist() for c in ("rest", *VERDICTS)))]
-        found = list(grown(key[0].as_py(), rows, least, confidence, longest))
-        columns = zip(*found) if found else ([], [], [], [])
-        types = pa.list_(pa.string()), pa.string(), pa.float64(), pa.int64()
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["antecedent", "verdict", "confidence", "n"])
-    return single.unionByName(rests.groupBy("key").applyInArrow(run, RULE))
+        return single, items
+    baskets = stored(baskets, "baskets")
+    n = baskets.count()
+    if not n:
+        return single, items
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=confidence).fit(baskets)
+    found = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit(VERDICT)) & (F.size("antecedent") > 1))
+    if longest is not None:
+        found = found.filter(F.size("antecedent") <= longest)
+    found = found.select("antecedent", F.substr(F.col("consequent")[0], F.lit(len(VERDICT) + 1)).alias("verdict"), "confidence", F.round(F.col("support") * n).cast("long").alias("n"))
+    return single.unionByName(improving(stored(found, "mined"), single)), items
+
+
+def improving(found, single):
+    """Rules of two items or more without those that a rule with one or all but one of their items makes idle."""
+    keyed = found.withColumn("_key", F.array_sort("antecedent"))
+    known = keyed.select("_key", "verdict", F.col("confidence").alias("_c")).union(single.select("antecedent", "verdict", "confidence"))
+    known = known.groupBy("_key", "verdict").agg(F.max("_c").alias("_c"))
+    alone = F.transform("_key", lambda x: F.array(x))
+    rests = F.transform("_key", lambda x: F.array_remove("_key", x))
+    parts = keyed.select(F.col("_key").alias("_whole"), "verdict", "confidence", F.explode(F.array_union(alone, rests)).alias("_key"))
+    idle = parts.join(known, ["_key", "verdict"]).filter(F.col("_c") >= F.col("confidence")).select(F.col("_whole").alias("_key"), "verdict").distinct()
+    return keyed.join(idle, ["_key", "verdict"], "left_anti").select("antecedent", "verdict", "confidence", "n")
 
 
 def index_of(rules):
@@ -170,20 +167,34 @@ def matched(pages, index):
 
 
 def joined(pages, rules):
-    """Like ``matched``, by a join of the tokens with the rarest tokens of the rules."""
+    """Like ``matched``, by a join of the tokens with the tokens of each rule that fewest rules hold."""
     pages = stored(pages.withColumn("_row", row_id()), "urls")
-    rules = rules.select(F.col("antecedent")[0].alias("token"), "antecedent", F.col("verdict").alias("_verdict"), "confidence")
+    each = rules.select("antecedent", F.explode("antecedent").alias("token")).distinct()
+    rarest = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token").groupBy("antecedent").agg(
+        F.min(F.struct("n", "token"))["token"].alias("token"))
+    rules = rules.join(rarest, "antecedent").select("token", "antecedent", F.col("verdict").alias("_verdict"), "confidence")
     each = pages.select("_row", F.col("tokens").alias("_held"), F.explode("tokens").alias("token"))
     best = each.join(rules, "token").filter(F.size(F.array_except("antecedent", "_held")) == 0).groupBy("_row").agg(*(
         F.max(F.when(F.col("_verdict") == v, F.col("confidence"))).alias(f"{v}_confidence") for v in ("block", "allow")))
     return pages.join(best, "_row", "left").drop("_row")
 
 
-def judge(pages, rules, support=0.01, confidence=0.8, longest=2, key="page_id", url="url", most=20):
+def with_items(pages, items):
+    """The tokens of each URL and the items for which they stand, in ``tokens``."""
+    pages = stored(pages.withColumn("_row", row_id()), "urls")
+    own = pages.select("_row", F.explode("tokens").alias("token")).join(items, "token").groupBy("_row").agg(F.collect_set("item").alias("_items"))
+    held = F.array_union("tokens", F.coalesce("_items", F.array().cast("array<string>")))
+    return pages.join(own, "_row", "left").withColumn("tokens", held).drop("_row", "_items")
+
+
+def judge(pages, rules, support=0.01, confidence=0.8, longest=None, key="page_id", url="url", most=5):
     """The key of each page with host, path, rule, the confidences of the mined rules and the verdict."""
     split = ruled(split_url(pages.select(key, url), url), rules).withColumn("tokens", tokens()).drop("query", url)
-    mined = stored(mine(split, support, confidence, longest, most), "rules")
-    out = matched(split, index_of(mined)) if mined.count() <= SENT else joined(split, mined)
+    mined, items = mine(split, support, confidence, longest, most)
+    mined = stored(mined, "rules")
+    n, size = mined.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.concat_ws("", "antecedent"))), F.lit(0))).first()
+    held = with_items(split, items.filter("token <> item"))
+    out = matched(held, index_of(mined)) if n <= SENT and size <= SENT_BYTES else joined(held, mined)
     block, allow = (F.coalesce(f"{v}_confidence", F.lit(0.0)) for v in ("block", "allow"))
     verdict = F.coalesce("ruled", F.when(block > allow, F.lit("block")).otherwise("allow"))
     return out.withColumn("verdict", verdict).drop("ruled", "tokens")
