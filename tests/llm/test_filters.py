@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -257,6 +258,57 @@ def test_swapped_terms_score_alike(spark):
     assert tied[0] < free[0] - 0.2 and tied[4] > 0.7
 
 
+def test_toxicity_fit_is_the_optimum_over_swapped_sentences(spark, monkeypatch):
+    """The loss over explicitly swapped sentences, in plain Python, has no slope at the fitted weights."""
+    docs, labels = biased(spark)
+    free = iter([i for i in range(5000, 5020) if zlib.crc32(str(i).encode()) % 5])  # not held out
+    extra = [(next(free), *e) for e in [("Hindus and christians, hindus! The gay man met a straight woman.\nJews", 1), ("hindus hindus jews. men", 0), ("", 0), (None, 0)]]
+    docs = docs.union(spark.createDataFrame([r[:2] for r in extra], docs.schema))
+    labels = labels.union(spark.createDataFrame([(i, t) for i, _, t in extra], labels.schema))
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit_weights", lambda x, y, rate, ridge, quad: seen.update(
+        found=fit(x, y, y.mean(), ridge, quad), shape=x.shape) or seen["found"])
+    model = toxicity.train(docs, labels, strength=0.5, ridge=0.06)
+    weights, intercept = dict(zip(model.words, model.weights.tolist())), model.intercept
+
+    def own(text):
+        found = set()
+        for w in re.findall(r"[^\W_]+", text.lower()):
+            found |= {w} | {w[:n] + "*" for n in (4, 5) if len(w) > n}
+        return found
+    label = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    score = lambda held: sum(weights.get(f, 0.0) for f in held)
+    slope, tilt = Counter({f: 0.06 * w for f, w in weights.items()}), 0.0
+    rows = [(r.text or "", label[r.doc_id]) for r in docs.dropDuplicates(["text"]).collect() if r.doc_id in label]
+    for text, y in rows:
+        miss = 1 / (1 + math.exp(-score(own(text)) - intercept)) - y
+        tilt += miss
+        for f in own(text):
+            slope[f] += miss
+        for sentence in re.split(r"[.!?\n]+", text.lower()):
+            tokens = re.findall(r"[^\W_]+", sentence)
+            for group in toxicity.IDENTITY_SETS:
+                for a in set(tokens) & set(group):
+                    for b in group:
+                        if a != b:
+                            new = own(" ".join(b if t == a else t for t in tokens))
+                            change = (score(new) - score(own(sentence))) * 0.5 / (len(group) - 1)
+                            for f in new - own(sentence):
+                                slope[f] += change
+                            for f in own(sentence) - new:
+                                slope[f] -= change
+    assert len(rows) == seen["shape"][0] and {"hindus", "christians", "jews", "gay", "vermin"} <= set(weights)
+    assert abs(tilt + 1e-6 * intercept) < 1e-3
+    assert max(abs(slope[f]) for f in weights) < 1e-3
+
+
+def test_swapped_sentences_lose_and_gain_features():
+    known = ["hindus", "jews", "men", "women", "road"]
+    sets = (("hindus", "jews"), ("men", "women"))
+    got = toxicity.swapped(pa.array(["Hindus on the road", "hindus and HINDUS, jews", "no one", "men"], pa.large_string()), known, sets)
+    assert got == Counter({((0,), (1,), 1): 1, ((0,), (), 1): 1, ((1,), (), 1): 1, ((2,), (3,), 1): 1})
+
+
 def test_classifiers_handle_odd_rows(spark, odd_docs, no_docs, no_labels):
     docs, labels = frames(spark)
     labels = labels.union(spark.createDataFrame([(None, 1, None), (5, None, 3), (6, 0, 1), (6, 1, 0)], "doc_id long, quality int, toxic int"))

@@ -1,10 +1,12 @@
 """Counterfactual-regularised toxicity classifier.
 
 A document's score is a logistic function of the words and word beginnings it holds. These are chosen by the
-log-likelihood ratio of their document counts in both classes. Identity terms are always features: every labelled sentence that names a group is
-read again with the term swapped for the other terms of its set, and the squared change of the score is penalised.
-So the terms of a set end up with nearly equal weights, and a group that toxic sentences mention often does not make
-neutral sentences about it toxic. Weights common to a whole set are kept down by the ridge.
+log-likelihood ratio of their document counts in both classes. Identity terms are always features: every labelled
+sentence that names a group is read again with the term swapped for each other term of its set, and the squared change of
+its score (in log-odds, the mean over the other terms) is penalised. So the terms of a set end up with nearly equal
+weights, and a group that toxic sentences mention often does not make neutral sentences about it toxic. A sentence that
+names both terms loses one feature and gains none. Weights common to a whole set are kept down by the ridge; so are the
+terms of a set that no labelled sentence names.
 
 The fit uses at most ``per_class`` labelled documents of each class, distinct texts only, and at most ``features``
 words; scoring covers whole texts of all documents.
@@ -14,7 +16,7 @@ score is near 0 or near 1 as the one class says, near 0 without labels; repeated
 are ignored by ``score`` and kept by ``without_toxic``.
 """
 
-from itertools import combinations
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -58,16 +60,26 @@ def features_of(words):
     return [words, *(pc.if_else(more, stem, pa.scalar(None, pa.large_string())) for more, stem in zip(longer, stems))]
 
 
+def numbers(vocab, known):
+    """Number in ``known`` of each feature of each distinct word, -1 for none."""
+    known = pa.array(known, pa.large_string())
+    return [pc.fill_null(pc.index_in(names, value_set=known), -1).to_numpy(zero_copy_only=False) for names in features_of(vocab)]
+
+
+def features_held(rows, codes, number, size):
+    """Sorted keys ``row * size + feature`` of the known features, each once, of words ``codes`` in ``rows``."""
+    size = max(size, 1)
+    keys = [np.zeros(0, np.int64)]
+    for own in number:
+        found = own[codes]
+        keys.append(rows[found >= 0] * size + found[found >= 0])
+    return np.unique(np.concatenate(keys))
+
+
 def held(words, known):
     """Row and number in ``known`` of the known features of each text, each once."""
-    size = max(len(known), 1)
-    keys = [np.zeros(0, np.int64)]
-    for names in features_of(words.vocab):
-        number = pc.fill_null(pc.index_in(names, value_set=pa.array(known, pa.large_string())), -1).to_numpy(zero_copy_only=False)
-        found = number[words.codes]
-        keys.append(words.rows[found >= 0] * size + found[found >= 0])
-    keys = np.unique(np.concatenate(keys))
-    return keys // size, keys % size
+    keys = features_held(words.rows, words.codes, numbers(words.vocab, known), len(known))
+    return np.divmod(keys, max(len(known), 1))
 
 
 def terms_of(sets):
@@ -99,33 +111,61 @@ def chosen_words(docs, features=256, least=4, ratio=16.0):
     return [r["word"] for r in best.collect()]
 
 
-def swaps(docs, sets):
-    """How many labelled sentences name each identity term: {term: sentences}; at most one row per term."""
+def swapped(sentences, known, sets):
+    """Counter of (features lost, features gained, number of other terms) over all swaps of a term in these sentences."""
+    words = words_in(sentences)
     terms = terms_of(sets)
+    place = dict(zip(words.vocab.to_pylist(), range(len(words.vocab))))
+    missing = [t for t in terms if t not in place]
+    place.update(zip(missing, range(len(words.vocab), len(words.vocab) + len(missing))))
+    number = numbers(pa.concat_arrays([words.vocab, pa.array(missing, words.vocab.type)]), known)
+    rows, size, out = words.rows, max(len(known), 1), Counter()
+    naming = np.isin(words.codes, [place[t] for t in terms])
+    kept = np.isin(rows, rows[naming])
+    rows, codes = rows[kept], words.codes[kept]
+    for group in sets:
+        for term in group:
+            own = np.isin(rows, rows[codes == place[term]])
+            at, before = rows[own], codes[own]
+            if not len(at):
+                continue
+            plain = features_held(at, before, number, size)
+            for other in group:
+                if other == term:
+                    continue
+                again = features_held(at, np.where(before == place[term], place[other], before), number, size)
+                sides = [{}, {}]
+                for side, keys in zip(sides, (np.setdiff1d(plain, again), np.setdiff1d(again, plain))):
+                    for row, feature in zip(*(k.tolist() for k in np.divmod(keys, size))):
+                        side[row] = (*side.get(row, ()), feature)
+                out.update((sides[0].get(r, ()), sides[1].get(r, ()), len(group) - 1) for r in sides[0].keys() | sides[1].keys())
+    return out
+
 
-    def mentions(batches):
-        total = np.zeros(len(terms), np.int64)
+def swaps(docs, known, sets):
+    """What swapping a term changes in the features of labelled sentences: (lost, gained, others, n).
+
+    Each sentence that names a term is read again with all its mentions of the term replaced by each other term of the
+    set. Only terms change, so there are at most two rows for each ordered pair of terms.
+    """
+    def changes(batches):
+        total = Counter()
         for batch in slices(batches):
-            sentences = pc.split_pattern_regex(whole(batch["text"]), SENTENCE_END).flatten()
-            _, number = held(words_in(sentences), terms)
-            total += per_row(number, len(terms))
-        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(total)], names=["term", "n"])
-    rows = docs.select("text").mapInArrow(mentions, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return {r["term"]: r["n"] for r in rows}
-
-
-def penalty(words, counts, sets, strength):
-    """Quadratic form of the mean squared score change when a named term is swapped for another of its set."""
-    place = {w: i for i, w in enumerate(words)}
-    out = np.zeros((len(words), len(words)))
-    for group in sets:
-        for a, b in combinations([t for t in group if t in place], 2):
-            weight = strength * (counts.get(a, 0) + counts.get(b, 0)) / max(len(group) - 1, 1)
-            i, j = place[a], place[b]
-            out[i, i] += weight
-            out[j, j] += weight
-            out[i, j] -= weight
-            out[j, i] -= weight
+            total += swapped(pc.split_pattern_regex(whole(batch["text"]), SENTENCE_END).flatten(), known, sets)
+        lost, gained, others = zip(*total) if total else ((), (), ())
+        kinds = pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((lost, gained, others, list(total.values())), kinds)], names=["lost", "gained", "others", "n"])
+    found = docs.select("text").mapInArrow(changes, "lost array<int>, gained array<int>, others int, n long")
+    return [tuple(r) for r in found.groupBy("lost", "gained", "others").agg(F.sum("n")).collect()]
+
+
+def penalty(size, changes, strength):
+    """Quadratic form of the squared score changes of swapped sentences, the mean over the other terms of the set."""
+    out = np.zeros((size, size))
+    for lost, gained, others, n in sorted(changes):
+        places = np.array([*lost, *gained])
+        signs = np.array([-1.0] * len(lost) + [1.0] * len(gained))
+        out[np.ix_(places, places)] += strength * n / others * np.outer(signs, signs)
     return out
 
 
@@ -134,9 +174,7 @@ def train(docs, labels, column="toxic", sets=IDENTITY_SETS, strength=1.0, per_cl
     sample, rate = sample_of(labels, column, per_class)
     docs = labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample)
     docs = stored(docs.groupBy(F.xxhash64("text").alias("_h")).agg(F.max_by("text", "label").alias("text"), F.max("label").alias("label")).select("text", "label"), "labelled")
-    named = swaps(docs, sets)
-    # a term that no labelled sentence names still takes part, or swapping would not change its weight
-    # and a beginning that terms share with it would escape the penalty
+    # a beginning that terms share with other words would change with each swap and be tied to them
     starts = {f"{t[:n]}*" for t in terms_of(sets) for n in STEMS}
     words = list(dict.fromkeys([*(w for w in chosen_words(docs, features) if w not in starts), *terms_of(sets)]))
 
@@ -145,12 +183,12 @@ def train(docs, labels, column="toxic", sets=IDENTITY_SETS, strength=1.0, per_cl
             at, number = held(words_in(whole(batch["text"])), words)
             cuts = np.concatenate([[0], np.cumsum(per_row(at, batch.num_rows))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["label"], pa.ListArray.from_arrays(pa.array(cuts), pa.array(number, pa.int32()))], names=["label", "held"])
-    data = docs.mapInArrow(rows, "label int, held array<int>").orderBy("label", "held").toPandas()
+    data = sorted(tuple(r) for r in docs.mapInArrow(rows, "label int, held array<int>").collect())
     x = np.zeros((len(data), len(words)), np.float32)
-    for i, own in enumerate(data["held"]):
-        x[i, np.asarray(own, np.int64)] = 1
-    counts = {t: named.get(t, 0) or 1 for t in terms_of(sets)}
-    weights, intercept = fit_weights(x, data["label"].to_numpy(np.float64), rate or 0.0, ridge, penalty(words, counts, sets, strength))
+    for i, (_, own) in enumerate(data):
+        x[i, own] = 1
+    y = np.array([label for label, _ in data], np.float64)
+    weights, intercept = fit_weights(x, y, rate or 0.0, ridge, penalty(len(words), swaps(docs, words, sets), strength))
     used = np.flatnonzero(np.abs(weights) > 1e-9)
     return Model([words[i] for i in used], weights[used], float(intercept))
 
