@@ -89,6 +89,25 @@ def test_white_space_never_changes_a_count(spark, seed):
         assert [i for w in encoder.encode(parts) for i in w] == ids(text)
 
 
+def test_runs_of_white_space_go_through_both_tiers(spark):
+    """Runs of any white space are cut into pieces; only one right before a special string sends its text whole."""
+    rng = random.Random(3)
+    marks = [" ", " ", "\n", "\t", "\r\n", "\x0b", "\x85", "\xa0", "\u2028", "\u3000", "\u200b", "\x1c", "a", "bc", "12", "!!", "'s", "é", "日"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 16))) for _ in range(3000)]
+    texts += ["a  <|endoftext|>  b", "\n\n<|endoftext|>", "a <|endoftext|>  ", " " * 70_000 + "a", "a" + "\n" * 70_000, "w" * 500 + "  " + "x" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for size in (32_768, 1):
+        got = {r[0]: r[2] for r in token_counts.count(df, BYTES, table_size=size).collect()}
+        assert got == {i: len(ids(t, BYTES)) for i, t in enumerate(texts)}
+    special = token_counts.before_special(BYTES)
+    assert [bool(special.search(t)) for t in texts[3000:3003]] == [True, True, False]
+
+
+def test_the_table_of_frequent_words_has_a_bound_in_bytes(spark):
+    df = spark.createDataFrame([(1, "w" * 5000 + " a b"), (2, "日" * 65 + " " + "日" * 64)], "doc_id long, text string")
+    assert set(token_counts.frequent(df, BYTES)) == {" a", " b", " " + "日" * 64}
+
+
 def test_no_documents(no_docs):
     assert plain(bpe_trie.digests(no_docs, WORDS)) == plain(token_counts.count(no_docs, BYTES)) == plain(packing.pack(packing.pieces(no_docs, WORDS))) == []
 
