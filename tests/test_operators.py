@@ -438,3 +438,34 @@ def test_secrets_in_errors_and_stacks(spark):
                                  "request_id long, msg string, err string, stack string, data string")
     none = spark.createDataFrame([], "key string, document string")
     assert sorted(r.ref for r in audits.secrets_audit(none, logs).collect()) == ["1", "2"]
+
+
+def test_crawl_replies_keep_every_reply(spark):
+    page = '{"markdown":"x","metadata":{"sourceURL":"https://a.com/","title":"t"}}'
+    rows = [
+        ("done", '{"status":"completed","total":2,"completed":2,"creditsUsed":1,"data":[%s,%s]}' % (page, page)),
+        ("late", '{"status":"completed","data":[],"expiresAt":"2024-01-01T00:00:00Z"}'),
+        ("runs", '{"status":"scraping","total":5,"expiresAt":"2024-01-01T01:00:00.000Z"}'),
+        ("edge", '{"status":"scraping","expiresAt":"2024-01-01T00:50:00Z"}'), ("odd", '{"status":"scraping","expiresAt":"soon"}'),
+        ("cut", '{"status":"completed","data":[%s' % page), ("none", None), ("empty", ""), ("list", "[1]"), ("bare", "{}"),
+        ("wrong", '{"status":"completed","total":"many"}')]
+    got = {r.id: tuple(r)[1:] for r in crawl.crawl_replies(spark.createDataFrame(rows, "id string, payload string"), "2024-01-01 00:50:00").collect()}
+    unread = ("unreadable", None, None, None, None, None)
+    assert got == {
+        "done": ("completed", 2, 2, 1, None, 2), "late": ("completed", 0, 0, 0, "2024-01-01T00:00:00Z", 0),
+        "runs": ("running", 5, 0, 0, "2024-01-01T01:00:00.000Z", None), "edge": ("expired", 0, 0, 0, "2024-01-01T00:50:00Z", None),
+        "odd": ("running", 0, 0, 0, "soon", None), "cut": unread, "none": unread, "empty": unread, "list": unread, "bare": unread, "wrong": unread}
+
+
+def test_crawl_jobs_end_an_hour_after_their_last_write(spark):
+    jobs = spark.createDataFrame(
+        [("new", at(0), None), ("old", at(-3600), None), ("edge", at(-3599), None), ("renewed", at(-9000), at(-60)), ("unknown", None, None)],
+        "id string, started_at timestamp, completed_at timestamp")
+    assert sorted(r.id for r in crawl.live_jobs(jobs, "2024-01-01 00:00:00").collect()) == ["edge", "new", "renewed"]
+
+
+def test_list_drift_lists_agents_that_nobody_uses(spark):
+    req = spark.createDataFrame([("Mozilla Bingbot/2",), ("bingbot bytespider",), ("GPTBot",), (None,)], "user_agent string")
+    got = traffic.list_drift(req, {"a": ["gptbot", "bytespider", "ccbot"], "b": ["gptbot", "bingbot"]}).collect()
+    assert sorted(map(tuple, got)) == [("bingbot", 2, False, True), ("bytespider", 1, True, False), ("ccbot", 0, True, False)]
+    assert traffic.list_drift(req, {"a": ["gptbot"], "b": ["gptbot"]}).collect() == []

@@ -6,6 +6,7 @@ pay no Python cost.
 
 from webmill import lists
 from webmill.functions import urls
+from webmill.schemas import CRAWL_RESULT
 
 
 def _let(name, value, body):
@@ -34,6 +35,16 @@ def _one_of(words):
     return "|".join(w.replace(".", "\\\\.") for w in words)
 
 
+#: Columns of a crawled page in SQL.
+CRAWL_PAGES = "ARRAY<STRUCT<url: STRING, title: STRING, markdown: STRING>>"
+
+
+def _crawl_pages():
+    parsed = f"from_json(payload, '{CRAWL_RESULT.simpleString()}')"
+    return _let("r", parsed, f"""CASE WHEN r.status = 'completed' THEN transform(r.data, x -> named_struct(
+        'url', x.metadata.sourceURL, 'title', x.metadata.title, 'markdown', x.markdown)) END""")
+
+
 def definitions():
     """Name and signature -> return type and body."""
     private = "|".join(lists.PRIVATE_HOSTS)
@@ -44,6 +55,7 @@ def definitions():
     return {
         "canonical_url(u STRING)": ("STRING", _canonical("p.host")),
         "seed_url(u STRING)": ("STRING", seed),
+        "crawl_pages(payload STRING)": (CRAWL_PAGES, _crawl_pages()),
         "bare_host(h STRING)": ("STRING", "regexp_replace(lower(h), '^www[.]', '')"),
         "url_key(canonical STRING)": ("STRING", f"sha2(concat('{lists.CANON_VERSION}:', canonical), 256)"),
         "is_ai_agent(ua STRING)": ("BOOLEAN", f"coalesce(lower(ua) RLIKE '{_one_of(lists.AI_AGENTS)}', false)"),

@@ -1,9 +1,11 @@
 """Operators over crawl results and their job records."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from webmill import lists
 from webmill.functions import urls
+from webmill.functions.text import once
 from webmill.operators.ranking import first_k
 from webmill.schemas import CRAWL_RESULT
 
@@ -30,6 +32,32 @@ def crawl_progress(df, json_col="payload"):
         F.col("_r.expiresAt").alias("expires_at"))
 
 
+def crawl_replies(df, as_of, json_col="payload"):
+    """Every reply with its state and counters, none left out, from one parse.
+
+    A reply that is absent, cut off or without a status is ``unreadable``. One that is not completed is ``expired`` from
+    its time of expiry on, else ``running``. Absent counters are 0; ``pages`` is null for a reply without results.
+    """
+    keep = [c for c in df.columns if c != json_col]
+    schema = StructType(CRAWL_RESULT.fields + [StructField("_bad", StringType())])
+    r = F.from_json(json_col, schema, {"columnNameOfCorruptRecord": "_bad"})
+    d = once(df, r, "r")
+    unread = F.col("r._bad").isNotNull() | F.col("r.status").isNull()
+    over = F.coalesce(F.try_to_timestamp("r.expiresAt") <= F.lit(as_of).cast("timestamp"), F.lit(False))
+    state = F.when(unread, "unreadable").when(F.col("r.status") == "completed", "completed").when(over, "expired").otherwise("running")
+    count = lambda name: F.when(~unread, F.coalesce(F.col(f"r.{name}"), F.lit(0)))
+    return d.select(
+        *keep, state.alias("state"), count("total").alias("total"), count("completed").alias("completed"),
+        count("creditsUsed").alias("credits_used"), F.when(~unread, F.col("r.expiresAt")).alias("expires_at"),
+        F.when(~unread & F.col("r.data").isNotNull(), F.size("r.data")).alias("pages"))
+
+
+def live_jobs(jobs, as_of, life=lists.TTL_CRAWL_JOB_S):
+    """Job records that still exist: ``life`` seconds from the start of the crawl, which a completion renews."""
+    written = F.greatest("started_at", "completed_at")
+    return jobs.filter(written + F.make_interval(secs=F.lit(life)) > F.lit(as_of).cast("timestamp"))
+
+
 def filter_crawl(pages, jobs):
     """Verdict of each crawled page against its job record.
 

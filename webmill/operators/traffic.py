@@ -108,6 +108,19 @@ def classifier_drift(req, agent_lists, ua="user_agent"):
     return flagged.filter(differ)
 
 
+def list_drift(req, agent_lists, ua="user_agent"):
+    """Agents that some of the lists lack, the lists that hold them, and the requests whose agent text names them."""
+    named = sorted({a for words in agent_lists.values() for a in words})
+    drift = [a for a in named if not all(a in words for words in agent_lists.values())]
+    agents = F.array(*[F.lit(a) for a in drift]) if drift else F.array().cast("array<string>")
+    counts = req.groupBy(F.lower(F.coalesce(F.col(ua), F.lit(""))).alias("_ua")).agg(F.count(F.lit(1)).alias("_n"))
+    hits = counts.select(F.explode(F.filter(agents, lambda a: F.col("_ua").contains(a))).alias("agent"), "_n")
+    # one row of no requests for each agent, so that those nobody uses are listed too
+    idle = req.sparkSession.range(1).select(F.explode(agents).alias("agent"), F.lit(0).cast("long").alias("_n"))
+    found = hits.unionByName(idle).groupBy("agent").agg(F.sum("_n").alias("requests"))
+    return found.withColumns({f"in_{name}": F.col("agent").isin(*words) for name, words in agent_lists.items()})
+
+
 def effective_agents(overrides, agents=None):
     """Default agents plus a customer's includes, minus the excluded ones."""
     default = F.array(*[F.lit(a) for a in (agents or lists.AI_AGENTS)])

@@ -460,4 +460,18 @@ class Derived:
             text("crawl_", c).alias("id"),
             text("cust_", F.when(c % 6 == 5, c + 1).otherwise(c)).alias("customer_id"),
             (F.lit(3) + c % 5 * 2).cast("int").alias("limit"), (c % 9 != 4).alias("cache_results"),
-            F.when(c % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("hosts")).alias("allowed_domains"))
+            F.when(c % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("hosts")).alias("allowed_domains"),
+            (F.lit(AS_OF).cast("timestamp") - F.make_interval(secs=c % 5 * 1200)).alias("started_at"),
+            F.when(c % 10 == 4, F.lit(AS_OF).cast("timestamp")).alias("completed_at"))
+
+    @shared
+    def crawl_polls(self):
+        """Six replies for each crawl: running, cut off, none, expired, running without a time, completed."""
+        reply = lambda status, **more: F.to_json(F.struct(F.lit(status).alias("status"), *(v.alias(k) for k, v in more.items())))
+        total = F.get_json_object("payload", "$.total").cast("int")
+        at = lambda day: F.lit(f"2024-01-0{day}T00:40:00.000Z")
+        polls = F.array(
+            reply("scraping", total=total, completed=total - 1, creditsUsed=total - 1, expiresAt=at(2)),
+            F.expr("left(payload, length(payload) - 1)"), F.lit(None).cast("string"),
+            reply("scraping", total=total, expiresAt=at(1)), reply("scraping"), F.col("payload"))
+        return self.crawl_payloads().select("crawl_id", F.posexplode(polls).alias("poll", "payload"))

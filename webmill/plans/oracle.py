@@ -355,6 +355,11 @@ step("c_judged", f"""SELECT p.crawl_id, p.ordinal, p.markdown, {canonical('full_
          WHEN coalesce(p.markdown, '') = '' THEN 'no_content'
          WHEN len(j.allowed) > 0 AND NOT list_contains(j.allowed, p.host) THEN 'off_domain' ELSE 'admitted' END AS verdict
     FROM c_crawlparts p LEFT JOIN c_jobs j ON j.id = p.crawl_id""")
+step("c_livejudged", f"""SELECT p.crawl_id, p.ordinal, {canonical('full_host')} AS canonical,
+    CASE WHEN j.id IS NULL THEN 'no_job' WHEN j.customer_id <> p.customer_id THEN 'not_owner' WHEN NOT j.cache_results THEN 'not_cached'
+         WHEN coalesce(p.markdown, '') = '' THEN 'no_content'
+         WHEN len(j.allowed) > 0 AND NOT list_contains(j.allowed, p.host) THEN 'off_domain' ELSE 'admitted' END AS verdict
+    FROM c_crawlparts p LEFT JOIN (SELECT * FROM c_jobs WHERE c % 5 * 1200 < 3600 OR c % 10 = 4) j ON j.id = p.crawl_id""")
 step("c_usage", f"""SELECT customer_id, strftime(ts, '%Y-%m') AS month, count(*) AS renders FROM c_req
     WHERE endpoint = 'render' AND outcome = 'miss' GROUP BY ALL""")
 
@@ -513,6 +518,17 @@ oracle("j7_merge_starter", """
     c.url IS NOT NULL OR s.enabled AS enabled,
     CASE WHEN s.url IS NULL THEN 'insert' WHEN c.url IS NULL OR s.enabled THEN 'keep' ELSE 'enable' END AS action
   FROM c_seeds s FULL JOIN (SELECT DISTINCT customer_id, url FROM c_candidates) c ON c.customer_id = s.customer_id AND c.url = s.url""")
+oracle("s4_crawl_replies", """
+  SELECT crawl_id, poll::INTEGER AS poll, CASE poll WHEN 0 THEN 'running' WHEN 3 THEN 'expired' WHEN 4 THEN 'running' WHEN 5 THEN 'completed' ELSE 'unreadable' END AS state,
+    CASE WHEN poll IN (0, 3, 5) THEN n WHEN poll = 4 THEN 0 END::INTEGER AS total,
+    CASE WHEN poll = 0 THEN n - 1 WHEN poll = 5 THEN n WHEN poll IN (3, 4) THEN 0 END::INTEGER AS completed,
+    CASE WHEN poll = 0 THEN n - 1 WHEN poll IN (3, 4, 5) THEN 0 END::INTEGER AS credits_used,
+    CASE poll WHEN 0 THEN '2024-01-02T00:40:00.000Z' WHEN 3 THEN '2024-01-01T00:40:00.000Z' END AS expires_at,
+    CASE WHEN poll = 5 THEN n END::INTEGER AS pages
+  FROM (SELECT crawl_id, count(*) AS n FROM c_crawled GROUP BY crawl_id), range(6) r(poll)""")
+oracle("f3_sql_crawl_pages", f"""
+  SELECT crawl_id, 5 AS poll, ordinal::INTEGER AS ordinal, url, title, {tokens('markdown')} AS md_tokens, {is_html('markdown')} AS is_html FROM c_crawled""")
+oracle("j8_live_crawl_jobs", "SELECT crawl_id, ordinal, verdict, canonical FROM c_livejudged")
 oracle("j8_filter_crawl", "SELECT crawl_id, ordinal, verdict, canonical FROM c_judged")
 step("c_flight", f"""SELECT request_id, page_host, i * 1000 AS start_ms, CASE WHEN outcome IN ('miss', 'fallback')
     THEN i * 1000 + least(latency_ms * {registry.LATENCY_FACTOR}, 30000) END AS end_ms FROM c_req""")
@@ -629,6 +645,12 @@ SAMPLE = "|".join(re.escape(a) for a in lists.SAMPLE_AGENTS)
 oracle("x3_classifier_drift", f"""
   SELECT user_agent, count(*) AS requests, any_value(is_ai) AS by_serving, any_value(regexp_matches(lower(user_agent), '{SAMPLE}')) AS by_sample
   FROM c_req WHERE is_ai <> regexp_matches(lower(user_agent), '{SAMPLE}') GROUP BY user_agent""")
+DRIFT = ", ".join(f"({quote(a)}, {a in lists.AI_AGENTS}, {a in lists.SAMPLE_AGENTS})" for a in sorted(set(lists.AI_AGENTS) ^ set(lists.SAMPLE_AGENTS)))
+oracle("x3_list_drift", f"""
+  SELECT agent, in_serving, in_sample, count(r.request_id) AS requests FROM (VALUES {DRIFT}) AS t(agent, in_serving, in_sample)
+  LEFT JOIN c_req r ON contains(lower(r.user_agent), agent) GROUP BY ALL""")
+oracle("f1_sql_urls", "SELECT page_id, p.canonical, p.url_key, s.url AS seed, p.host FROM c_pages p JOIN c_seedurls s USING (page_id)")
+oracle("f2_sql_agents", "SELECT bot_family AS family, is_ai, count(*) AS requests FROM c_req GROUP BY ALL")
 ALL_AGENTS = ", ".join(f"({quote(a)})" for a in lists.AI_AGENTS + ["twitterbot", "googlebot"])
 oracle("x4_effective_agents", f"""
   SELECT 'cust_' || c_custkey AS customer_id, agent FROM customer, (VALUES {ALL_AGENTS}) AS t(agent)

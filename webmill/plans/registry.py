@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from webmill import lists, schemas
+from webmill.functions import sql as sql_functions
 from webmill.functions import urls
 from webmill.operators import (
     access, audits, cache, crawl, golden, ops, pages as page_ops, report, seeds, traffic,
@@ -87,6 +88,11 @@ def s4_explode_crawl(d):
         "crawl_id", "ordinal", "url", "title", F.length("markdown").alias("md_chars"))
 
 
+@query
+def s4_crawl_replies(d):
+    return crawl.crawl_replies(d.crawl_polls(), AS_OF)
+
+
 @query
 def s5_load_accounts(d):
     path = work_dir(d.spark, "accounts")
@@ -339,6 +345,13 @@ def j8_filter_crawl(d):
     return crawl.filter_crawl(d.crawl_pages(), d.crawl_jobs()).select("crawl_id", "ordinal", "verdict", "canonical")
 
 
+@query
+def j8_live_crawl_jobs(d):
+    """Pages against the job records that have not expired."""
+    judged = crawl.filter_crawl(d.crawl_pages(), crawl.live_jobs(d.crawl_jobs(), AS_OF))
+    return judged.select("crawl_id", "ordinal", "verdict", "canonical")
+
+
 @query
 def j9_in_flight_followers(d):
     r = d.requests().withColumn("latency_ms", F.col("latency_ms") * LATENCY_FACTOR)
@@ -512,11 +525,48 @@ def x3_classifier_drift(d):
     return traffic.classifier_drift(d.requests(), {"serving": lists.AI_AGENTS, "sample": lists.SAMPLE_AGENTS})
 
 
+@query
+def x3_list_drift(d):
+    return traffic.list_drift(d.requests(), {"serving": lists.AI_AGENTS, "sample": lists.SAMPLE_AGENTS})
+
+
 @query
 def x4_effective_agents(d):
     return traffic.effective_agents(d.overrides())
 
 
+# --- SQL functions ------------------------------------------------------------
+
+@query
+def f1_sql_urls(d):
+    """URL helpers called from SQL."""
+    sql_functions.register(d.spark)
+    return d.spark.sql("""
+        SELECT page_id, canonical, url_key(canonical) AS url_key, seed, host FROM (
+            SELECT page_id, canonical_url(url) AS canonical, seed_url(url) AS seed, bare_host(parse_url(url, 'HOST')) AS host FROM {pages})""",
+        pages=d.pages().select("page_id", "url"))
+
+
+@query
+def f2_sql_agents(d):
+    """Agent helpers called from SQL, counted for each family."""
+    sql_functions.register(d.spark)
+    return d.spark.sql("""
+        SELECT bot_family(user_agent) AS family, is_ai_agent(user_agent) AS is_ai, count(*) AS requests
+        FROM {requests} GROUP BY 1, 2""", requests=d.requests())
+
+
+@query
+def f3_sql_crawl_pages(d):
+    """Crawled pages from replies in all states, by a SQL function that gives an array."""
+    sql_functions.register(d.spark)
+    return d.spark.sql("""
+        SELECT crawl_id, poll, ordinal, page.url, page.title, token_estimate(page.markdown) AS md_tokens,
+            looks_like_html(page.markdown) AS is_html
+        FROM (SELECT crawl_id, poll, crawl_pages(payload) AS found FROM {polls})
+        LATERAL VIEW posexplode(found) AS ordinal, page""", polls=d.crawl_polls())
+
+
 # --- streams ------------------------------------------------------------------
 
 def extractions(d):
