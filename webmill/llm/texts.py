@@ -1,5 +1,6 @@
 """Arrow helpers that the operators of this package share."""
 
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +34,15 @@ def slices(batches, column="text", limit=SLICE_BYTES):
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()  # the worker lives on for tasks of other stages
+    give_back()
+
+
+def give_back():
+    """Return freed memory to the system: the worker lives on for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # NumPy's arrays; only in glibc
+    if trim:
+        trim(0)
 
 
 def whole(texts):
