@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from webmill import lists
+from webmill import lists, schemas
 from webmill.operators import (
     access, audits, cache, crawl, golden, ops, pages, ranking, report, seeds, traffic,
 )
@@ -307,6 +307,50 @@ def test_a_write_that_stops_before_its_commit_changes_nothing(spark, monkeypatch
 
 
 
+def posted(spark, rows):
+    body = '{"customerId":"%s","url":"%s","htmlTokens":%d,"mdTokens":1}'
+    return spark.createDataFrame([(seq, body % (c, u, n), at(seq)) for seq, c, u, n in rows], "seq long, body string, received_at timestamp")
+
+
+def test_metric_table_rewrites_touched_buckets_only(spark):
+    log, table = work_dir(spark, "metrics"), work_dir(spark, "table")
+    held = lambda: {(r.customer_id, r.url): (r.html_tokens, r.created_at, r.updated_at) for r in sinks.read_metric_table(spark, log, table).collect()}
+    assert held() == {} and sinks.merge_metrics(spark, log, table) == 0
+    first = [(i, "c", f"u{i}", i) for i in range(40)] + [(99, "c", "u0", 99)]
+    sinks.append_metrics(posted(spark, first), 0, log)
+    before = held()  # all changes, no base yet
+    assert len(before) == 40 and before["c", "u0"] == (99, at(0), at(99))
+    assert sinks.merge_metrics(spark, log, table, buckets=8) == 1 and held() == before
+    old = versions.folders(spark, table)
+    sinks.append_metrics(posted(spark, first), 0, log)  # delivered again
+    assert sinks.merge_metrics(spark, log, table) == 1 and held() == before
+    sinks.append_metrics(posted(spark, [(100, "c", "u7", 700), (101, "", "u7", 1)]), 1, log)
+    now = held()
+    assert now == {**before, ("c", "u7"): (700, at(7), at(100))}
+    assert sinks.merge_metrics(spark, log, table) == 2 and held() == now
+    new = versions.folders(spark, table)
+    assert sum(new[b] != old[b] for b in old) == 1 and set(new) == set(old)
+    assert versions.read(spark, table, schemas.URL_METRICS, 1).filter("html_tokens = 700").count() == 0
+    sinks.retire_metrics(spark, log, table, keep=1)
+    assert held() == now and sinks.read_quarantine(spark, log).count() == 1
+    sinks.append_metrics(posted(spark, [(200, "d", "u", 5)]), 2, log)
+    assert len(held()) == 41
+
+
+def test_an_unfinished_batch_and_those_after_it_wait(spark):
+    log, table = work_dir(spark, "metrics"), work_dir(spark, "table")
+    for n in range(3):
+        sinks.append_metrics(posted(spark, [(n, "c", f"u{n}", n)]), n, log)
+    where, files = versions.located(spark, f"{log}/batch_id=1/_SUCCESS")
+    files.delete(where, False)
+    sinks.merge_metrics(spark, log, table, buckets=2)
+    assert [r.url for r in sinks.read_metric_table(spark, log, table).collect()] == ["u0"]
+    sinks.append_metrics(posted(spark, [(1, "c", "u1", 1)]), 1, log)
+    assert sinks.read_metric_table(spark, log, table).count() == 3
+    sinks.merge_metrics(spark, log, table)
+    assert versions.manifest(spark, table)[2] == {"batch": 2, "buckets": 2} and sinks.read_metric_table(spark, log, table).count() == 3
+
+
 def test_log_quarantine(spark):
     path = work_dir(spark, "log")
     lines = ['{"requestId":"1","timestamp":"2024-01-01T00:00:00.000Z","status":200,"logs":[{"level":"error"}]}', '{"requestId":"2",']
@@ -337,6 +381,39 @@ def test_preview_cuts_between_characters(spark):
     assert rows == {0: ("😀😀", True), 1: ("a😀", True), 2: ("éééé", True), 3: ("a😀b", False), 4: (None, False)}
 
 
+def test_panels_say_why_they_are_empty(spark):
+    log = spark.createDataFrame([
+        (1, "k1", "md", "a\n\n\n\nb", at(0), 600), (2, "k1", "html", "<p>😀😀</p>", at(0), 600),
+        (3, "k1", "tokens", '{"htmlTokens":40,"mdTokens":10,"ts":0}', at(0), 600),
+        (4, "k2", "md", "x", at(0), 600), (5, "k2", "html", "<p>old</p>", at(0), 5), (6, "k3", "html", "<p>old</p>", at(0), 5),
+    ], "wid long, url_key string, kind string, body string, written_at timestamp, ttl_s long")
+    listed = spark.createDataFrame([("c", f"u{i}", f"k{i}" if i else None) for i in range(5)], "customer_id string, url string, url_key string")
+    metrics = spark.createDataFrame([("c", "u3", 300, 30), ("other", "u4", 1, 1)], "customer_id string, url string, html_tokens int, md_tokens int")
+    rows = {r.url: r for r in pages.preview_panels(listed, cache.content_bundle(log, at(60)), metrics, limit=6).collect()}
+    assert {u: (r.html_state, r.md_state) for u, r in rows.items()} == {
+        "u0": ("not_analysed",) * 2, "u1": ("shown",) * 2, "u2": ("expired", "shown"), "u3": ("expired",) * 2, "u4": ("not_analysed",) * 2}
+    one = rows["u1"]
+    assert (one.html_preview, one.html_chars, one.html_truncated, one.md_preview, one.md_truncated) == ("<p>😀", 11, True, "a\n\nb", False)
+    assert (one.html_tokens, one.html_size, one.md_tokens, one.savings_pct) == (40, "160 B", 10, 75)
+    assert (rows["u3"].html_tokens, rows["u3"].savings_pct, rows["u3"].html_preview) == (300, 90, None)
+    assert (rows["u2"].md_tokens, rows["u2"].html_tokens, rows["u2"].savings_pct, rows["u4"].html_size) == (1, 0, None, "— B")
+
+
+def test_altered_stored_rows_are_found(spark):
+    html = "<body><nav>menu</nav><main><h1>Great tea</h1><p>Tea from <b>Assam</b>, tea.</p></main></body>"
+    c = pages.extract_signed(spark.createDataFrame([(i, html if i else None) for i in range(5)], "wid long, html string"))
+    c = c.withColumns({"url_key": F.concat(F.lit("k"), "wid"), "written_at": F.lit(T0), "html": F.lit(None).cast("string")}).cache()
+    row = c.filter("wid = 1").first()
+    assert len(row.shown_marks) == 5 and len(row.main_marks) == 4 and row.shown_marks == sorted(row.shown_marks)
+    assert row.markdown == pages.extract_markdown(spark.createDataFrame([(html,)], "html string")).first().markdown
+    content, marks = work_dir(spark, "content"), work_dir(spark, "marks")
+    sinks.write_signatures(c.filter("wid < 4"), marks)
+    said = F.when(F.col("wid") == 2, F.concat("markdown", F.lit(" menu poison"))).when(F.col("wid") == 3, F.lit("# Great tea")).otherwise(F.col("markdown"))
+    sinks.write_content(c.withColumn("markdown", said), content)
+    found = {r.wid: r[2:] for r in pages.stored_equivalence(readers.read_content(spark, content), readers.read_signatures(spark, marks)).collect()}
+    assert found == {1: ("equal", 0, 4, 4), 2: ("invented", 1, 4, 4), 3: ("altered", 0, 4, 2), 4: ("unsigned", None, None, None)}
+
+
 def test_large_sites_and_crawls_keep_everything(spark):
     urls = [f"https://a.com/{i}" for i in range(6000)]
     maps = spark.createDataFrame([("c", "d", "a.com", json.dumps(urls))], "customer_id string, domain_id string, hostname string, payload string")

@@ -79,6 +79,36 @@ def preview(content, markdown="markdown", tokens="md_tokens", limit=lists.PREVIE
         .withColumn("size_label", text.byte_label(F.col(tokens))))
 
 
+def preview_panels(listed, bundle, metrics, limit=lists.PREVIEW_CHARS):
+    """The page and Markdown panels of each listed URL (customer_id, url, url_key), with their states.
+
+    ``shown``: the content is live in the store. ``expired``: the URL was analysed (it has metrics, or live Markdown), but
+    this content's time to live is over. ``not_analysed``: nothing is known. Only live content has a preview, cut before
+    any join with the list; token counts come from the stored ones, else from the metrics, else they are 0.
+    """
+    body, page = F.col("markdown"), F.col("html")
+    cut = bundle.select(
+        F.col("url_key").alias("_key"), F.col("html_tokens").alias("_html"), F.col("md_tokens").alias("_md"),
+        text.cut_utf16(page, limit).alias("html_preview"), text.utf16_length(page).alias("html_chars"),
+        text.cut_utf16(text.collapse_newlines(body), limit).alias("md_preview"), text.utf16_length(body).alias("_chars"))
+    known = metrics.select(
+        F.col("customer_id").alias("_customer"), F.col("url").alias("_url"),
+        F.col("html_tokens").alias("_html_known"), F.col("md_tokens").alias("_md_known"))
+    d = listed.join(known, (F.col("customer_id") == F.col("_customer")) & (F.col("url") == F.col("_url")), "left").join(
+        cut, F.col("url_key") == F.col("_key"), "left")
+    analysed = F.col("_url").isNotNull() | F.col("md_preview").isNotNull()
+    state = lambda c: F.when(F.col(c).isNotNull(), "shown").when(analysed, "expired").otherwise("not_analysed")
+    html, mdt = F.coalesce("_html", "_html_known", F.lit(0)), F.coalesce("_md", "_md_known", F.lit(0))
+    longer = lambda c: F.coalesce(F.col(c) > limit, F.lit(False))
+    return d.select(
+        *listed.columns,
+        state("html_preview").alias("html_state"), "html_preview", "html_chars", longer("html_chars").alias("html_truncated"),
+        html.alias("html_tokens"), text.byte_label(html).alias("html_size"),
+        state("md_preview").alias("md_state"), "md_preview", longer("_chars").alias("md_truncated"),
+        mdt.alias("md_tokens"), text.byte_label(mdt).alias("md_size"),
+        text.savings_pct(html, mdt).alias("savings_pct"))
+
+
 def token_accounting(content, by=None):
     """Tokens saved for each row, or rolled up over ``by`` (subtotals included)."""
     html, mdt = F.col("html_tokens").cast("long"), F.col("md_tokens").cast("long")
@@ -108,3 +138,51 @@ def equivalence_audit(pages, html="html"):
         F.size(F.array_except("_words", "_shown")).alias("invented_words"),
         F.size("_main").alias("main_words"),
         F.size(F.array_intersect("_main", "_words")).alias("kept_words"))
+
+
+# --- equivalence of stored content ---------------------------------------------
+
+def word_marks(words):
+    """Sorted 64-bit hashes of the distinct words: eight bytes for each, whatever its length."""
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+
+
+def extract_signed(pages, html="html"):
+    """``extract_markdown`` with the marks of what the page shows, from the same reading of the page.
+
+    ``shown_marks`` and ``main_marks`` are the words of the visible page and of its main text, ``md_mark`` is the hash of
+    the Markdown. Written with the content they let ``stored_equivalence`` judge it later without the page.
+    """
+    tokens = F.when(F.coalesce(F.col(html), F.lit("")) != "", text.estimate_tokens(F.col(html)))
+    d = md.with_views(pages.withColumn("html_tokens", tokens), html, "_v")
+    good = F.when(~text.looks_like_html(F.col("_v.markdown")), F.col("_v.markdown"))
+    return (
+        d.withColumn("markdown", good)
+        .withColumn("md_tokens", text.estimate_tokens(F.col("markdown")))
+        .withColumn("needs_render", F.col("_v.markdown").isNull())
+        .withColumn("shown_marks", word_marks(md.words(F.col("_v.shown"))))
+        .withColumn("main_marks", word_marks(md.words(F.col("_v.main"))))
+        .withColumn("md_mark", F.when(F.col("markdown").isNotNull(), F.xxhash64("markdown")))
+        .drop("_v", html))
+
+
+def stored_equivalence(writes, signatures):
+    """Stored Markdown against the marks that were written with it, one row per write (url_key, wid).
+
+    State: ``unsigned`` without marks, ``invented`` if it holds words that the page did not show, ``altered`` if it is not
+    the text that was signed, else ``equal``. The texts become word hashes where they are read; only those are shuffled.
+    """
+    said = word_marks(md.markdown_words(F.col("body")))
+    rows = text.once(
+        writes.filter((F.col("kind") == "md") & F.col("url_key").isNotNull()),
+        F.struct(said.alias("said"), F.xxhash64("body").alias("mark")), "_t").select("url_key", "wid", "_t")
+    d = rows.join(signatures.select("url_key", "wid", "shown_marks", "main_marks", "md_mark"), ["url_key", "wid"], "left")
+    signed = F.col("shown_marks").isNotNull()
+    count = lambda c: F.when(signed, F.size(c))
+    invented = count(F.array_except("_t.said", "shown_marks"))
+    return d.select(
+        "url_key", "wid",
+        F.when(~signed, "unsigned").when(invented > 0, "invented").when(F.col("_t.mark") != F.col("md_mark"), "altered")
+        .otherwise("equal").alias("state"),
+        invented.alias("invented_words"), count(F.col("main_marks")).alias("main_words"),
+        count(F.array_intersect("main_marks", "_t.said")).alias("kept_words"))

@@ -425,6 +425,7 @@ oracle("s6_content_store", """
       || ',"mdTokens":' || md_tokens || ',"ts":' || epoch_ms(written_at) || '}'), written_at FROM c_stored)
   GROUP BY url_key, kind""")
 oracle("s7_metrics_sink", keep_last("c_arrived", False))
+oracle("s7_metric_table", keep_last("c_arrived", False))
 oracle("s8_publish_config", """
   SELECT key, CASE WHEN action = 'put' THEN document END AS document, action FROM c_change WHERE action <> 'unchanged'""")
 oracle("s9_replace_snapshot", """
@@ -466,6 +467,35 @@ oracle("p14_preview", f"""
     coalesce({UTF16.format('markdown')} > 150000, false) AS truncated, {LABEL} AS size_label
   FROM (SELECT *, (20 * b + unit) // (2 * unit) AS tenths FROM (
     SELECT *, md_tokens * 4 AS b, CASE WHEN md_tokens * 4 < 1048576 THEN 1024 ELSE 1048576 END AS unit FROM c_content))""")
+
+
+def size_label(t):
+    b, unit = f"({t} * 4)", f"(CASE WHEN {t} * 4 < 1048576 THEN 1024 ELSE 1048576 END)"
+    tenths = f"((20 * {b} + {unit}) // (2 * {unit}))"
+    return f"""CASE WHEN {t} = 0 THEN '— B' WHEN {b} < 1024 THEN {b} || ' B'
+      ELSE ({tenths} // 10) || CASE WHEN {tenths} % 10 = 0 THEN '' ELSE '.' || ({tenths} % 10) END || CASE WHEN {b} < 1048576 THEN ' KB' ELSE ' MB' END END"""
+
+
+PANEL_TIME = f"TIMESTAMP '{registry.PANELS_AS_OF}'"
+step("c_panelkinds", f"""SELECT url_key, kind, max_by(CASE WHEN written_at + to_seconds(ttl_s) > {PANEL_TIME} THEN body END, wid) FILTER (
+      written_at + to_seconds(ttl_s) > {PANEL_TIME}) AS body, max(wid) AS newest,
+      max(wid) FILTER (written_at + to_seconds(ttl_s) > {PANEL_TIME}) AS live FROM c_writes WHERE written_at <= {PANEL_TIME} GROUP BY url_key, kind""")
+step("c_panelbodies", """SELECT url_key, max(body) FILTER (kind = 'md') AS md, max(body) FILTER (kind = 'html') AS html,
+    max(body) FILTER (kind = 'tokens') AS tok FROM c_panelkinds WHERE newest = live GROUP BY url_key""")
+step("c_panels", f"""SELECT d.customer_id, c.canonical AS url, c.url_key, b.md, b.html, m.url IS NOT NULL OR b.md IS NOT NULL AS analysed,
+      coalesce((tok->>'$.htmlTokens')::INTEGER, m.html_tokens, 0) AS ht,
+      coalesce((tok->>'$.mdTokens')::INTEGER, CASE WHEN md IS NOT NULL THEN {tokens('md')} END, m.md_tokens, 0) AS mt
+    FROM c_content c JOIN c_domains d ON d.hostname = c.host LEFT JOIN c_panelbodies b ON b.url_key = c.url_key
+    LEFT JOIN c_metrics m ON m.customer_id = d.customer_id AND m.url = c.canonical""")
+oracle("p14_preview_panels", f"""
+  SELECT customer_id, url, url_key,
+    CASE WHEN html IS NOT NULL THEN 'shown' WHEN analysed THEN 'expired' ELSE 'not_analysed' END AS html_state,
+    md5(substr(html, 1, 150000)) AS html_preview, {UTF16.format('html')}::INTEGER AS html_chars,
+    coalesce({UTF16.format('html')} > 150000, false) AS html_truncated, ht AS html_tokens, {size_label('ht')} AS html_size,
+    CASE WHEN md IS NOT NULL THEN 'shown' WHEN analysed THEN 'expired' ELSE 'not_analysed' END AS md_state,
+    substr(regexp_replace(md, '\\n{{3,}}', chr(10) || chr(10), 'g'), 1, 150000) AS md_preview,
+    coalesce({UTF16.format('md')} > 150000, false) AS md_truncated, mt AS md_tokens, {size_label('mt')} AS md_size,
+    {savings('ht', 'mt')} AS savings_pct FROM c_panels""")
 oracle("p15_split_valid_metrics", f"""
   SELECT seq, error_code, CASE WHEN error_code IS NULL THEN customer_id END AS customer_id, CASE WHEN error_code IS NULL THEN url END AS url,
     CASE WHEN error_code IS NULL THEN html_tokens END AS html_tokens, CASE WHEN error_code IS NULL THEN md_tokens END AS md_tokens,
@@ -745,6 +775,13 @@ step("c_words", f"""SELECT r.page_id, {shown_words('r.html')} AS shown, list_dis
 oracle("q4_equivalence_audit", """
   SELECT page_id, len(list_filter(said, lambda w: NOT list_contains(shown, w)))::INTEGER AS invented_words, len(main_list)::INTEGER AS main_words,
     len(list_intersect(main_list, said))::INTEGER AS kept_words FROM c_words""")
+oracle("q4_stored_equivalence", """
+  SELECT page_id, url_key, CASE WHEN page_id % 31 = 3 THEN 'unsigned' WHEN invented > 0 THEN 'invented'
+      WHEN page_id % 50 = 8 THEN 'altered' ELSE 'equal' END AS state,
+    CASE WHEN page_id % 31 <> 3 THEN invented END AS invented_words, CASE WHEN page_id % 31 <> 3 THEN len(main_list)::INTEGER END AS main_words,
+    CASE WHEN page_id % 31 <> 3 THEN len(list_intersect(main_list, said))::INTEGER END AS kept_words
+  FROM (SELECT w.*, c.url_key, (len(list_filter(said, lambda w: NOT list_contains(shown, w))) + (page_id % 50 = 7)::INTEGER)::INTEGER AS invented
+    FROM c_words w JOIN c_content c USING (page_id) WHERE c.markdown <> '')""")
 oracle("q5_non_200_to_crawlers", """
   SELECT endpoint AS mode, status, count(*) AS requests FROM c_req WHERE is_ai AND status <> 200 GROUP BY ALL""")
 oracle("q6_secrets_audit", """

@@ -20,6 +20,7 @@ QUERIES = {}
 SMALL_PLANS = {"free": 2, "pro": 5, "team": 20, "enterprise": None}
 RETAIN_AS_OF, RETAIN_DAYS = "2024-01-31 01:00:00", 30
 SITE_CAP = 3
+PANELS_AS_OF = "2024-01-01 01:03:00"
 LATENCY_FACTOR = 100
 
 seconds = lambda c, name: F.unix_seconds(c).alias(name)
@@ -121,9 +122,9 @@ def s6_content_store(d):
             (F.col("page_id") * 2 + turn).alias("wid"), "url_key", "markdown",
             F.when(F.col("page_id") % 3 == turn, F.col("raw")).alias("html"),
             F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") + turn * 3600).alias("written_at")), path)
-    newest = readers.read_content(d.spark, path).groupBy("url_key", "kind").agg(
-        F.max_by(F.struct("wid", "body", "ttl_s"), "written_at").alias("w"))
-    return newest.select("url_key", "kind", "w.wid", "w.ttl_s", F.length("w.body").alias("body_chars"))
+    # bodies are measured where they are read; the aggregate holds numbers only
+    narrow = readers.read_content(d.spark, path).select("url_key", "kind", "wid", "ttl_s", "written_at", F.length("body").alias("body_chars"))
+    return narrow.groupBy("url_key", "kind").agg(*[F.max_by(c, "written_at").alias(c) for c in ("wid", "ttl_s", "body_chars")])
 
 
 def metric_rows(frame):
@@ -143,6 +144,19 @@ def s7_metrics_sink(d):
     return metric_rows(sinks.read_metrics(d.spark, path))
 
 
+@query
+def s7_metric_table(d):
+    """Three batches: two merged into versions of the table, the first delivered again, the last still a change."""
+    log, table = work_dir(d.spark, "metrics"), work_dir(d.spark, "metric-table")
+    bodies = d.spark.read.parquet(staged(d.metric_bodies(), "bodies"))
+    third = F.floor(F.col("seq") * 3 / d.events().count())
+    for batch_id, merge in ((0, True), (0, False), (1, True), (2, False)):
+        sinks.append_metrics(bodies.filter(F.least(third, F.lit(2)) == batch_id), batch_id, log)
+        if merge:
+            sinks.merge_metrics(d.spark, log, table, buckets=8)
+    return metric_rows(sinks.read_metric_table(d.spark, log, table))
+
+
 @query
 def s8_publish_config(d):
     path = work_dir(d.spark, "config")
@@ -272,6 +286,16 @@ def p14_preview(d):
     return page_ops.preview(d.content()).select("page_id", "preview", "truncated", "size_label")
 
 
+@query
+def p14_preview_panels(d):
+    """Both panels of every page, at a time when some content is live, some has expired and some has not been written again."""
+    owner = d.domains().select(F.col("hostname").alias("host"), "customer_id")
+    listed = d.content().select("canonical", "host", "url_key").join(owner, "host").select(
+        "customer_id", F.col("canonical").alias("url"), "url_key")
+    p = page_ops.preview_panels(listed, cache.content_bundle(d.writes(), PANELS_AS_OF), d.metrics())
+    return p.withColumn("html_preview", F.md5("html_preview"))
+
+
 @query
 def p15_split_valid_metrics(d):
     return report.split_valid_metrics(d.metric_bodies()).select(
@@ -673,6 +697,23 @@ def q4_equivalence_audit(d):
     return page_ops.equivalence_audit(d.spread_pages()).drop("url")
 
 
+@query
+def q4_stored_equivalence(d):
+    """Stored Markdown against the marks written with it; some rows were changed after signing, some have no marks."""
+    content, marks = work_dir(d.spark, "content"), work_dir(d.spark, "marks")
+    i = F.col("page_id")
+    c = page_ops.extract_signed(page_ops.with_url_key(page_ops.canonicalise(d.spread_pages())))
+    c = d.spark.read.parquet(staged(c.select(
+        i.alias("wid"), "url_key", "markdown", "shown_marks", "main_marks", "md_mark",
+        F.timestamp_seconds(F.lit(1704067200) + i * 60).alias("written_at")), "signed"))
+    sinks.write_signatures(c.filter(F.col("wid") % 31 != 3), marks)
+    extra = F.when(F.col("wid") % 50 == 7, F.lit("\n\nQzsmuggled")).when(F.col("wid") % 50 == 8, F.lit("\n")).otherwise(F.lit(""))
+    sinks.write_content(c.select("wid", "url_key", F.concat("markdown", extra).alias("markdown"),
+                                 F.lit(None).cast("string").alias("html"), "written_at"), content)
+    found = page_ops.stored_equivalence(readers.read_content(d.spark, content), readers.read_signatures(d.spark, marks))
+    return found.withColumnRenamed("wid", "page_id")
+
+
 @query
 def q5_non_200_to_crawlers(d):
     r = traffic.flag_ai_agents(d.endpoint_requests()).withColumnRenamed("endpoint", "mode")

@@ -73,3 +73,5 @@ CRAWL_RESULT = StructType([
 ])
 
 CONTENT_WRITES = _struct(wid=L, url_key=S, kind=S, body=S, written_at=TS, ttl_s=L)
+#: Word marks of the Markdown of a write: 64-bit hashes of the visible words, of the main text's words, of the Markdown.
+SIGNATURES = _struct(wid=L, url_key=S, shown_marks=ArrayType(L), main_marks=ArrayType(L), md_mark=L, written_at=TS)

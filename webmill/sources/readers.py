@@ -67,3 +67,9 @@ def read_content(spark, path):
     """The content write log; filters on ``kind`` and ``write_date`` prune folders."""
     return spark.read.schema(
         StructType(schemas.CONTENT_WRITES.fields + [StructField("write_date", schemas.S)])).parquet(path)
+
+
+def read_signatures(spark, path):
+    """The word marks written with the content; filters on ``write_date`` prune folders."""
+    return spark.read.schema(
+        StructType(schemas.SIGNATURES.fields + [StructField("write_date", schemas.S)])).parquet(path)

@@ -40,6 +40,13 @@ def write_content(df, path, **ttl):
         "append").partitionBy("kind", "write_date").parquet(path)
 
 
+def write_signatures(df, path):
+    """Append the word marks of written Markdown, beside the content log: one row per write (url_key, wid)."""
+    df.filter(F.coalesce("markdown", F.lit("")) != "").select(
+        *schemas.SIGNATURES.names, F.date_format("written_at", "yyyy-MM-dd").alias("write_date")).write.mode(
+        "append").partitionBy("write_date").parquet(path)
+
+
 # --- metric table: an append log of changes, merged when read ------------------
 
 def metric_changes(events):
@@ -86,6 +93,93 @@ def compact_metrics(spark, path, new_base, base=None):
     ).select(*schemas.URL_METRICS.names).write.mode("overwrite").parquet(new_base)
 
 
+# --- metric table in buckets: a base version and the batches since it --------------
+
+KEYS = ["customer_id", "url"]
+
+
+def finished_batches(spark, log, after=-1):
+    """Numbers of the batches above ``after``, up to the first one that is still being written."""
+    where, files = versions.located(spark, log)
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    numbers = sorted(int(n[9:]) for n in names if n.startswith("batch_id=") and n[9:].isdecimal())
+    done = []
+    for n in numbers:
+        if n > after:
+            mark, _ = versions.located(spark, f"{log}/batch_id={n}/_SUCCESS")
+            if not files.exists(mark):
+                break
+            done.append(n)
+    return done
+
+
+def batch_changes(spark, log, batches, buckets):
+    """Valid changes of the given batches with the bucket of their key; other folders are not opened."""
+    names = [c.split()[0] for c in CHANGES.split(", ")]
+    paths = [f"{log}/batch_id={n}" for n in batches]
+    rows = spark.read.schema(METRIC_LOG).option("basePath", log).parquet(*paths) if paths else spark.createDataFrame([], METRIC_LOG)
+    return rows.filter("state = 'changes'").select(*names, metric_bucket(buckets).alias("bucket"))
+
+
+def metric_bucket(buckets):
+    return F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")
+
+
+def merge_metrics(spark, log, table, buckets=64):
+    """Fold the finished batches that ``table`` lacks into it, as a new version; gives the number of the newest version.
+
+    The base lies in buckets of (customer, url), and its manifest holds the last batch that it contains. Only buckets
+    with new changes are read and written anew, the new version lists the old folders of all others. A batch that is
+    delivered again after it was merged is not read again. Without new batches there is no new version. ``buckets`` holds
+    for the first version; later ones keep its number. A row of a hot key is one partial sum per task before the shuffle.
+    """
+    number, parts, facts = versions.manifest(spark, table)
+    buckets = facts.get("buckets", buckets)
+    batches = finished_batches(spark, log, facts.get("batch", -1))
+    if not batches:
+        return number
+    changes = batch_changes(spark, log, batches, buckets)
+    touched = {str(r.bucket) for r in changes.select("bucket").distinct().collect()}  # at most ``buckets``
+    folder = versions.new_folder()
+    if touched:
+        base = versions.opened(spark, table, schemas.URL_METRICS, parts, only=touched)
+        merged = upsert(base, changes.drop("bucket"), KEYS, "seq", at="received_at").select(
+            F.sha2(F.concat_ws("|", *KEYS), 256).alias("id"), "*").select(*schemas.URL_METRICS.names)
+        merged.withColumn("bucket", metric_bucket(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{table}/{folder}")
+    parts = {**parts, **{b: f"{folder}/bucket={b}" for b in touched}}
+    versions.commit(spark, table, parts, number + 1, {"batch": batches[-1], "buckets": buckets})
+    return number + 1
+
+
+def read_metric_table(spark, log, table):
+    """The metric table now: the newest base version and the batches since it.
+
+    Buckets without later changes are read as they are; only the others are merged.
+    """
+    _, parts, facts = versions.manifest(spark, table)
+    names = [c for c in schemas.URL_METRICS.names if c != "id"]
+    buckets = facts.get("buckets", 1)
+    batches = finished_batches(spark, log, facts.get("batch", -1))
+    changes = batch_changes(spark, log, batches, buckets)
+    touched = {str(r.bucket) for r in changes.select("bucket").distinct().collect()} if batches else set()
+    still = versions.opened(spark, table, schemas.URL_METRICS, parts, only=parts.keys() - touched).select(*names)
+    if not touched:
+        return still
+    base = versions.opened(spark, table, schemas.URL_METRICS, parts, only=touched)
+    return still.unionByName(upsert(base, changes.drop("bucket"), KEYS, "seq", at="received_at"))
+
+
+def retire_metrics(spark, log, table, keep=2):
+    """Drop old versions, and the changes of batches that every kept version contains; refused events stay."""
+    versions.retire(spark, table, keep)
+    kept = versions.versions(spark, table)
+    mark = versions.manifest(spark, table, kept[0])[2]["batch"] if kept else -1
+    for n in finished_batches(spark, log):
+        if n <= mark:
+            where, files = versions.located(spark, f"{log}/batch_id={n}/state=changes")
+            files.delete(where, True)
+
+
 # --- configuration ------------------------------------------------------------
 
 def publish_config(diff, path):
