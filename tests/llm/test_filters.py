@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from webmill.llm import line_frequency, quality, toxicity, url_rules
 from webmill.llm.logistic import fit
@@ -225,6 +226,70 @@ def test_quality_on_held_out_documents(spark):
     assert sum(r.kept for r in good) >= 0.98 * len(good)
 
 
+def log_odds(p):
+    p = min(max(p, 1e-9), 1 - 1e-9)
+    return math.log(p / (1 - p))
+
+
+def spread_weight(cells, parents, rate):
+    """Method of moments over cells (n, s): how many documents' worth the parent's rate weighs."""
+    total = sum(n for n, _ in cells)
+    squares = sum(n * n for n, _ in cells)
+    if not total or total * total <= squares:
+        return 10.0
+    gap = sum(n * (s / n - m) ** 2 for (n, s), m in zip(cells, parents))
+    noise = sum(m * (1 - m) for m in parents)
+    between = (gap - noise * (len(cells) - 1) / len(cells)) / (total - squares / total)
+    return min(max(rate * (1 - rate) / between - 1, 1.0), 1e6) if between > 0 else 1e6
+
+
+def bayes_by_hand(rows, evidence):
+    """(host_rate, path_rate, score) of each row: both shrinkages and odds without the row's own part, in plain loops."""
+    of_path, of_host = defaultdict(list), defaultdict(list)
+    for (host, path), p in zip(rows, evidence):
+        of_path[host, path].append(p)
+        of_host[host].append(p)
+    rate = min(max(sum(evidence) / len(evidence), 1e-6), 1 - 1e-6)
+    hosts = {h: (len(x), math.fsum(x)) for h, x in of_host.items()}
+    k = spread_weight(list(hosts.values()), [rate] * len(hosts), rate)
+    host_rate = {h: (k * rate + s) / (k + n) for h, (n, s) in hosts.items()}
+    paths = {q: (len(x), math.fsum(x)) for q, x in of_path.items()}
+    k = spread_weight(list(paths.values()), [host_rate[h] for h, _ in paths], rate)
+    out = []
+    for (host, path), p in zip(rows, evidence):
+        others = list(of_path[host, path])
+        others.remove(p)
+        own = min(max((k * host_rate[host] + math.fsum(others)) / (k + len(others)), 0.0), 1.0)
+        score = log_odds(p) - math.log(rate / (1 - rate)) + log_odds(own)
+        out.append((host_rate[host], own, 1 / (1 + math.exp(-score))))
+    return out
+
+
+def test_quality_by_hand(spark, odd_docs):
+    docs, labels = frames(spark)
+    model = quality.train(docs, labels)
+    sized = odd_docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", "lang", "source")
+    for table in (docs, spark.createDataFrame(sized.collect(), sized.schema)):
+        table = table.select("doc_id", "text", "lang", "source").dropDuplicates(["doc_id"])
+        rows = {r.doc_id: r for r in table.collect()}
+        got = quality.judge(table, model).collect()
+        assert {r.doc_id for r in got} == set(rows) and len(got) == len(rows)
+        alone = quality.evidence(pa.array([rows[r.doc_id].text or "" for r in got], pa.large_string()), model)
+        assert np.allclose(alone, [r.evidence for r in got], rtol=1e-9)
+        wanted = bayes_by_hand([(rows[r.doc_id].source or "", rows[r.doc_id].lang or "") for r in got], [r.evidence for r in got])
+        assert np.allclose(wanted, [(r.host_rate, r.path_rate, r.quality_score) for r in got], rtol=1e-6, atol=1e-9)
+        assert all(r.kept == (r.quality_score >= 0.5) for r in got)
+
+
+def test_quality_reads_each_text_once(spark, stored_docs, monkeypatch):
+    read = []
+    monkeypatch.setattr(quality, "with_evidence", lambda *a, _f=quality.with_evidence, **b: read.append(a) or _f(*a, **b))
+    model = quality.Model(np.zeros(quality.FEATURES), 0.0, np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
+    plan = quality.judge(stored_docs, model)
+    assert len(read) == 1 and "MapInArrow" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count() == stored_docs.count()
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = frames(spark)
     scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 5 = 0").collect()

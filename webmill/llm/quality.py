@@ -150,10 +150,13 @@ def scored(docs, model, host, path, keep):
     """``with_evidence`` with ``host_rate``, ``path_rate``, ``score`` and ``kept``.
 
     The site table is stored first, so its size is known: a small one is broadcast, a large one joined by shuffle with
-    skewed hosts split.
+    skewed hosts split. Rows without the text are stored with their evidence, so every text is read once; with the text
+    they are not written, and the texts are read a second time.
     """
-    table, rate = sites(with_evidence(docs, model, host, path))
-    joined = with_evidence(docs, model, host, path, keep).join(table, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_q")))
+    rows = with_evidence(docs, model, host, path, keep)
+    rows = rows if "text" in keep else stored(rows, "evidence")
+    table, rate = sites(with_evidence(docs, model, host, path) if "text" in keep else rows)
+    joined = rows.join(table, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_q")))
     own = (F.col("k") * F.col("host_rate") + F.col("s") - F.col("_p")) / (F.col("k") + F.col("n") - 1)
     joined = joined.withColumn("path_rate", F.least(F.greatest(own, F.lit(0.0)), F.lit(1.0)))
     posterior = odds(F.col("_p")) - F.lit(float(np.log(rate / (1 - rate)))) + odds(F.col("path_rate"))
