@@ -381,6 +381,18 @@ def test_preview_cuts_between_characters(spark):
     assert rows == {0: ("😀😀", True), 1: ("a😀", True), 2: ("éééé", True), 3: ("a😀b", False), 4: (None, False)}
 
 
+def test_waits_end_by_mode(spark):
+    rows = [(1, "k", 0, "miss", 2000, "proxy"), (2, "k", 1, "hit", 5, "render"), (3, "k", 1, "hit", 5, "content"),
+            (4, "slow", 0, "miss", 40_000, "render"), (5, "slow", 1, "hit", 5, "render"), (6, "slow", 1, "miss", 100, "internal"),
+            (7, "slow", 29, "hit", 5, "proxy"), (8, "slow", 30, "hit", 5, "proxy"),
+            (9, "bad", 0, "fallback", 1500, "proxy"), (10, "bad", 1, "hit", 5, "render"), (11, None, 1, "hit", 5, "render")]
+    r = spark.createDataFrame([(i, k, at(s), o, ms, m) for i, k, s, o, ms, m in rows],
+                              "request_id long, url_key string, ts timestamp, outcome string, latency_ms long, endpoint string")
+    found = {x.request_id: (x.leader_id, x.wait_outcome, x.http_status, x.waited_ms) for x in cache.wait_outcomes(r).collect()}
+    assert found == {2: (1, "hit", 200, 1000), 5: (4, "timeout", 503, 3000), 6: (4, "extract", None, 3000),
+                     7: (4, "extract", None, 3000), 10: (9, "timeout", 503, 3000)}
+
+
 def test_panels_say_why_they_are_empty(spark):
     log = spark.createDataFrame([
         (1, "k1", "md", "a\n\n\n\nb", at(0), 600), (2, "k1", "html", "<p>😀😀</p>", at(0), 600),

@@ -83,6 +83,7 @@ TTL_MARKDOWN_S = 604800
 TTL_HTML_S = 7200
 TTL_TOKENS_S = TTL_MARKDOWN_S
 TTL_PENDING_S = 30
+WAIT_POLL_MS, WAIT_POLLS = 500, 6
 TTL_CRAWL_JOB_S = 3600
 TTL_USAGE_S = 90 * 86400
 

@@ -7,6 +7,7 @@ that receives a third of all requests, or all of them in one minute, is spread o
 
 from pyspark.sql import functions as F
 
+from webmill import lists
 from webmill.functions import text
 from webmill.operators.ranking import carried
 
@@ -73,28 +74,54 @@ def content_bundle(writes, as_of):
             F.col("markdown").isNotNull().alias("md_cached")))
 
 
-def in_flight_followers(req, pending_s=30, key="url_key", ts="ts", request_id="request_id", segment_s=300, most=100_000):
+def _behind(req, pending_s, key, ts, request_id, segment_s, most, carry=()):
+    """Rows that start while an extraction of their key is in flight, with that extraction as ``_lead``."""
+    start = F.unix_micros(ts)
+    extracts = F.col("outcome").isin("miss", "fallback")
+    done = start + F.col("latency_ms") * 1000
+    end = F.when(extracts, F.least(done, start + pending_s * 1000000))
+    rows = req.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(request_id), F.col(ts), *carry, start.alias("_start"),
+        # the longest-running earlier extraction; the id makes ties repeatable, ``found`` is when its content is there
+        F.when(end.isNotNull(), F.struct(
+            end.alias("end"), F.col(request_id).alias("id"), F.when(F.col("outcome") == "miss", done).alias("found"))).alias("_own"))
+    waits = carried(rows, "_key", ["_start", request_id], "_own", "_lead", F.col("_start"), segment_s, largest=True, most=most)
+    return waits.filter(F.col("_lead.end") > F.col("_start"))
+
+
+def in_flight_followers(req, pending_s=lists.TTL_PENDING_S, key="url_key", ts="ts", request_id="request_id", segment_s=300, most=100_000):
     """Requests that arrive while an extraction of the same key is in flight.
 
     A row with outcome ``miss`` or ``fallback`` extracts during
     ``[ts, min(ts + latency, ts + pending_s))``. A running maximum of the ends
     answers the question without forming pairs.
     """
-    start = F.unix_micros(ts)
-    end = F.when(
-        F.col("outcome").isin("miss", "fallback"),
-        start + F.least(F.col("latency_ms") * 1000, F.lit(pending_s * 1000000)))
-    rows = req.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(request_id), F.col(ts), start.alias("_start"),
-        # the longest-running earlier extraction; the id makes ties repeatable
-        F.when(end.isNotNull(), F.struct(end.alias("end"), F.col(request_id).alias("id"))).alias("_own"))
-    waits = carried(rows, "_key", ["_start", request_id], "_own", "_lead", F.col("_start"), segment_s, largest=True, most=most)
-    return waits.filter(F.col("_lead.end") > F.col("_start")).select(
+    return _behind(req, pending_s, key, ts, request_id, segment_s, most).select(
         request_id, F.col("_key").alias(key), F.col(ts),
         F.col("_lead.id").alias("leader_id"),
         F.floor((F.col("_lead.end") - F.col("_start")) / 1000).alias("wait_ms"))
 
 
+def wait_outcomes(req, pending_s=lists.TTL_PENDING_S, poll_ms=lists.WAIT_POLL_MS, polls=lists.WAIT_POLLS, mode="endpoint",
+                  key="url_key", ts="ts", request_id="request_id", segment_s=300, most=100_000):
+    """How the wait of each follower ends, by the mode of the request.
+
+    A follower looks for the content every ``poll_ms``, ``polls`` times. The first look after its leader has stored the
+    content is a ``hit``; a leader that fell back stores nothing. When all looks fail, ``render`` answers 503
+    (``timeout``), while ``internal`` and ``proxy`` extract on their own (``extract``, without a status yet). Requests of
+    other modes don't wait and give no row.
+    """
+    looks = F.greatest(F.lit(1), F.ceil((F.col("_lead.found") - F.col("_start")) / F.lit(poll_ms * 1000)))
+    hit = F.col("_lead.found").isNotNull() & (looks <= polls)  # greatest() passes over NULL
+    asked = req.filter(F.col(mode).isin("render", "internal", "proxy") | F.col("outcome").isin("miss", "fallback"))
+    waits = _behind(asked, pending_s, key, ts, request_id, segment_s, most, carry=[F.col(mode).alias("_mode")])
+    return waits.filter(F.col("_mode").isin("render", "internal", "proxy")).select(
+        request_id, F.col("_key").alias(key), F.col("_mode").alias(mode), F.col("_lead.id").alias("leader_id"),
+        F.when(hit, "hit").when(F.col("_mode") == "render", "timeout").otherwise("extract").alias("wait_outcome"),
+        F.when(hit, 200).when(F.col("_mode") == "render", 503).alias("http_status"),
+        (F.when(hit, looks).otherwise(F.lit(polls)) * poll_ms).cast("int").alias("waited_ms"))
+
+
 def apply_invalidations(writes, invalidations, max_age_s=300, kinds=("md",)):
     """Writes that survive: a valid invalidation removes the earlier Markdown of its key, other kinds expire by age.
 

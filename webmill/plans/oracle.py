@@ -567,6 +567,17 @@ oracle("j9_in_flight_followers", """
     max(l.end_ms) - f.start_ms AS wait_ms
   FROM c_flight f JOIN c_flight l ON l.page_host = f.page_host AND l.start_ms < f.start_ms AND l.end_ms > f.start_ms
   GROUP BY f.request_id, f.page_host, f.start_ms""")
+step("c_waits", f"""SELECT f.request_id, max(struct_pack(e := l.end_ms, i := l.request_id)).i AS leader_id, f.start_ms
+  FROM c_flight f JOIN c_flight l ON l.page_host = f.page_host AND l.start_ms < f.start_ms AND l.end_ms > f.start_ms
+  GROUP BY f.request_id, f.start_ms""")
+step("c_polled", f"""SELECT r.request_id, r.page_host, r.endpoint, w.leader_id,
+    list_filter(range(1, 7), lambda k: l.outcome = 'miss' AND l.i * 1000 + l.latency_ms * {registry.LATENCY_FACTOR} <= w.start_ms + k * 500)[1] AS look
+  FROM c_waits w JOIN c_req r USING (request_id) JOIN c_req l ON l.request_id = w.leader_id WHERE r.endpoint IN ('render', 'internal', 'proxy')""")
+oracle("j9_wait_outcomes", """
+  SELECT request_id, page_host, endpoint, leader_id,
+    CASE WHEN look IS NOT NULL THEN 'hit' WHEN endpoint = 'render' THEN 'timeout' ELSE 'extract' END AS wait_outcome,
+    CASE WHEN look IS NOT NULL THEN 200 WHEN endpoint = 'render' THEN 503 END AS http_status, (coalesce(look, 6) * 500)::INTEGER AS waited_ms
+  FROM c_polled""")
 oracle("j10_apply_invalidations", f"""
   SELECT wid, url_key, kind FROM c_writes w WHERE kind <> 'md' OR NOT EXISTS (
     SELECT 1 FROM c_raw e WHERE e.event_type = 'signup' AND e.i % 7 <> 0 AND e.url_key = w.url_key AND w.written_at <= {at('e.i + e.i % 200')})""")

@@ -382,6 +382,12 @@ def j9_in_flight_followers(d):
     return cache.in_flight_followers(r, key="page_host").drop("ts")
 
 
+@query
+def j9_wait_outcomes(d):
+    r = d.endpoint_requests().withColumn("latency_ms", F.col("latency_ms") * LATENCY_FACTOR)
+    return cache.wait_outcomes(r, key="page_host")
+
+
 @query
 def j10_apply_invalidations(d):
     return cache.apply_invalidations(d.writes().drop("body"), d.invalidations()).select("wid", "url_key", "kind")
