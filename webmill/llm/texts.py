@@ -1,6 +1,5 @@
 """Arrow helpers that the operators of this package share."""
 
-import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -8,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from webmill.functions.arrow import cuts, give_back
 from webmill.session import work_dir
 
 SLICE_BYTES = 4 << 20
@@ -27,24 +27,11 @@ class Parts(NamedTuple):
 def slices(batches, column="text", limit=SLICE_BYTES):
     """Cut batches where their texts reach ``limit`` bytes; a longer text stays whole in a slice of its own."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        for start, stop in cuts(batch[column], limit):
             yield batch.slice(start, stop - start)
-            start = stop
     give_back()
 
 
-def give_back():
-    """Return freed memory to the system: the worker lives on for tasks of other stages."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # NumPy's arrays; only in glibc
-    if trim:
-        trim(0)
-
-
 def whole(texts):
     """Texts as large strings, null as empty, in buffers of their own.
 
