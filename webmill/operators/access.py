@@ -50,17 +50,28 @@ def auth_index(config):
 
 
 def allowed_hosts(config):
-    """Distinct ``allowlist, host``: a document counts once, however many tokens share it."""
-    once = config.select(F.sha2("document", 256).alias("allowlist"), "document").groupBy("allowlist").agg(
-        F.first("document").alias("document"))
+    """Distinct ``allowlist, host``: a document counts once, however many tokens share it.
+
+    The documents are keys of a hash aggregate; as values of one they would be sorted, copies and all, where they are read.
+    """
+    once = config.select("document").distinct().withColumn("allowlist", F.sha2("document", 256))
     doc = F.from_json("document", DOCUMENT)
     return once.select("allowlist", F.explode(F.array_distinct(doc["domains"])).alias("host"))
 
 
 def spread_nulls(key, df):
     """``key``, or a value of its own that matches nothing: rows without a key must not meet in one task."""
+    return spread_by(key, row_hash(df))
+
+
+def row_hash(df):
     plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
-    return F.coalesce(key, F.concat(F.lit("\x00"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in plain]))))
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
+def spread_by(key, number):
+    """As ``spread_nulls``, by a hash that was taken before: a later one would carry all columns through the joins before it."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.hex(number)))
 
 
 def auth_lookup(req, config, token="token"):
@@ -114,30 +125,34 @@ def admit(req, config, mode="render", token="token", url="url", customer="custom
     ``internal``  service key, customer, https, private host, configuration, allowlist
     ``crawl``  token, allowlist only
     """
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    # what a check needs of the row is a flag before the joins: a task sorts the rows of a busy customer, so they must be narrow
     d = urls.with_url_parts(req, url, "_p")
-    d = d.withColumn("_host", urls.bare_host(F.col("_p.host")))
+    d = d.select(
+        *req.columns, urls.bare_host(F.col("_p.host")).alias("_host"), F.col("_p.error").alias("_error"),
+        (F.col("_p.scheme") != "https").alias("_not_https"), urls.is_private_host(F.col("_p.host")).alias("_private"),
+        (none(token) if token in req.columns else F.lit(False)).alias("_no_token"), row_hash(req).alias("_row"))
     if mode == "internal":
         d = config_by_customer(d, config, customer).withColumn("auth_customer", F.col(customer))
     else:
         d = auth_lookup(d, config, token)
     allow = allowed_hosts(config).select(
         F.col("allowlist").alias("_list"), F.col("host").alias("_allowed_host"), F.lit(True).alias("_allowed"))
-    d = d.withColumn("_own_list", spread_nulls(F.col("auth_allowlist"), req))
+    d = d.withColumn("_own_list", spread_by(F.col("auth_allowlist"), F.col("_row")))
     d = d.join(allow, (F.col("_own_list") == F.col("_list")) & (F.col("_host") == F.col("_allowed_host")), "left")
 
-    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     checks = {
-        "missing_token": (401, none(token) if token in req.columns else F.lit(False)),
+        "missing_token": (401, F.col("_no_token")),
         "invalid_token": (401, ~F.col("auth_found")),
         "bad_config": (500, F.col("auth_found") & F.col("auth_customer").isNull()),
         "unauthorised": (401, ~F.coalesce(F.col(service_ok), F.lit(False)) if service_ok in req.columns else F.lit(False)),
         "missing_customer": (400, none(customer) if customer in req.columns else F.lit(False)),
-        "missing_url": (400, F.col("_p.error") == "missing"),
-        "invalid_url": (400, F.col("_p.error") == "invalid"),
-        "unsupported_url": (400, F.col("_p.error") == "unsupported"),
-        "not_https": (400, F.col("_p.scheme") != "https"),
+        "missing_url": (400, F.col("_error") == "missing"),
+        "invalid_url": (400, F.col("_error") == "invalid"),
+        "unsupported_url": (400, F.col("_error") == "unsupported"),
+        "not_https": (400, F.col("_not_https")),
         "domain_denied": (403, F.col("_allowed").isNull()),
-        "private_host": (400, urls.is_private_host(F.col("_p.host"))),
+        "private_host": (400, F.col("_private")),
         "unknown_customer": (404, ~F.col("auth_found")),
     }
     url_checks = ["missing_url", "invalid_url", "unsupported_url"]
