@@ -155,3 +155,24 @@ def test_blocks_do_not_change_the_result(spark, stored_docs, monkeypatch, plain)
 
 def test_an_empty_table(spark, no_docs):
     assert ta.weighed(no_docs, A, B).collect() == [] and ta.links(no_docs, A, B).collect() == []
+
+
+def test_words_are_encoded_as_one_text():
+    """The words that a worker's cache lacks cost one encoding, with the ids that each has alone (op11: time)."""
+    tokenizer, vocab = ta.byte_level(A)
+    words = [" the", " ", "\nnew", "\n", " it's", "'s", " end\t", " café", "\n日本語", " <|endoftext|>", " a ", " 12345", "\x00", " x\u200b", " e\u0301\u0301"]
+    one_by_one = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    texts = []
+
+    class Counted:
+        def encode_batch_fast(self, batch, **how):
+            texts.extend(batch)
+            return tokenizer.encode_batch_fast(batch, **how)
+
+    assert [np.frombuffer(x, np.uint32).tolist() for x in ta.joined(words, Counted(), vocab)] == one_by_one
+    assert len(texts) == 1 + 4  # those with white space at their end go alone
+    # words whose neighbours change their tokens are found out and encoded alone
+    odd = ["wo", "rd", "ing"]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in ta.joined(odd, tokenizer, vocab)] == [
+        tokenizer.encode(w, add_special_tokens=False).ids for w in odd]
+    assert ta.joined([], tokenizer, vocab) == []

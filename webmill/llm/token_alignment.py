@@ -169,18 +169,40 @@ def cuts_at_spaces(path):
 
 def encoder(path_a, path_b):
     """words -> (A ids, B ids) of each as bytes; a word begins with its blank or line end."""
-    a, b = byte_level(path_a)[0], pieces(path_b)[0]
+    a, vocab = byte_level(path_a)
+    b = pieces(path_b)[0]
     blank = b.encode("a ")[len(b.encode("a")):]  # of a blank at the end of a text
     raw = lambda ids: array("I", ids).tobytes()
 
     def encode(words):
-        left = a.encode_batch_fast(words, add_special_tokens=False)
+        left = joined(words, a, vocab)
         # the model adds the blank itself, also before a line end, where it is a piece of its own
         right = b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-        return [(raw(x.ids), raw(blank if w == " " else y if w[0] == " " else y[1:])) for w, x, y in zip(words, left, right)]
+        return [(x, raw(blank if w == " " else y if w[0] == " " else y[1:])) for w, x, y in zip(words, left, right)]
     return encode
 
 
+def joined(words, tokenizer, vocab):
+    """Ids of each word as bytes. Words without white space at their end are encoded as one text and cut where they end.
+
+    They stand in it as in the texts they come from, so the ids are the same, without the cost of an encoding for each. If
+    a token reaches over the end of a word after all, the words are encoded one by one.
+    """
+    one, out = [i for i, w in enumerate(words) if not w[-1].isspace()], [None] * len(words)
+    ids = np.array(tokenizer.encode_batch_fast(["".join([words[i] for i in one])], add_special_tokens=False)[0].ids, np.uint32)
+    ends = np.cumsum(vocab.lengths[ids])
+    stops = np.cumsum(np.fromiter((len(words[i].encode()) for i in one), np.int64, len(one)))
+    at = np.searchsorted(ends, stops)
+    if len(ids) and len(one) and at[-1] == len(ids) - 1 and np.array_equal(ends[at], stops):
+        data, start = ids.tobytes(), 0
+        for i, stop in zip(one, (4 * (at + 1)).tolist()):
+            out[i], start = data[start:stop], stop
+    rest = [i for i, found in enumerate(out) if found is None]
+    for i, found in zip(rest, tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+        out[i] = array("I", found.ids).tobytes()
+    return out
+
+
 def encoded(texts, path_a, path_b):
     """Tokens of both, of texts that begin with a blank; distinct words are encoded once and kept in the worker's cache."""
     odd = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False) | (not cuts_at_spaces(path_b))
