@@ -114,6 +114,32 @@ def test_no_near_duplicates_in_nothing(spark, no_docs, tmp_path):
     assert sorted(r.component for r in minhash_dedup.near_duplicates(docs).collect()) == [0, 1, 2]
 
 
+def test_common_shingles_bring_no_documents_together(spark, tmp_path, monkeypatch):
+    """Unrelated texts of a few words share most shingles by chance; only what is nearly alike meets."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(120)) for _ in range(300)]
+    docs, met = as_docs(spark, texts + [t + " z" for t in texts[:20]], tmp_path), []
+    whole = minhash_dedup.components
+    monkeypatch.setattr(minhash_dedup, "components", lambda edges: met.append(edges.distinct().count()) or whole(edges))
+    got = minhash_dedup.near_duplicates(docs, width=2)
+    assert sorted((tuple(r) for r in got.select("id", "n_shingles", "component").collect()), key=repr) == near_groups(docs.collect(), 2)
+    assert 20 <= met[0] < 100
+
+
+@pytest.mark.parametrize("size", [9, 90, 900])
+def test_bands_meet_as_often_as_similarity_says(size):
+    rows, count = minhash_dedup.banding(0.8)
+    assert (1 - 0.8 ** rows) ** count <= 1e-6
+    rng, same = np.random.default_rng(3), []
+    for _ in range(150):
+        values = rng.integers(-(1 << 63), (1 << 63) - 1, size // 9 * 10)
+        sets = values[size // 9:], values[:-(size // 9)]  # each lacks one value in ten: similarity 8 / 10
+        flat = np.concatenate([np.sort(v) for v in sets])
+        a, b = minhash_dedup.band_keys(flat, np.array([0, size, size, 2 * size]), rows, count).reshape(2, count)
+        same.append(a == b)
+    assert abs(np.mean(same) - 0.8 ** rows) < 0.03 and np.any(same, axis=1).all()
+
+
 def test_linked_finds_chains_between_blocks():
     base = list(range(100))
     sets = [sorted(set(base[i:i + 40])) for i in range(0, 60, 4)]

@@ -1,12 +1,13 @@
-"""MinHash near-duplicates by bottom-k sketches from one hash function.
+"""MinHash near-duplicates: banded minima bring sets together, bottom-k sketches and full sets decide.
 
 A document's set holds the 64-bit hashes of its word shingles; its sketch is the ``k`` smallest. Equal sets are one
 class, so copies never meet each other again.
 
-1. Inverted lists: every retained value that two classes hold is a list. Two sets at the threshold share at least
-   ``least_shared`` retained values (missed with a chance of about 1e-5 right at the threshold, and rapidly less above
-   it; exact for small sets), so they also meet in the rarest ``m - least_shared + 1`` values of each, and only those
-   are indexed. Very common shingles thus drop out of all but the shortest documents without any cap.
+1. Inverted lists: a band is a hash of the set's minima under several permutations, and every band that two classes hold
+   is a list. Sets of similarity ``s`` share one of ``b`` bands of ``r`` minima with a chance of ``1 - (1 - s ** r) ** b``;
+   ``banding`` chooses both so that a pair right at the threshold is missed with a chance of at most 1e-6, rapidly less
+   above it, whatever the size of the sets. Sets with a few shingles in common hardly ever meet, however common the
+   shingles are, so lists grow with the documents that are nearly alike and no list is capped.
 2. Classes that lists connect form a unit of work. Where that is more than ``most_sets`` sets or ``most_bytes``, the
    sketches of each list are compared first and units are what estimates connect; what is still larger keeps its lists,
    cut into pairs of blocks, so no task gathers more than that. Each set is recomputed from one text, for classes in a
@@ -28,20 +29,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from webmill.llm.components import components
 from webmill.llm.texts import numbered, row_id, sent_whole, slices, stored, whole, words_of
 
 SHIFT = 4.5  # standard deviations
+MISSED = 1e-6  # chance that two sets right at the threshold share no band
+MOST_BANDS = 48
+MOST_ROWS = 8
 SENT_WHOLE = 500_000  # rows of at most about 100 bytes that are broadcast to the documents; more are joined by a shuffle
 
 
-def least_shared(m, k, threshold):
-    """Retained values that sets at the threshold share at least, for a sketch of ``m`` values."""
-    if m <= int(threshold * k):  # the partner's sketch is whole too
-        return max(1, math.ceil(threshold * m - 1e-9))
-    return max(1, math.floor(threshold * m - SHIFT * math.sqrt(threshold * (1 - threshold) * m)))
+def banding(threshold):
+    """(minima in a band, bands): as many minima as ``MOST_BANDS`` allow at a chance of ``MISSED``."""
+    best = None
+    for r in range(1, MOST_ROWS + 1):
+        count = math.ceil(math.log(MISSED) / math.log1p(-min(threshold, 0.999) ** r))
+        if best and count > MOST_BANDS:
+            break
+        best = r, count
+    return best
 
 
 def mixed(x):
@@ -81,6 +90,20 @@ def ragged(starts, sizes):
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def band_keys(flat, bounds, rows, count):
+    """``count`` band keys of each non-empty set, end to end, from ``rows`` minima each."""
+    first = bounds[:-1][np.diff(bounds) > 0]
+    factors = np.random.default_rng(7).integers(0, 1 << 31, (count, rows)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    keys = np.empty((len(first), count), np.uint64)
+    short = (flat.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    for band in range(count if len(first) else 0):
+        key = np.full(len(first), band, np.uint64)
+        for factor in factors[band]:
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(short * factor, first))
+        keys[:, band] = key
+    return keys.view(np.int64).ravel()
+
+
 def set_key(values):
     return xxhash.xxh3_128_digest(values.tobytes())
 
@@ -89,8 +112,10 @@ def list_array(flat, bounds):
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
 
 
-def sketches(docs, width, k):
-    """(_row, id, n, key, sketch) of each document; stored."""
+def sketches(docs, width, k, threshold):
+    """(_row, id, n, key, sketch, bands) of each document; stored."""
+    rows, count = banding(threshold)
+
     def run(batches):
         for batch in slices(batches):
             flat, bounds = shingle_sets(batch["text"], width)
@@ -99,9 +124,10 @@ def sketches(docs, width, k):
             keys = [set_key(flat[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch["_row"], batch["id"], pa.array(n), pa.array(keys, pa.binary()),
-                 list_array(flat[ragged(bounds[:-1], kept)], np.concatenate([[0], np.cumsum(kept)]))],
-                names=["_row", "id", "n", "key", "sketch"])
-    return stored(docs.mapInArrow(run, "_row long, id long, n long, key binary, sketch array<long>"), "sketches")
+                 list_array(flat[ragged(bounds[:-1], kept)], np.concatenate([[0], np.cumsum(kept)])),
+                 list_array(band_keys(flat, bounds, rows, count), np.concatenate([[0], np.cumsum((n > 0) * count)]))],
+                names=["_row", "id", "n", "key", "sketch", "bands"])
+    return stored(docs.mapInArrow(run, "_row long, id long, n long, key binary, sketch array<long>, bands array<long>"), "sketches")
 
 
 def sets_of(docs, wanted, width):
@@ -125,21 +151,14 @@ def classes(base):
         .select("_row", "id", "n", "key", F.coalesce("_cls", "_row").alias("cls")), "classes")
 
 
-def inverted_lists(base, member, k, threshold):
-    """(value, cls, n) of lists with two or more classes, of the rarest retained values of each class."""
+def inverted_lists(base, member):
+    """(value, cls, n, low) of lists with two or more classes: of the bands that classes share."""
     copies = member.filter("cls <> _row").select("_row")
-    each = base.filter("n > 0").join(copies, "_row", "left_anti").select(F.col("_row").alias("cls"), "n", F.explode("sketch").alias("value"))
-    shared = each.groupBy(F.col("value").alias("_value")).agg(F.count("*").alias("df")).filter("df > 1")
-    held = each.join(shared, F.col("value") == F.col("_value"))
-    # values that no other class holds come first in the order by rarity; they only use up places
-    places = F.array(*[F.lit(m - least_shared(m, k, threshold) + 1 if m else 0) for m in range(k + 1)])
-    m = F.least("n", F.lit(k)).cast("int")
-    held = held.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
-    left = F.element_at(places, m + 1) - (m - F.size("held"))
-    held = held.filter(left > 0).select("cls", "n", F.explode(F.slice("held", F.lit(1), left)).alias("h")).select("cls", "n", F.col("h.value").alias("value"))
-    held = stored(held, "held")
-    lists = held.groupBy("value").agg(F.count("*").alias("m"), F.min("cls").alias("low")).filter("m > 1")
-    return stored(held.join(lists.select(F.col("value").alias("_value"), "low"), F.col("value") == F.col("_value")).drop("_value"), "lists")
+    each = base.filter("n > 0").join(copies, "_row", "left_anti").select(F.col("_row").alias("cls"), "n", F.explode("bands").alias("value"))
+    # nearly all bands have one class: a window shuffles them once, an aggregate joined back would do so twice
+    own = Window.partitionBy("value")
+    held = each.select("value", "cls", "n", F.min("cls").over(own).alias("low"), F.max("cls").over(own).alias("high"))
+    return stored(held.filter("low < high").drop("high"), "lists")
 
 
 class Unit:
@@ -310,9 +329,9 @@ def near_duplicates(docs, key="doc_id", width=5, k=64, threshold=0.8, most_sets=
     ``row`` names a column of row numbers; without one, rows are numbered here.
     """
     docs = docs.select((F.col(row) if row else row_id()).alias("_row"), F.col(key).cast("long").alias("id"), "text")
-    base = sketches(docs, width, k)
+    base = sketches(docs, width, k, threshold)
     member = classes(base)
-    lists = inverted_lists(base, member, k, threshold)
+    lists = inverted_lists(base, member)
     places = stored(units(base, lists, k, threshold, most_sets, most_bytes), "places")
     spots = F.collect_list(F.struct("unit", "list", "i", "j", "side", "pair")).alias("spots")
     wanted = stored(
